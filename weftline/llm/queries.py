@@ -26,3 +26,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
+@query
+def op5_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.common import scratch_path
+    from weftline.llm.id_index import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "ids"))
