@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.chat import ROTATE_SQL
 from weftline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_perspectives": ROTATE_SQL}
 
 
 def query(f: Query) -> Query:
@@ -34,3 +35,17 @@ def op5_id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.id_index import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "ids"))
+
+
+@query
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.chat import rotate_perspectives
+
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
