@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm.chat import ROTATE_SQL
-from weftline.llm.common import table
+from weftline.llm.common import crc_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,3 +50,13 @@ def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.chat import rotate_perspectives
 
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.quality import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_fold("doc_id", 4) == 2
+    model = train(docs, labels.where(~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
