@@ -60,3 +60,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_fold("doc_id", 4) == 2
     model = train(docs, labels.where(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.toxicity import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_fold("doc_id", 5) == 0
+    model = train(docs, labels.where(~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
