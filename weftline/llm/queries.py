@@ -70,3 +70,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_fold("doc_id", 5) == 0
     model = train(docs, labels.where(~held_out))
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
