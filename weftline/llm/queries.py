@@ -77,3 +77,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.secrets import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.edit_embedding import edit_fingerprints
+
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
