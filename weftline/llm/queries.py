@@ -84,3 +84,10 @@ def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.edit_embedding import edit_fingerprints
 
     return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
