@@ -93,3 +93,16 @@ def test_components_of_paths_stars_and_loops(spark):
 
 def test_empty_table(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(None if d is None else k * 7 % 1009, t) for k, (d, t) in enumerate(make(9))]
+    rows.append(rows[0])
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_chars long")
+    kept = J.keep_one(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    comps = {(c[2], c[3]) for c in brute(rows, 5, 80) if c[1]}
+    empty = [(d is None, d or 0) for d, t in rows if not (t or "").split()]
+    assert len(got) == len(comps) + len(empty)
+    assert set(got) == comps | set(empty)

@@ -243,10 +243,11 @@ def _pass_sets(docs: DataFrame, size: int) -> DataFrame:
                 pa.concat_arrays([pa.array(rows[2], pa.int64()), pa.array(counts.astype(np.int64))]),
                 pa.concat_arrays([pa.array(rows[3], pa.list_(pa.int64())), none(pa.list_(pa.int64()))]),
                 pa.array([0] * n + [1] * m, pa.int32()),
+                pa.concat_arrays([batch.column(2), none(pa.int64())]),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["id_", "n_", "h1_", "h2_", "sketch_", "end_"])
+            yield pa.RecordBatch.from_arrays(cols, ["id_", "n_", "h1_", "h2_", "sketch_", "end_", "x_"])
 
-    return docs.mapInArrow(run, f"id_ {kind}, n_ long, h1_ long, h2_ long, sketch_ array<long>, end_ int")
+    return docs.select("*", F.xxhash64("text_").alias("x_")).mapInArrow(run, f"id_ {kind}, n_ long, h1_ long, h2_ long, sketch_ array<long>, end_ int, x_ long")
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, bitmap) -> DataFrame:
@@ -433,13 +434,12 @@ def _group_links(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a string, b string")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's id, n_shingles and component_id under links of Jaccard similarity of at least ``percent`` hundredths."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+def _row_components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Every row's id_, x_ (hash of its text), n_, root_ (one class of its component; null without words) and component_."""
+    sc = docs.sparkSession.sparkContext
     source = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
     first = materialise(_pass_sets(source, size), "sets")
-    rows = first.where("end_ = 0").select("id_", "n_", "h1_", "h2_")
+    rows = first.where("end_ = 0").select("id_", "x_", "n_", "h1_", "h2_")
     seen = first.where("end_ = 1").groupBy(F.col("h1_").alias("token")).agg(F.sum("h2_").alias("n"))
     seen = materialise(seen.where("n >= 8"), "seen")
     marks, threshold = np.zeros(MARK_BITS // 8, np.uint8), 8
@@ -472,8 +472,30 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     least = rows.where("n_ > 0").groupBy("h1_", "h2_").agg(F.min("id_").alias("least_")).withColumn("class_", key)
     roots = components(links)
     named = roots.join(least.select(F.col("class_").alias("node"), "least_"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("least_").alias("component_")), "root").select(F.col("node").alias("class_"), "component_")
-    named = least.join(named, "class_", "left").select("h1_", "h2_", F.coalesce("component_", "least_").alias("component_"))
-    out = rows.where("n_ > 0").join(named, ["h1_", "h2_"]).select("id_", "n_", "component_")
-    out = out.unionByName(rows.where("n_ = 0").select("id_", "n_", F.col("id_").alias("component_")))
+    named = named.join(named.groupBy("root").agg(F.min("least_").alias("component_")), "root").select(F.col("node").alias("class_"), "root", "component_")
+    named = least.join(named, "class_", "left").select("h1_", "h2_", F.coalesce("root", "class_").alias("root_"), F.coalesce("component_", "least_").alias("component_"))
+    out = rows.where("n_ > 0").join(named, ["h1_", "h2_"]).select("id_", "x_", "n_", "root_", "component_")
+    return out.unionByName(rows.where("n_ = 0").select("id_", "x_", "n_", F.lit(None).cast("string").alias("root_"), F.col("id_").alias("component_")))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row's id, n_shingles and component_id under links of Jaccard similarity of at least ``percent`` hundredths."""
+    out = _row_components(docs, size, percent, id_col, text_col)
     return out.select(F.col("id_").alias(id_col), F.col("n_").alias("n_shingles"), F.col("component_").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all columns: that of the least id (nulls last), then hash of the text. Rows without words stay."""
+    rows = materialise(_row_components(docs, size, percent, id_col, text_col), "components")
+    grouped = rows.where("root_ is not null")
+    best = grouped.groupBy("root_").agg(F.min(F.struct(F.col("id_").isNull().alias("null_"), "id_", "x_")).alias("best"))
+    kept = best.select("best.id_", "best.x_")
+    bare = rows.where("root_ is null").select("id_", "x_").distinct()
+    kept = kept.select("id_", "x_", F.lit(True).alias("single_")).unionByName(bare.withColumn("single_", F.lit(False)))
+    copies = grouped.groupBy("id_", "x_").agg(F.count("*").alias("copies_"))
+    kept = kept.join(copies, [kept["id_"].eqNullSafe(copies["id_"]), kept["x_"] == copies["x_"]], "left").select(kept["id_"].alias("id__"), kept["x_"].alias("x__"), F.coalesce(F.when(F.col("single_"), F.col("copies_")), F.lit(1)).alias("copies__"))
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("id__")) & (text == F.col("x__")))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = found.where("copies__ = 1").select(*names)
+    return once.unionByName(found.where("copies__ > 1").dropDuplicates(["id__", "x__"]).select(*names))
