@@ -122,8 +122,8 @@ class WordEncoder:
                 rest.update(last)
             else:
                 rest.add(word)
-        self._letters(sorted(letters - self.known.keys()))
-        self._one_by_one(sorted(rest - self.known.keys()))
+        self._letters(sorted(w for w in letters if w not in self.known))
+        self._one_by_one(sorted(w for w in rest if w not in self.known))
         for word, (core, last) in split.items():
             self.known[word] = self.known[core] + (self.known[last] if last else b"")
 
@@ -131,10 +131,10 @@ class WordEncoder:
         words = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else None for t in texts]  # those four are no white space to the library
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = set().union(*(w for w in words if w is not None)) - self.known.keys()
-        if new:
+        known = self.known
+        if new := {x for x in set().union(*(w for w in words if w is not None)) if x not in known}:
             self._learn(new)
-        get = self.known.__getitem__
+        get = known.__getitem__
         return [
             b"".join(map(get, w)) if w is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
             for w, t in zip(words, texts, strict=True)
