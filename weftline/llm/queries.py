@@ -91,3 +91,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
