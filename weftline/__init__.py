@@ -1 +1 @@
-"""weftline: lineage analytics and batch data operators as Spark DataFrame jobs."""
+"""Lineage analytics for batch estates, as Spark jobs."""
