@@ -39,8 +39,8 @@ MARK_BITS = 1 << 25
 MARKED = 1 << 21
 #: Up to so many classes at one shingle are compared two by two.
 PAIRWISE = 48
-#: Sets of one block of a large group.
-BLOCK = 1500
+#: Sets of one block of a large group, and their shingles, about.
+BLOCK, BLOCK_SHINGLES = 1500, 1_000_000
 #: Rounds that add newly found frequent shingles to the marks.
 ROUNDS = 3
 
@@ -212,15 +212,20 @@ def links_of(stored: list[np.ndarray], queries: list[np.ndarray] | None, percent
 # --- Spark jobs ------------------------------------------------------------------------
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a task holds the sets of few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _pass_sets(docs: DataFrame, size: int) -> DataFrame:
     """A row for each document (end_ = 0) and for each shingle seen twice or more by a batch of different sets (end_ = 1)."""
     kind = docs.schema["id_"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = np.uint64(int(0.6 * (1 << 64)))  # higher hashes hardly come into a prefix
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, 4096):
             rows: list[list] = [[] for _ in range(4)]
             seen, parts = set(), []
             for text in batch.column(1).to_pylist():
@@ -255,7 +260,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, bitmap) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = np.frombuffer(bitmap.value, np.uint8), set()
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             out: list[list[np.ndarray]] = [[] for _ in range(4)]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, size)
@@ -283,15 +288,18 @@ def _meetings(rows: DataFrame, percent: int, bitmap) -> DataFrame:
         kept: tuple | None = None  # rows of the last shingle, which may go on
         large: tuple | None = None  # shingle, leader and last length of a large group that may go on
 
-        def close(h1, n, pos):
-            """Pairs of one shingle's classes within the bounds of lengths and positions."""
-            i, j = np.triu_indices(len(h1), 1)
-            ok = (h1[i] != h1[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            # at the first shingle that two sets share, only what follows in both can be shared still
-            ok &= (100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j])
-            i, j = i[ok], j[ok]
-            if len(i):
-                a_out.append(np.stack([np.minimum(h1[i], h1[j]), np.maximum(h1[i], h1[j]), np.zeros(len(i), np.int64)]))
+        def close(token, h1, n, pos):
+            """Pairs of classes at one shingle, for all shingles at hand, within the bounds of lengths and positions."""
+            for step in range(1, PAIRWISE):
+                i = np.flatnonzero(token[:-step] == token[step:])
+                if not len(i):
+                    break
+                j = i + step
+                # at the first shingle that two sets share, only what follows in both can be shared still
+                ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j]))
+                i, j = i[ok], j[ok]
+                if len(i):
+                    a_out.append(np.stack([np.minimum(h1[i], h1[j]), np.maximum(h1[i], h1[j]), np.zeros(len(i), np.int64)]))
 
         def tie(token, h1, n, leader, last):
             """Tie classes in order of length to a leader, anew after a gap that no similar sets can bridge."""
@@ -317,12 +325,16 @@ def _meetings(rows: DataFrame, percent: int, bitmap) -> DataFrame:
                 if x.shape[1]:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["a", "b", "tie"])
 
+        before: tuple | None = None  # the row before, to drop what copies in other tasks have repeated
         for batch in batches:
             token, h1, n, pos = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
             if not len(token):
                 continue
+            new = np.concatenate([[before != (token[0], h1[0])], (token[1:] != token[:-1]) | (h1[1:] != h1[:-1])])
+            before = (token[-1], h1[-1])
+            token, h1, n, pos = token[new], h1[new], n[new], pos[new]
             if large is not None:
-                same = int(np.searchsorted(token != large[0], True)) if (token != large[0]).any() else len(token)
+                same = int((token == large[0]).sum())
                 if same:
                     large = tie(large[0], h1[:same], n[:same], large[1], large[2])
                     token, h1, n, pos = token[same:], h1[same:], n[same:], pos[same:]
@@ -333,21 +345,22 @@ def _meetings(rows: DataFrame, percent: int, bitmap) -> DataFrame:
             if kept is not None:
                 token, h1, n, pos = (np.concatenate(p) for p in zip(kept, (token, h1, n, pos), strict=True))
                 kept = None
+            if not len(token):
+                continue
             cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            stop = np.concatenate([cut[1:], [len(token)]])
-            for lo, hi in zip(cut[:-1].tolist(), stop[:-1].tolist(), strict=True):
-                if hi - lo > PAIRWISE:
-                    begin_large(int(token[lo]), h1[lo:hi], n[lo:hi])
-                elif hi - lo > 1:
-                    close(h1[lo:hi], n[lo:hi], pos[lo:hi])
-            lo = int(cut[-1])
-            if len(token) - lo > PAIRWISE:
-                large = begin_large(int(token[lo]), h1[lo:], n[lo:])
+            size = np.diff(np.concatenate([cut, [len(token)]]))
+            whole, last = size[:-1], int(cut[-1])  # the last shingle may go on
+            for lo, m in zip(cut[:-1][whole > PAIRWISE].tolist(), whole[whole > PAIRWISE].tolist(), strict=True):
+                begin_large(int(token[lo]), h1[lo : lo + m], n[lo : lo + m])
+            few = np.repeat((whole > 1) & (whole <= PAIRWISE), whole)
+            close(token[:last][few], h1[:last][few], n[:last][few], pos[:last][few])
+            if size[-1] > PAIRWISE:
+                large = begin_large(int(token[last]), h1[last:], n[last:])
             else:
-                kept = (token[lo:], h1[lo:], n[lo:], pos[lo:])
+                kept = (token[last:], h1[last:], n[last:], pos[last:])
             yield from flush()
-        if kept is not None and len(kept[0]) > 1:
-            close(*kept[1:])
+        if kept is not None:
+            close(*kept)
         yield from flush()
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "h1")
@@ -359,7 +372,7 @@ def _member_sets(docs: DataFrame, size: int, members) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(members.value, np.uint8), set()
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             rows: list[list] = [[] for _ in range(4)]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, size)
@@ -398,8 +411,8 @@ def _bitmap_of(df: DataFrame, column: str) -> np.ndarray:
 
 
 def _group_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each group: columns a and b, the two classes as text. sets: group, members, h1, h2, tokens."""
-    blocks = F.ceil(F.col("members") / BLOCK)
+    """Links of each group: columns a and b, the two classes as text. sets: group, members, shingles, h1, h2, tokens."""
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
     own = F.pmod(F.xxhash64("h2"), blocks)
     dealt = sets.withColumn("blocks", blocks).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))))
@@ -462,7 +475,7 @@ def _row_components(docs: DataFrame, size: int, percent: int, id_col: str, text_
     apart = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
     near = pairs.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
     groups = materialise(components(near.unionByName(met.where("tie = 1").select("a", "b"))).withColumnsRenamed({"node": "h1", "root": "group"}), "groups")
-    sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
+    sizes = groups.join(classes.select(F.col("h1_").alias("h1"), "n"), "h1").groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
 
     members = sc.broadcast(_bitmap_of(groups, "h1").tobytes())
     sets = _member_sets(source, size, members).groupBy("h1", "h2").agg(F.first("tokens").alias("tokens"))
