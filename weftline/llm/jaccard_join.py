@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join of documents by prefix filtering and prefix trees.
 
 1. Every text becomes the set of its distinct word shingles (64-bit hashes). Equal sets are
-   one class, so copies are not compared. Each class has a 1024-bit parity sketch.
+   one class, so copies are not compared. Each class has a parity sketch of a bit a shingle or more.
 2. One order of all shingles holds everywhere: those marked frequent come last, otherwise by
    hash. Two sets that are similar enough share a shingle among their first ``n - ceil(T n) + 1``.
    The mark is a fixed-size bitmap of the shingles seen often by tasks; any bitmap gives the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialise
 from weftline.llm.components import components
 
-SKETCH_WORDS = 16  # of 64 bits
+SKETCH_BITS = 1024  # at least
 MARK_BITS = 1 << 25
 #: Marked shingles at most; the threshold rises until they fit.
 MARKED = 1 << 21
@@ -72,10 +72,19 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def sketch(s: np.ndarray) -> list[int]:
-    """Parity of the shingles by hash modulo 1024: the Hamming distance of two is at most their sets' difference."""
-    odd = np.bincount(((s >> np.uint64(20)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64).tolist()
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles by hash modulo a power of two of at least their number: at most their difference can differ."""
+    bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of two sets' difference: the longer sketch is folded, as a modulus divides its multiples."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    m = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, m), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def marked(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -224,7 +233,6 @@ def _pass_sets(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["id_"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = np.uint64(int(0.6 * (1 << 64)))  # higher hashes hardly come into a prefix
         for batch in _slices(batches, 4096):
             rows: list[list] = [[] for _ in range(4)]
             seen, parts = set(), []
@@ -235,7 +243,7 @@ def _pass_sets(docs: DataFrame, size: int) -> DataFrame:
                     r.append(x)
                 if (a, b) not in seen:
                     seen.add((a, b))
-                    parts.append(s[: np.searchsorted(s, limit)])
+                    parts.append(s)
             n = batch.num_rows
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
             values, counts = values[counts > 1], counts[counts > 1]
@@ -246,13 +254,13 @@ def _pass_sets(docs: DataFrame, size: int) -> DataFrame:
                 pa.concat_arrays([pa.array(rows[0], pa.int64()), none(pa.int64())]),
                 pa.concat_arrays([pa.array(rows[1], pa.int64()), pa.array(values.view(np.int64))]),
                 pa.concat_arrays([pa.array(rows[2], pa.int64()), pa.array(counts.astype(np.int64))]),
-                pa.concat_arrays([pa.array(rows[3], pa.list_(pa.int64())), none(pa.list_(pa.int64()))]),
+                pa.concat_arrays([pa.array(rows[3], pa.binary()), none(pa.binary())]),
                 pa.array([0] * n + [1] * m, pa.int32()),
                 pa.concat_arrays([batch.column(2), none(pa.int64())]),
             ]
             yield pa.RecordBatch.from_arrays(cols, ["id_", "n_", "h1_", "h2_", "sketch_", "end_", "x_"])
 
-    return docs.select("*", F.xxhash64("text_").alias("x_")).mapInArrow(run, f"id_ {kind}, n_ long, h1_ long, h2_ long, sketch_ array<long>, end_ int, x_ long")
+    return docs.select("*", F.xxhash64("text_").alias("x_")).mapInArrow(run, f"id_ {kind}, n_ long, h1_ long, h2_ long, sketch_ binary, end_ int, x_ long")
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, bitmap) -> DataFrame:
@@ -367,6 +375,19 @@ def _meetings(rows: DataFrame, percent: int, bitmap) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, tie long")
 
 
+def _near(percent: int):
+    """Keeps the pairs whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            least = np.array([apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            ok = pa.array(least * (100 + percent) <= n * (100 - percent))
+            yield batch.select(["a", "b"]).filter(ok)
+
+    return run
+
+
 def _member_sets(docs: DataFrame, size: int, members) -> DataFrame:
     """Sets of the classes whose hash is in a bitmap: h1, h2, n, tokens."""
 
@@ -472,8 +493,7 @@ def _row_components(docs: DataFrame, size: int, percent: int, id_col: str, text_
     pairs = met.where("tie = 0").select("a", "b").distinct()
     side = lambda s: classes.select(F.col("h1_").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
-    near = pairs.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    near = pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
     groups = materialise(components(near.unionByName(met.where("tie = 1").select("a", "b"))).withColumnsRenamed({"node": "h1", "root": "group"}), "groups")
     sizes = groups.join(classes.select(F.col("h1_").alias("h1"), "n"), "h1").groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
 
