@@ -31,6 +31,7 @@ from weftline.llm.common import map_batches, materialise
 
 SLOTS = 64
 BAND_SLOTS = 4
+BAND_NEIGHBOURS = 16
 PERIOD = 4096  # of the random bits
 CLASSES = 256
 #: Documents and characters that a task holds at once in matrices, about.
@@ -220,8 +221,10 @@ def near_links(prints: DataFrame, at_least: float = 0.8, id_col: str = "doc_id")
     """Verified near-duplicate links between fingerprints: class_a, class_b (class_a < class_b), likeness.
 
     ``prints`` has an id and ``fingerprint``. Texts of one fingerprint are a class, named by its
-    fingerprint. Each class is compared with the least and the next lesser class of each of its
-    bands, so a band's links grow with its size, not its square, and still join all that are near.
+    fingerprint. Each class is compared with the least class of each of its bands and with the
+    BAND_NEIGHBOURS before it in the band's order, so links grow with a band's size, not its
+    square. The search is approximate in two ways: near texts may share no band, and in bands
+    with more classes than that, two near ones may only be joined by way of others.
     """
     from pyspark.sql import window as W
 
@@ -232,8 +235,8 @@ def near_links(prints: DataFrame, at_least: float = 0.8, id_col: str = "doc_id")
     least = keyed.groupBy("key").agg(F.min("fingerprint").alias("class_a"), F.count("*").alias("n")).where("n > 1")
     star = keyed.join(least, "key").where("fingerprint <> class_a").select("class_a", F.col("fingerprint").alias("class_b"))
     # a second comparison inside the band, dealt by a finer key so that a common band spreads
-    finer = W.Window.partitionBy("key", F.substring("fingerprint", 1, 2)).orderBy("fingerprint")
-    chain = keyed.join(least.select("key"), "key").withColumn("class_a", F.lag("fingerprint").over(finer)).where("class_a is not null").select("class_a", F.col("fingerprint").alias("class_b"))
+    finer = W.Window.partitionBy("key", F.substring("fingerprint", 1, 2)).orderBy("fingerprint").rowsBetween(-BAND_NEIGHBOURS, -1)
+    chain = keyed.join(least.select("key"), "key").withColumn("earlier", F.collect_list("fingerprint").over(finer)).select(F.explode("earlier").alias("class_a"), F.col("fingerprint").alias("class_b"))
     pairs = star.unionByName(chain).distinct()
     bytes_equal = F.lit(0)
     for k in range(SLOTS):
