@@ -204,3 +204,40 @@ def test_end_to_end_path(spark, files, progs, stmts):
     down = G.distances(edges, spark.createDataFrame([("FILE:PROD.PAY.IN",)], "id string"), 8, "down")
     got = {r.id: r.dist for r in down.collect()}
     assert got["PROGRAM:PAYMAIN"] == 1 and got["FILE:PROD.PAY.SRT"] == 4
+
+
+JOB2 = """//UNJOB   JOB (1)
+//U1      EXEC PGM=DSNTIAUL
+//SYSREC00 DD DSN=P.A,DISP=(NEW,CATLG)
+//SYSREC01 DD DSN=P.B,DISP=(NEW,CATLG)
+//SYSIN   DD *
+ SELECT K, AMT FROM DB.ACCT WHERE X = 1;
+ SELECT TRIM(A), B FROM DB.OTHER;
+/*
+//F1      EXEC PGM=FTP
+//INPUT   DD *
+ put 'P.A' feed_&DATE..txt
+ put 'P.B' plain.txt
+ quit
+/*
+"""
+
+
+def test_unloads_and_transfers(spark, tmp_path):
+    (tmp_path / "u.jcl").write_text(JOB2)
+    steps = L.job_steps(E.job_statements(E.files(spark, str(tmp_path))))
+    got = {(r.table, tuple(r.columns), r.dsn) for r in L.unloads(L.dd_statements(steps)).collect()}
+    assert got == {("DB.ACCT", ("K", "AMT"), "P.A"), ("DB.OTHER", ("TRIM(A)", "B"), "P.B")}
+    fields = spark.createDataFrame([("P.A", "RDR", "F-K", 1, 1, 8), ("P.A", "RDR", "F-AMT", 2, 9, 8), ("P.B", "RDR", "ONLY", 1, 1, 8)], "dsn string, program string, field string, ord int, start int, length int")
+    named, gaps = L.unload_aliases(L.unloads(L.dd_statements(steps)), fields)
+    assert pairs(named, "field", "column") == {("F-K", "K"), ("F-AMT", "AMT")}
+    assert pairs(gaps, "program", "snippet") == {("RDR", "P.B")}
+    edges, templates = L.transfers(steps)
+    assert ("PROGRAM:FTP.UNJOB.F1", "FILE:plain.txt") in pairs(edges, "source_id", "target_id") and edges.count() == 4
+    assert pairs(templates, "template", "dsn") == {("feed_*.txt", "P.A")}
+
+
+def test_assignments(spark):
+    rows = [("P", 1, "UPDATE T SET A = B + 1, C = 'X' WHERE D = 2"), ("P", 2, "MERGE INTO T T1 USING S S1 ON (T1.K = S1.K) WHEN MATCHED THEN UPDATE SET T1.A = NVL(S1.A, T1.B), T1.C = S1.D WHEN NOT MATCHED THEN INSERT (K) VALUES (1)")]
+    got = {(r.seq, r.target_column): tuple(r.sources) for r in L.assignments(spark.createDataFrame(rows, "program string, seq int, stmt string")).collect()}
+    assert got == {(1, "A"): ("T|B",), (1, "C"): (), (2, "A"): ("S|A", "T|B"), (2, "C"): ("S|D",)}

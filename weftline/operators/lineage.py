@@ -332,3 +332,63 @@ def resolved(moves: DataFrame, links: DataFrame) -> DataFrame:
     """Terminals of every variable, across calls: target and terminal as program.variable."""
     key = lambda v: F.concat(F.col("program"), F.lit("."), F.col(v))
     return G.terminals(moves.select(key("target").alias("target"), key("source").alias("source")).unionByName(links).where("target <> source").distinct())
+
+
+# --- unloads, transfers and assignments ------------------------------------------------
+
+
+def unloads(dds: DataFrame) -> DataFrame:
+    """Unload steps: the n-th SELECT of the SYSIN deck with the n-th SYSREC dataset: program, pos, table, columns, dsn."""
+    own = dds.where(F.substring_index("program", ".", 1) == "DSNTIAUL")
+    deck = own.where("dd = 'SYSIN'").select("program", F.upper(F.regexp_replace(F.array_join("data", " "), r"\s+", " ")).alias("text"))
+    each = deck.select("program", F.posexplode(F.filter(F.transform(F.split("text", ";"), lambda x: F.trim(x)), lambda x: x.startswith("SELECT"))).alias("pos", "stmt"))
+    g = lambda k: F.regexp_extract("stmt", r"^SELECT (.+?) FROM ([A-Z0-9_.]+)", k)
+    records = own.where("dd like 'SYSREC%'").select("program", "dsn", (F.row_number().over(W.Window.partitionBy("program").orderBy("dd")) - 1).alias("pos"))
+    return each.select("program", "pos", g(2).alias("table"), split_top(g(1)).alias("columns")).join(records, ["program", "pos"])
+
+
+def unload_aliases(unloaded: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fields of a reader's record as names of the unloaded columns, paired in order; and records that don't align.
+
+    unloaded: dsn, columns; fields: dsn, program, field, ord, start, length. They align if the
+    numbers are equal and the fields lie side by side from byte 1.
+    """
+    cols = unloaded.select("dsn", F.posexplode("columns").alias("pos", "column"), F.size("columns").alias("n"))
+    key = W.Window.partitionBy("dsn", "program")
+    f = fields.withColumn("pos", F.row_number().over(key.orderBy("ord")) - 1)
+    before = F.coalesce(F.lag(F.col("start") + F.col("length")).over(key.orderBy("ord")), F.lit(1))
+    f = f.withColumn("side", before == F.col("start")).withColumns({"all_side": F.min("side").over(key), "m": F.count("*").over(key)})
+    met = f.join(cols, ["dsn", "pos"])
+    ok = F.col("all_side") & (F.col("m") == F.col("n"))
+    gaps = met.where(~ok).select("program", F.lit("UNLOAD_FD_ALIAS").alias("statement_type"), F.col("dsn").alias("snippet")).distinct()
+    return met.where(ok).select("dsn", "program", "field", "column"), gaps
+
+
+def transfers(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Transfers of datasets: file edges through the step, and remote names with symbols as ``*`` templates (template, dsn)."""
+    lines = steps.where("program = 'FTP'").select("job", "step", F.explode("data").alias("x"))
+    g = lambda k: F.regexp_extract("x", r"(?i)^\s*put\s+'([^']+)'\s+'?([^'\s]+)'?", k)
+    puts = lines.select("job", "step", F.upper(g(1)).alias("dsn"), g(2).alias("remote")).where("dsn <> ''")
+    template = F.regexp_replace("remote", r"&\w+\.?", "*")
+    node = F.concat_ws(".", F.lit("PROGRAM:FTP"), "job", "step")
+    edges = puts.select(F.concat(F.lit("FILE:"), "dsn").alias("source_id"), node.alias("target_id"), F.lit("READS_FROM").alias("edge_type"))
+    edges = edges.union(puts.select(node, F.concat(F.lit("FILE:"), template), F.lit("WRITES_TO")))
+    return edges.distinct(), puts.where("remote like '%&%'").select(template.alias("template"), "dsn")
+
+
+def assignments(stmts: DataFrame) -> DataFrame:
+    """Columns set by UPDATE and MERGE … UPDATE: program, seq, target, target_column, sources, transformation."""
+    update = r"^UPDATE ([A-Z0-9_.]+)(?: ([A-Z0-9_]+))? SET (.+?)(?: WHERE (.*))?$"
+    merge = r"^MERGE INTO ([A-Z0-9_.]+)(?: ([A-Z0-9_]+))? USING ([A-Z0-9_.]+)(?: ([A-Z0-9_]+))? ON .*? WHEN MATCHED THEN UPDATE SET (.+?)(?: WHEN NOT MATCHED .*)?$"
+
+    def rows(pattern, set_part, tables):
+        t = stmts.where(F.col("stmt").rlike(pattern))
+        g = lambda k: F.regexp_extract("stmt", pattern, k)
+        each = t.select("program", "seq", g(1).alias("target"), tables(g).alias("tables"), F.explode(split_top(g(set_part))).alias("item"))
+        column = F.regexp_extract("item", r"^(?:[A-Z0-9_]+\.)?([A-Z0-9_]+) ?=", 1)
+        expr = F.trim(F.regexp_replace("item", r"^[^=]*= ?", ""))
+        return each.select("program", "seq", "target", column.alias("target_column"), source_columns(expr, F.col("tables")).alias("sources"), S.clipped(expr, 400).alias("transformation"))
+
+    one = lambda g: table_aliases(F.concat_ws(" ", g(1), g(2)))
+    two = lambda g: table_aliases(F.concat(F.trim(F.concat_ws(" ", g(1), g(2))), F.lit(", "), F.trim(F.concat_ws(" ", g(3), g(4)))))
+    return rows(update, 3, one).unionByName(rows(merge, 5, two))
