@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: shared scratch tables, Arrow mapping, bounded broadcasts."""
+"""Helpers shared by the operators: scratch tables in the shared folder, Arrow mapping, folds."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 50_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
@@ -38,12 +35,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that nothing will read again."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Apply a batch function to Arrow batches; ``make`` runs once in each task and returns it."""
 
@@ -59,11 +50,6 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size is within ``limit``; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

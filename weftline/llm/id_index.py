@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialise
@@ -331,7 +331,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, id_co
         before = {tuple(r["last"]): r["n"] + 1 + (carried if r["first"] == r["last"] else 0)}
     rows = sum(s[1] for s in shards)
     buckets = -(-rows // BUCKET_KEYS)
-    starts = spark.createDataFrame(shards, "shard_ long, rows_ long, tokens_ long, start_ long, first_null long, first_id long, carried long".replace("first_null long", "first_null boolean"))
+    starts = spark.createDataFrame(shards, "shard_ long, rows_ long, tokens_ long, start_ long, first_null boolean, first_id long, carried long")
     width = WordEncoder.of(sent.value).kind.itemsize
     if buckets:
         same = (F.col("id_") == F.col("first_id")) & (F.col("is_null_") == F.col("first_null"))
