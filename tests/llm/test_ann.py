@@ -53,3 +53,20 @@ def test_few_rows_and_none(spark):
     assert answer(spark, [(0, [1.0, 2.0]), (5, [3.0, 1.0])]) == {0: [(5, 5.0)]}
     assert answer(spark, [(0, [1.0, 2.0])]) == {}
     assert answer(spark, [(0, None)]) == {}
+
+
+def recall(got, want):
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q]) for q in want])
+
+
+def test_descent_and_search_go_on_until_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 16)
+    monkeypatch.setattr(A, "ORDERS", 2)
+    x = np.float32(np.random.default_rng(6).normal(size=(2000, 8)))
+    rows = [(k, [float(f) for f in v]) for k, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    assert recall(answer(spark, rows), brute(rows, 20, 20)) >= 0.99
+
+
+def test_pools_grow_with_the_nodes():
+    assert A.pool_size(1) == A.pool_size(A.POOL_NODES) == A.POOL
+    assert A.pool_size(16 * A.POOL_NODES) == 4 * A.POOL

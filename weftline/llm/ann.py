@@ -3,13 +3,15 @@
 Equal vectors are one node. The graph starts from blocks of vectors that lie together in the
 order of random-hyperplane codes (several orders); inside a block every vector keeps its best
 partners. NN-descent then joins neighbours of neighbours: along the kept edges every node
-introduces its neighbours to each other, and each keeps the best it has met. A query starts
-from its own node, repeatedly opens the best unopened nodes of its pool and scores their
-neighbours. Codes see vectors lengthened to one norm, so long vectors don't fall into one
+introduces its neighbours to each other, and each keeps the best it has met, until rounds
+change hardly any list. A query starts from its own node, opens the best unopened nodes of its
+pool and scores their neighbours, until its pool holds no unopened node. Codes see vectors lengthened to one norm, so long vectors don't fall into one
 block.
 
-Every list is bounded (BLOCK, NEIGHBOURS, REVERSE, POOL), so work grows with the rows. The
-search is approximate; tests measure its recall against brute force. Scores are exact.
+Lists of the graph are bounded (BLOCK, NEIGHBOURS, REVERSE); a query's pool grows with the
+square root of the nodes (``pool_size``), as the share of them that it has to see to find its
+nearest does not fall as fast as they grow. The search is approximate; tests measure its
+recall against brute force. Scores are exact.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows without id; rows equal in id and vector count
@@ -18,6 +20,8 @@ once; equal scores are ordered by id; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +39,19 @@ NEIGHBOURS = 32
 FORWARD, REVERSE = 16, 16
 #: Introductions that each node keeps of one meeting.
 MET = 6
-ROUNDS = 2
-#: A query's pool, nodes opened in a step, and steps.
-POOL, OPEN, STEPS = 64, 16, 3
+#: NN-descent ends with the round that changes less than this share of the list entries.
+CHANGED = 0.001
+#: A query's pool for up to POOL_NODES nodes, and nodes opened in a step.
+POOL, POOL_NODES, OPEN = 64, 1 << 14, 16
 CODE_BITS = 24
 GRAPH = "node long, nbrs array<long>, scores array<float>"
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best different ids, without ``own``."""
-    ids, first = np.unique(ids, return_index=True)
-    scores = scores[first]
+    """The ``k`` best different ids, without ``own``; of an id's scores, which may differ by a rounding, the highest counts."""
+    down = np.argsort(-scores, kind="stable")
+    ids, first = np.unique(ids[down], return_index=True)
+    scores = scores[down][first]
     keep = ids != own
     ids, scores = ids[keep], scores[keep]
     order = np.lexsort((ids, -scores))[:k]
@@ -172,10 +178,23 @@ def _descend(graph: DataFrame, nodes: DataFrame, dim: int, kind: str) -> DataFra
     return _merged(graph.unionByName(map_batches(meet, make, GRAPH)))
 
 
+def _changed(before: DataFrame, after: DataFrame) -> float:
+    """The share of the list entries of ``after`` that ``before`` lacks."""
+    both = after.join(before.select("node", F.col("nbrs").alias("old")), "node", "left")
+    fresh = F.size(F.array_except("nbrs", F.coalesce("old", F.array().cast("array<long>"))))
+    new, every = both.agg(F.sum(fresh), F.sum(F.size("nbrs"))).first()
+    return new / every if every else 0.0
+
+
+def pool_size(n: int) -> int:
+    """Entries of a query's pool among ``n`` nodes."""
+    return POOL * max(1, math.ceil(math.sqrt(n / POOL_NODES)))
+
+
 POOLED = "node long, ids array<long>, scores array<double>, opened array<boolean>"
 
 
-def _score(pools: DataFrame, fresh: DataFrame, nodes: DataFrame, dim: int, kind: str) -> DataFrame:
+def _score(pools: DataFrame, fresh: DataFrame, nodes: DataFrame, dim: int, kind: str, size: int) -> DataFrame:
     """Pools with the candidates of ``fresh`` (node, nbr) scored and merged in."""
     vecs = fresh.join(nodes.select(F.col("node").alias("nbr"), "vec"), "nbr").groupBy("node").agg(F.collect_list(F.struct("nbr", "vec")).alias("members"))
     rows = pools.join(vecs, "node", "left").join(nodes.select("node", F.col("vec").alias("own")), "node").select("node", "ids", "scores", "opened", "members", "own")
@@ -194,7 +213,7 @@ def _score(pools: DataFrame, fresh: DataFrame, nodes: DataFrame, dim: int, kind:
                     s = np.array([np.dot(r, q) for r in x[is_new]])
                     ids, scores = np.concatenate([ids, new[is_new]]), np.concatenate([scores, s])
                     opened = np.concatenate([opened, np.zeros(len(s), bool)])
-                order = np.lexsort((ids, -scores))[:POOL]
+                order = np.lexsort((ids, -scores))[:size]
                 for o, v in zip(out, (node, ids[order], scores[order], opened[order]), strict=True):
                     o.append(v)
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
@@ -205,14 +224,20 @@ def _score(pools: DataFrame, fresh: DataFrame, nodes: DataFrame, dim: int, kind:
     return map_batches(rows, make, POOLED)
 
 
-def _search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, kind: str) -> DataFrame:
-    """Greedy search for some nodes: POOLED."""
+def _search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, kind: str, size: int) -> DataFrame:
+    """Greedy search for some nodes: POOLED. Pools without an unopened node are set aside, so a step works on the others only."""
     own = graph.join(queries, "node").select("node", F.explode("nbrs").alias("nbr"))
     itself = queries.select("node", F.col("node").alias("nbr"))
     empty = queries.select("node", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<boolean>").alias("opened"))
-    pools = materialise(_score(empty, own.unionByName(itself).distinct(), nodes, dim, kind), "pools")
+    pools = materialise(_score(empty, own.unionByName(itself).distinct(), nodes, dim, kind, size), "pools")
     near = materialise(_edges(graph, NEIGHBOURS, NEIGHBOURS).groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "near")
-    for _ in range(STEPS):
+    done: list[DataFrame] = []
+    while True:
+        unopened = F.exists("opened", lambda x: ~x)
+        done.append(pools.where(~unopened))
+        pools = pools.where(unopened)
+        if pools.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
         # the best unopened nodes of each pool, which is in order of score
         numbered = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.struct(F.get("ids", i).alias("id"), F.get("opened", i).alias("opened")))
         best = pools.select("node", F.slice(F.filter(numbered, lambda x: ~x["opened"]), 1, OPEN).alias("open"))
@@ -220,8 +245,7 @@ def _search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, ki
         fresh = to_open.join(near.withColumnRenamed("node", "opened_"), "opened_").select("node", F.explode("nbrs").alias("nbr")).distinct()
         after = pools.join(best, "node").select("node", "ids", "scores", F.transform("ids", lambda i, k: F.get("opened", k) | F.array_contains("open.id", i)).alias("opened"))
         known = after.select("node", F.explode("ids").alias("nbr"))
-        pools = materialise(_score(after, fresh.join(known, ["node", "nbr"], "left_anti"), nodes, dim, kind), "pools")
-    return pools
+        pools = materialise(_score(after, fresh.join(known, ["node", "nbr"], "left_anti"), nodes, dim, kind, size), "pools")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -256,10 +280,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     n, longest = nodes.agg(F.count("*"), F.max("norm")).first()
     nodes = nodes.select("node", "vec")
     graph = materialise(_start(nodes, n, dim, kind, longest), "graph")
-    for _ in range(ROUNDS):
-        graph = materialise(_descend(graph, nodes, dim, kind), "graph")
+    changed = 1.0
+    while changed >= CHANGED:
+        before, graph = graph, materialise(_descend(graph, nodes, dim, kind), "graph")
+        changed = _changed(before, graph)
     asked = packed.where(F.col("id") % every == 0).select("id", "node")
-    pools = _search(asked.select("node").distinct(), graph, nodes, dim, kind)
+    pools = _search(asked.select("node").distinct(), graph, nodes, dim, kind, pool_size(n))
 
     # a node's answer holds k + 1 rows, as a query leaves itself out; no node gives more than so many members
     by_id = W.Window.partitionBy("node").orderBy("id")
