@@ -70,3 +70,27 @@ def test_descent_and_search_go_on_until_nothing_changes(spark, monkeypatch):
 def test_pools_grow_with_the_nodes():
     assert A.pool_size(1) == A.pool_size(A.POOL_NODES) == A.POOL
     assert A.pool_size(16 * A.POOL_NODES) == 4 * A.POOL
+
+
+def test_tight_cluster_and_one_very_long_vector(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 32)
+    monkeypatch.setattr(A, "ORDERS", 3)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1600, 8))
+    x[400:1200] = x[0] + rng.normal(size=(800, 8)) * 1e-3  # equal codes, many blocks
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1599] *= 1000
+    rows = [(k, [float(f) for f in v]) for k, v in enumerate(np.float32(x))]
+    got, want = answer(spark, rows), brute(rows, 20, 20)
+    assert recall(got, want) >= 0.97
+    assert all(1599 in {i for i, _ in got[q]} for q in want if 1599 in {i for i, _ in want[q]})
+
+
+def test_equal_codes_are_dealt_anew_in_every_order(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 16)
+    monkeypatch.setattr(A, "ORDERS", 4)
+    x = np.ones((256, 8), np.float32)
+    x[:, 0] += np.arange(256, dtype=np.float32) * 1e-6
+    nodes = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, vec binary")
+    seen = [len(r.nbrs) for r in A._start(nodes, 256, 8, "<f4", [3.0]).collect()]
+    assert np.mean(seen) > 24  # one cut in all orders would show each node 15 others, or few more

@@ -5,8 +5,10 @@ order of random-hyperplane codes (several orders); inside a block every vector k
 partners. NN-descent then joins neighbours of neighbours: along the kept edges every node
 introduces its neighbours to each other, and each keeps the best it has met, until rounds
 change hardly any list. A query starts from its own node, opens the best unopened nodes of its
-pool and scores their neighbours, until its pool holds no unopened node. Codes see vectors lengthened to one norm, so long vectors don't fall into one
-block.
+pool and scores their neighbours, until its pool holds no unopened node. Codes of every second order see directions only, those of the others see
+vectors lengthened to a quantile of the norms, so neither long vectors nor the rest, beside a
+few very long ones, share one code. Equal codes are dealt by a hash of node and order, so each
+order cuts a group of them into other blocks.
 
 Lists of the graph are bounded (BLOCK, NEIGHBOURS, REVERSE); a query's pool grows with the
 square root of the nodes (``pool_size``), as the share of them that it has to see to find its
@@ -80,8 +82,8 @@ def _merged(lists: DataFrame) -> DataFrame:
     return map_batches(grouped, make, GRAPH)
 
 
-def _coded(nodes: DataFrame, dim: int, kind: str, longest: float) -> DataFrame:
-    """Every node's vector once for each order, with its code."""
+def _coded(nodes: DataFrame, dim: int, kind: str, norms: list[float]) -> DataFrame:
+    """Every node's vector once for each order, with its code; odd orders lengthen the vectors that are shorter than one of ``norms``."""
 
     def make():
         rng = np.random.default_rng(23)
@@ -91,9 +93,12 @@ def _coded(nodes: DataFrame, dim: int, kind: str, longest: float) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, vecs = batch.column(0).to_numpy(), batch.column(1)
             x = np.frombuffer(b"".join(v.as_buffer() for v in vecs), kind).reshape(-1, dim).astype(np.float32)
-            rest = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
-            x = np.concatenate([x, rest[:, None]], axis=1)
-            codes = np.stack([(x @ p > 0) @ place for p in planes], axis=1)
+            square = (x * x).sum(1)
+            sides = []
+            for o, p in enumerate(planes):
+                longest = norms[o // 2 % len(norms)] if o % 2 else 0.0
+                sides.append((x @ p[:-1] + np.sqrt(np.maximum(longest**2 - square, 0))[:, None] * p[-1] > 0) @ place)
+            codes = np.stack(sides, axis=1)
             order = np.tile(np.arange(ORDERS), len(ids))
             each = np.repeat(np.arange(len(ids)), ORDERS)
             return pa.RecordBatch.from_arrays([pa.array(order), pa.array(codes.ravel()), pa.array(ids[each]), vecs.take(pa.array(each))], ["order_", "code", "node", "vec"])
@@ -103,7 +108,7 @@ def _coded(nodes: DataFrame, dim: int, kind: str, longest: float) -> DataFrame:
     return map_batches(nodes, make, "order_ long, code long, node long, vec binary")
 
 
-def _start(nodes: DataFrame, n: int, dim: int, kind: str, longest: float) -> DataFrame:
+def _start(nodes: DataFrame, n: int, dim: int, kind: str, norms: list[float]) -> DataFrame:
     """The first graph, from blocks of each order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,16 +145,18 @@ def _start(nodes: DataFrame, n: int, dim: int, kind: str, longest: float) -> Dat
 
     # each partition holds at least two blocks, so that its last, shorter one matters little
     parts = max(1, n * ORDERS // (2 * BLOCK))
-    coded = _coded(nodes, dim, kind, longest).repartitionByRange(parts, "order_", "code").sortWithinPartitions("order_", "code", "node")
+    salt = F.xxhash64("node", "order_").alias("salt")
+    coded = _coded(nodes, dim, kind, norms).select("order_", "code", "node", "vec", salt)
+    coded = coded.repartitionByRange(parts, "order_", "code", "salt").sortWithinPartitions("order_", "code", "salt")
     return _merged(coded.mapInArrow(run, GRAPH))
 
 
 def _edges(graph: DataFrame, forward: int, reverse: int) -> DataFrame:
-    """The best edges of each node, both ways, of which no node has more than ``forward + reverse``: node, nbr."""
+    """The ``forward`` best edges of each node, and the ``reverse`` best that lead to it, turned round: node, nbr."""
     out = graph.select("node", F.posexplode(F.arrays_zip("nbrs", "scores")).alias("k", "e")).where(F.col("k") < forward).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.scores").alias("score"))
     by = W.Window.partitionBy("nbr").orderBy(F.desc("score"), "node")
-    kept = out.withColumn("r", F.row_number().over(by)).where(F.col("r") <= reverse).select("node", "nbr")
-    return kept.unionByName(kept.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
+    kept = out.withColumn("r", F.row_number().over(by)).where(F.col("r") <= reverse)
+    return out.select("node", "nbr").unionByName(kept.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
 
 
 def _descend(graph: DataFrame, nodes: DataFrame, dim: int, kind: str) -> DataFrame:
@@ -277,9 +284,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
 
     packed = materialise(map_batches(rows.select("id", "node", "v"), make, "id long, node long, vec binary, norm double").distinct(), "vectors")
     nodes = materialise(packed.groupBy("node").agg(F.first("vec").alias("vec"), F.max("norm").alias("norm")), "nodes")
-    n, longest = nodes.agg(F.count("*"), F.max("norm")).first()
+    n, norms = nodes.agg(F.count("*"), F.percentile_approx("norm", [0.5, 0.9, 0.99, 1.0])).first()
     nodes = nodes.select("node", "vec")
-    graph = materialise(_start(nodes, n, dim, kind, longest), "graph")
+    graph = materialise(_start(nodes, n, dim, kind, norms or [0.0]), "graph")
     changed = 1.0
     while changed >= CHANGED:
         before, graph = graph, materialise(_descend(graph, nodes, dim, kind), "graph")
