@@ -86,3 +86,19 @@ def test_links_are_verified(spark):
     near = {frozenset((r.class_a, r.class_b)) for r in links}
     assert frozenset((fps[0], fps[1])) in near or fps[0] == fps[1]
     assert not any(fps[3] in p for p in near)
+
+
+def test_a_hot_band_is_compared_fully(spark, monkeypatch):
+    import weftline.llm.edit_embedding as E
+
+    monkeypatch.setattr(E, "BAND_BLOCK", 32, raising=False)
+    pick = random.Random(6)
+    common = [pick.randrange(256) for _ in range(SLOTS)]
+    rows = []
+    for _ in range(300):
+        own = [pick.randrange(256) if k < 4 or pick.random() < 0.15 else x for k, x in enumerate(common)]
+        own[4:8] = common[4:8]  # one band that all share, after a first slot that differs
+        rows.append(bytes(own))
+    want = {(min(a, b).hex(), max(a, b).hex()) for a in rows for b in rows if a < b and likeness(a, b) >= 0.72}
+    got = [(r.class_a, r.class_b) for r in near_links(spark.createDataFrame([(k, x.hex()) for k, x in enumerate(rows)], "doc_id long, fingerprint string"), at_least=0.72).collect()]
+    assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want

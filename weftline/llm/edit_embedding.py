@@ -31,7 +31,8 @@ from weftline.llm.common import map_batches, materialise
 
 SLOTS = 64
 BAND_SLOTS = 4
-BAND_NEIGHBOURS = 16
+#: Classes of a band that are compared within one block; larger bands are dealt as pairs of blocks.
+BAND_BLOCK = 256
 PERIOD = 4096  # of the random bits
 CLASSES = 256
 #: Documents and characters that a task holds at once in matrices, about.
@@ -221,24 +222,23 @@ def near_links(prints: DataFrame, at_least: float = 0.8, id_col: str = "doc_id")
     """Verified near-duplicate links between fingerprints: class_a, class_b (class_a < class_b), likeness.
 
     ``prints`` has an id and ``fingerprint``. Texts of one fingerprint are a class, named by its
-    fingerprint. Each class is compared with the least class of each of its bands and with the
-    BAND_NEIGHBOURS before it in the band's order, so links grow with a band's size, not its
-    square. The search is approximate in two ways: near texts may share no band, and in bands
-    with more classes than that, two near ones may only be joined by way of others.
+    fingerprint. All classes of a band are compared with each other: those of a band with more
+    than BAND_BLOCK are dealt to blocks by a hash, and every pair of blocks is one group, so the
+    work of a common band spreads, but grows with the square of its classes. The search is
+    approximate in one way: near texts may share no band.
     """
-    from pyspark.sql import window as W
-
     classes = prints.select("fingerprint").distinct()
     band = F.sequence(F.lit(0), F.lit(SLOTS // BAND_SLOTS - 1))
     keyed = classes.select("fingerprint", F.explode(band).alias("band"))
-    keyed = keyed.withColumn("key", F.xxhash64("band", F.expr(f"substring(fingerprint, band * {2 * BAND_SLOTS} + 1, {2 * BAND_SLOTS})")))
-    least = keyed.groupBy("key").agg(F.min("fingerprint").alias("class_a"), F.count("*").alias("n")).where("n > 1")
-    star = keyed.join(least, "key").where("fingerprint <> class_a").select("class_a", F.col("fingerprint").alias("class_b"))
-    # a second comparison inside the band, dealt by a finer key so that a common band spreads
-    finer = W.Window.partitionBy("key", F.substring("fingerprint", 1, 2)).orderBy("fingerprint").rowsBetween(-BAND_NEIGHBOURS, -1)
-    chain = keyed.join(least.select("key"), "key").withColumn("earlier", F.collect_list("fingerprint").over(finer)).select(F.explode("earlier").alias("class_a"), F.col("fingerprint").alias("class_b"))
-    pairs = star.unionByName(chain).distinct()
+    keyed = keyed.withColumn("key", F.expr(f"concat(band, ':', substring(fingerprint, band * {2 * BAND_SLOTS} + 1, {2 * BAND_SLOTS}))")).drop("band")
+    blocks = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BAND_BLOCK).alias("blocks"))
+    dealt = keyed.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fingerprint"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "fingerprint", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    left = dealt.withColumnsRenamed({"fingerprint": "class_a", "own": "own_a"})
+    right = dealt.withColumnsRenamed({"fingerprint": "class_b", "own": "own_b"})
+    pairs = left.join(right, ["key", "lo", "hi"]).where("class_a < class_b and (lo = hi or own_a <> own_b)").select("class_a", "class_b")
     bytes_equal = F.lit(0)
     for k in range(SLOTS):
         bytes_equal = bytes_equal + (F.substring("class_a", 2 * k + 1, 2) == F.substring("class_b", 2 * k + 1, 2)).cast("int")
-    return pairs.withColumn("likeness", bytes_equal / SLOTS).where(F.col("likeness") >= at_least)
+    return pairs.withColumn("likeness", bytes_equal / SLOTS).where(F.col("likeness") >= at_least).distinct()
