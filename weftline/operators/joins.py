@@ -48,16 +48,40 @@ def composed(outer: DataFrame, inner: DataFrame) -> DataFrame:
 def unique_matches(names: DataFrame, templates: DataFrame) -> DataFrame:
     """Templates (template, with ``*`` for any run) with the one name that each matches; ambiguous ones are left out.
 
-    The literal part before the first star is an equi-key on its first characters, so the
-    pattern itself is only tried on names that begin alike.
+    A template without star is its own key. Otherwise the longer of its literal beginning and
+    end is an equi-key, met by the beginnings or ends of a name that have a length which occurs;
+    without either, its first literal between stars, met by the names' stretches of such a
+    length. The pattern itself is only tried on names that hold this literal. Stars alone match
+    every name, so one only if there is no other.
     """
-    width = 4
-    t = templates.withColumn("head_", F.substring(F.substring_index("template", "*", 1), 1, width)).where(F.length("head_") == width)
-    n = names.withColumn("head_", F.substring("name", 1, width))
+    head, tail = F.substring_index("template", "*", 1), F.substring_index("template", "*", -1)
+    middle = F.regexp_extract("template", r"^\*+([^*]+)\*", 1)
+    kind = F.when(~F.contains("template", F.lit("*")), "whole").when((head == "") & (tail == "") & (middle == ""), "any").when((head == "") & (tail == ""), "middle").when(F.length(tail) > F.length(head), "end").otherwise("begin")
+    t = templates.withColumn("kind_", kind).withColumn("key_", F.when(F.col("kind_") == "middle", middle).when(F.col("kind_") == "end", tail).otherwise(head))
+    lengths: dict[str, list[int]] = {"begin": [], "middle": [], "end": []}
+    for r in t.where(F.col("kind_").isin(*lengths)).select("kind_", F.length("key_").alias("length")).distinct().collect():
+        lengths[r["kind_"]].append(r["length"])
+    long = F.length("name")
+
+    def pieces(kind: str) -> Column:
+        fitting = F.filter(F.lit(lengths[kind]).cast("array<int>"), lambda k: k <= long)
+        if kind == "begin":
+            found = F.transform(fitting, lambda k: F.substr("name", F.lit(1), k))
+        elif kind == "end":
+            found = F.transform(fitting, lambda k: F.substr("name", long - k + 1, k))
+        else:
+            found = F.array_distinct(F.flatten(F.transform(fitting, lambda k: F.transform(F.sequence(F.lit(1), long - k + 1), lambda at: F.substr("name", at, k)))))
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind_"), x.alias("key_")))
+
+    whole = F.array(F.struct(F.lit("whole").alias("kind_"), F.col("name").alias("key_")))
+    keys = F.concat(whole, *(pieces(k) for k in lengths if lengths[k]))
+    n = names.select("name", F.explode(keys).alias("k_")).select("name", "k_.kind_", "k_.key_")
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("template", r"([.\\+?(){}\[\]^$|])", r"\\$1"), r"\*", ".*"), F.lit("$"))
-    met = n.join(t, "head_").where(F.regexp_like("name", pattern)).drop("head_")
+    met = n.join(t, ["kind_", "key_"]).where(F.regexp_like("name", pattern))
     counted = met.groupBy("template").agg(F.count("*").alias("n_"), F.first("name").alias("name"))
-    return counted.where("n_ = 1").select("template", "name")
+    lone = names.where("name is not null").agg(F.count("*").alias("n_"), F.first("name").alias("name")).where("n_ = 1").select("name")
+    stars = t.where("kind_ = 'any'").select("template").distinct().crossJoin(lone)
+    return counted.where("n_ = 1").select("template", "name").unionByName(stars)
 
 
 def paired(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
