@@ -58,3 +58,16 @@ def test_scan_and_redaction(spark):
 def test_redaction_merges_overlaps():
     assert redact("abcdefgh", [(1, 0, 4), (2, 2, 6)]) == "a[SECRET]gh"
     assert candidates("x a1b2c3d4e5f6g7h8i9", []) == [(2, 20)]
+
+
+def test_letter_only_runs_and_the_rest_of_cut_runs_are_scored():
+    from weftline.llm.secrets import find_all
+
+    key, hexa = "QwZrTmXkLpVbNcJhGfDsYt", "839756d1d951091d9155cd2a"
+    texts = [f"header {key} tail", f"path {hexa}/aKx72LmQp4RtYv8Wz3Bc6Df5G end", f"path aKx72LmQp4RtYv8Wz3Bc6Df5G/{hexa} end"]
+    assert candidates(texts[0], []) == [(7, 7 + len(key))]
+    assert candidates(texts[1], base_spans(texts[1])) == [(29, 55)] and candidates(texts[2], base_spans(texts[2])) == [(5, 31)]
+    clean = [redact(t, s) for t, s in zip(texts, find_all(texts, trained()), strict=True)]
+    assert clean == ["header [SECRET] tail", "path [SECRET][SECRET] end", "path [SECRET][SECRET] end"]
+    plain = ["see " + "-" * 40 + " end", "see internationalisation of words", "file some/long/path/of/plain/words here"]
+    assert find_all(plain, trained()) == [[], [], []]

@@ -1,8 +1,8 @@
 """Secret scans: exact rules, and a character convolutional network over every other candidate.
 
 The base rules (assignments, access keys, long hexadecimal runs) always count. Further
-candidates are runs of 16 or more key characters that hold a letter and a digit and lie
-outside base findings; each is scored by a small convolutional network, written in numpy, from
+candidates are runs of 16 or more key characters outside base findings, also what a base
+finding leaves of a longer run; each is scored by a small convolutional network, written in numpy, from
 its characters and those around it. The network is trained on labelled findings: the tables
 hold none, so they come from a seeded generator of secrets and of look-alikes in varied
 surroundings. Scores are calibrated on a validation part, and the threshold is the highest
@@ -34,8 +34,8 @@ _NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
 ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-HAS_BOTH = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 
 Span = tuple[int, int, int]  # start, position in KINDS, end
 
@@ -55,15 +55,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Key-like runs that touch no base finding."""
-    out, k, reach = [], 0, 0
-    for m in CANDIDATE.finditer(text):
-        while k < len(base) and base[k][0] < m.end():
-            reach = max(reach, base[k][2])
-            k += 1
-        if reach <= m.start() and HAS_BOTH.match(m.group()):
-            out.append(m.span())
-    return out
+    """Key-like runs outside base findings; a run that findings touch is cut into the pieces between them."""
+    out, at = [], 0
+    for start, end in sorted((a, b) for a, _, b in base):
+        if start - at >= SHORTEST:
+            out += [m.span() for m in CANDIDATE.finditer(text, at, start)]
+        at = max(at, end)
+    return out + [m.span() for m in CANDIDATE.finditer(text, at)]
 
 
 # --- labelled findings -----------------------------------------------------------------
@@ -81,7 +79,9 @@ def labelled_findings(n: int = TRAIN, seed: int = 11) -> list[tuple[str, int, in
         return "".join(pick.choice(alphabet) for _ in range(pick.randrange(lo, hi)))
 
     def secret():
-        shape = pick.randrange(5)
+        shape = pick.randrange(6)
+        if shape == 5:
+            return pick.choice(["ghp_", "sk_live_", "", ""]) + chars(string.ascii_letters, 20, 44)
         if shape == 0:
             return pick.choice(["ghp_", "xoxb-", "sk_live_", "pk-", "glpat-", ""]) + chars(alnum, 20, 44)
         if shape == 1:
@@ -93,7 +93,7 @@ def labelled_findings(n: int = TRAIN, seed: int = 11) -> list[tuple[str, int, in
         return chars(string.ascii_lowercase + string.digits, 24, 48)
 
     def plain():
-        shape = pick.randrange(7)
+        shape = pick.randrange(13)
         if shape == 0:
             return "-".join([word(3, 9) for _ in range(pick.randrange(3, 6))] + [str(pick.randrange(2030))])
         if shape == 1:
@@ -106,13 +106,26 @@ def labelled_findings(n: int = TRAIN, seed: int = 11) -> list[tuple[str, int, in
             return "_".join([word(3, 9) for _ in range(3)] + [str(pick.randrange(10**6))])
         if shape == 5:
             return pick.choice(["ISBN", "DOC", "no", "ref"]) + "-".join(str(pick.randrange(10 ** pick.randrange(2, 6))) for _ in range(pick.randrange(4, 6))) + "-x"
-        return (word(2, 5) * 8)[: pick.randrange(16, 40)] + str(pick.randrange(10))
+        if shape == 6:
+            return (word(2, 5) * 8)[: pick.randrange(16, 40)] + str(pick.randrange(10))
+        # without a digit, or without a letter
+        if shape == 7:
+            return pick.choice("-_/").join(word(3, 9) for _ in range(pick.randrange(3, 7)))
+        if shape == 8:
+            return word(2, 12) + "".join(word(3, 12).capitalize() for _ in range(pick.randrange(2, 5)))
+        if shape == 9:
+            return pick.choice("-=_+/") * pick.randrange(16, 80)
+        if shape == 10:
+            return word(16, 24)
+        if shape == 11:
+            return chars(string.digits, 16, 30)
+        return (word(2, 5) * 12)[: pick.randrange(16, 60)]
 
     out = []
     while len(out) < n:
         is_secret = len(out) % 2
         value = secret() if is_secret else plain()
-        if not (CANDIDATE.fullmatch(value) and HAS_BOTH.match(value)) or ACCESS.search(value) or HEX.search(value):
+        if not CANDIDATE.fullmatch(value) or ACCESS.search(value) or HEX.search(value):
             continue
         lead = pick.choice(["key ", "Authorization: Bearer ", "credentials ", "auth=", "access ", "", "", "", "see ", "file "] if is_secret else ["see ", "file ", "path ", "id ", "", "", "", "key ", "page "])
         before = " ".join(word() for _ in range(pick.randrange(0, 6))) + pick.choice([" ", "\n", ' "'])
