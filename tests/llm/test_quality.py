@@ -54,3 +54,18 @@ def test_without_labels_or_rows(spark):
     assert isinstance(fit(np.zeros((3, 19)), np.ones(3)), Constant)
     assert score(docs.limit(0), Constant(0.5)).count() == 0
     assert len(statistics("")) == 19 and all(map(np.isfinite, statistics("")))
+
+
+def test_thin_or_one_sided_labels(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in make(40)], "doc_id long, text string")
+    for share in (0.0, 0.5, 1.0):
+        assert keep_good(docs, Constant(share), 0.7).count() == 40
+    rows = make()
+    x, y = np.array([statistics(t) for _, t, _, _ in rows]), np.array([float(q) for _, _, q, _ in rows])
+    for few in (2, 3, 7):
+        pick = np.concatenate([np.flatnonzero(y == 0)[:few], np.flatnonzero(y == 1)[:few]])
+        model = fit(x[pick], y[pick])
+        assert isinstance(model, Discriminant)
+        s = model.scores(x)
+        assert np.isfinite(s).all() and (s[y == 1].mean() > s[y == 0].mean() + 0.1)
+    assert np.isfinite(fit(np.zeros((4, 19)), np.array([0.0, 0, 1, 1])).scores(x)).all()

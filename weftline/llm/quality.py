@@ -7,8 +7,10 @@ Cholesky factor is kept, so a score is a difference of Mahalanobis log-densities
 a probability by a logistic fit to scores of held-back training rows.
 
 Defined cases: a null text counts as empty and is scored like any other; rows with repeated
-ids are each scored; a label table without one of the classes gives the share of the class
-that it has as every score (0.5 without any labels); other columns are ignored.
+ids are each scored; a label table with fewer than two rows of a class gives the share of
+class 1 as every score (0.5 without any labels), and then ``keep_good`` keeps all rows, as
+nothing tells them apart; few labels of a class are fitted with stronger shrinkage; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ class Discriminant:
         self.parts = []
         for mean, cov in zip(means, covs, strict=True):
             cov = (1 - shrink) * cov + shrink * pooled
-            cov = (1 - ridge) * cov + ridge * np.trace(cov) / len(cov) * np.eye(len(cov))
+            cov = (1 - ridge) * cov + ridge * max(np.trace(cov) / len(cov), 1e-6) * np.eye(len(cov))
             factor = np.linalg.cholesky(cov)
             self.parts.append((mean, np.linalg.inv(factor), float(np.log(np.diag(factor)).sum())))
         self.slope, self.shift = 1.0, 0.0
@@ -130,16 +132,23 @@ def _logistic(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(x: np.ndarray, y: np.ndarray, folds: int = 4) -> Discriminant | Constant:
     """Choose the shrinkage by the held-back log-loss of folds, calibrate on the held-back scores, and fit to all rows."""
-    if min((y == 0).sum(), (y == 1).sum()) < 2 * folds:
+    fewest = min((y == 0).sum(), (y == 1).sum())
+    if fewest < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
     order = np.random.default_rng(7).permutation(len(y)) % folds
+    shrinks, ridges, few = (0.05, 0.2, 0.5), (0.001, 0.02, 0.1), fewest < 2 * folds
+    if few:  # every fold leaves rows of both classes, and little is told from a class's own covariance
+        folds = min(folds, int(fewest))
+        for c in (0, 1):
+            order[y == c] = np.arange((y == c).sum()) % folds
+        shrinks, ridges = (0.9, 1.0), (0.1, 0.5, 0.9)
     best: tuple | None = None
-    for shrink in (0.05, 0.2, 0.5):
-        for ridge in (0.001, 0.02, 0.1):
+    for shrink in shrinks:
+        for ridge in ridges:
             held = np.zeros(len(y))
             for k in range(folds):
                 held[order == k] = Discriminant(x[order != k], y[order != k], shrink, ridge).difference(x[order == k])
-            slope, shift = _logistic(held, y)
+            slope, shift = (1.0, 0.0) if few else _logistic(held, y)  # too few scores to calibrate by
             p = 1 / (1 + np.exp(-np.clip(slope * held + shift, -30, 30)))
             loss = -np.mean(np.log(np.where(y == 1, p, 1 - p) + 1e-9))
             if best is None or loss < best[0]:
@@ -190,7 +199,9 @@ def score(docs: DataFrame, model: Discriminant | Constant, id_col: str = "doc_id
 
 
 def keep_good(docs: DataFrame, model: Discriminant | Constant, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores at least ``threshold``, with all their columns."""
+    """The rows whose text scores at least ``threshold``, with all their columns; all rows if the model is a Constant."""
+    if isinstance(model, Constant):
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
