@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,14 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Scratch tables written since the innermost ``settle`` began.
+_WRITTEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session takes a folder of its own; a cluster has none that its
+    executors share, so it is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext.getCheckpointDir()
         if kept:
             return kept.rsplit("/", 1)[0]
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,9 +42,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """Materialise what ``make`` returns and delete the scratch tables that were written on the way to it."""
+    inner: list[str] = []
+    token = _WRITTEN.set(inner)
+    try:
+        df = make()
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+    finally:
+        _WRITTEN.reset(token)
+    discard(spark, inner)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders of the shared file system."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Apply a batch function to Arrow batches; ``make`` runs once in each task and returns it."""
 
