@@ -44,8 +44,8 @@ def test_each_source_comes_near_its_target(spark):
 
 def test_copies_meet_the_target_and_the_most():
     classes = [(1.0, 100), (0.5, 300), (0.25, 50)]
-    got = expected_copies(classes, 600, 3.0)
-    assert got[0] == 3.0 and got[1] == 2 * got[2] and abs(sum(e * n for e, (_, n) in zip(got, classes, strict=True)) - 600) < 1e-9
+    got = expected_copies(classes, 900, 3.0)
+    assert got[0] == 3.0 and got[1] == 2 * got[2] and abs(sum(e * n for e, (_, n) in zip(got, classes, strict=True)) - 900) < 1e-9
     assert expected_copies(classes, 1350, 3.0) == [3.0] * 3 and expected_copies([(1.0, 0)], 0, 3.0) == [0.0]
     assert sample_sizes([(0.4, 400.0, 1, 1000), (10.0, 500.0, 40, 2000)]) == [0, 18]
     assert sample_sizes([(0.4, 400.0, 1, 1000), (10.0, 500.0, 11, 550)]) == [1, 0] and sample_sizes([(0.4, 400.0, 1, 1000), (19.0, 950.0, 20, 1000)]) == [1, 7]
