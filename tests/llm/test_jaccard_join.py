@@ -57,10 +57,12 @@ def make(seed, near=40):
     return out + [(1, None), (2, ""), (2, ""), (None, out[0][1]), (None, "lonely null id"), (4, "two words"), (6, "TWO words"), (8, "two"), (9, "x " * 30_000), (10, "x " * 29_000), (3, out[0][1])]
 
 
-@pytest.mark.parametrize(("size", "percent", "pairwise", "block"), [(3, 90, 48, 1500), (5, 80, 3, 7), (2, 60, 2, 5)])
-def test_components_equal_brute_force(spark, monkeypatch, size, percent, pairwise, block):
+@pytest.mark.parametrize(("size", "percent", "pairwise", "block", "leaders", "rounds"), [(3, 90, 48, 200, 6, 4), (5, 80, 3, 7, 2, 2), (2, 60, 2, 5, 1, 1), (3, 70, 2, 4, 1, 0)])
+def test_components_equal_brute_force(spark, monkeypatch, size, percent, pairwise, block, leaders, rounds):
     monkeypatch.setattr(J, "PAIRWISE", pairwise)
     monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "LEADERS", leaders)
+    monkeypatch.setattr(J, "LEAD_ROUNDS", rounds)
     rows = make(size)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_shingles int").repartition(4)
     got = J.jaccard_components(docs, size, percent).collect()

@@ -8,11 +8,14 @@
    same result, a good one keeps common passages out of the prefixes.
 3. Classes that meet at a prefix shingle are candidates if lengths, positions and sketches allow
    the similarity; each of these bounds is exact. A shingle with many classes ties them together
-   without a pair for each two.
-4. Tied classes form groups. Each group's sets are stored in a prefix tree, common shingles
-   first, and every set of the group is run down it: overlaps are counted along shared paths,
-   subtrees are left when the remaining lengths can't reach the overlap needed, or when all
-   their sets are in the component already. Large groups are dealt as pairs of blocks.
+   without a pair for each two; marked shingles are dealt by bands of length as well, in which
+   all sets that are similar enough lie side by side.
+4. Tied classes form groups. Sets to be compared are stored in a prefix tree, common shingles
+   first, and others are run down it: overlaps are counted along shared paths, subtrees are left
+   when the remaining lengths can't reach the overlap needed, or when all their sets are in the
+   component already. A group of more than BLOCK sets is first compared, block by block, with a
+   few leaders, again with leaders from outside the largest component so far, and so on; what is
+   then still outside is compared with all sets of neighbouring length bands, as pairs of blocks.
 5. Links join classes to components; a component is named by its least document id.
 
 Defined cases: texts without words have an empty set and no links; with fewer words than a
@@ -40,7 +43,9 @@ MARKED = 1 << 21
 #: Up to so many classes at one shingle are compared two by two.
 PAIRWISE = 48
 #: Sets of one block of a large group, and their shingles, about.
-BLOCK, BLOCK_SHINGLES = 1500, 1_000_000
+BLOCK, BLOCK_SHINGLES = 200, 1_000_000
+#: Leaders of a large group in one round, and rounds.
+LEADERS, LEAD_ROUNDS = 6, 4
 #: Rounds that add newly found frequent shingles to the marks.
 ROUNDS = 3
 
@@ -97,6 +102,11 @@ def mark(bitmap: np.ndarray, tokens: np.ndarray) -> None:
     np.bitwise_or.at(bitmap, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
 
+def length_band(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bands a little wider than the ratio of lengths of similar sets, which therefore lie in the same or neighbouring bands."""
+    return np.floor(np.log(n) / (1.001 * np.log(100 / percent))).astype(np.int64) if percent < 100 else np.asarray(n, np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -186,34 +196,36 @@ class Trie:
         return found
 
 
-def links_of(stored: list[np.ndarray], queries: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links (position in queries, position in stored) that join all similar sets; without ``queries``, among the stored ones."""
-    everything = np.concatenate(stored + (queries or []))
-    values, inverse, counts = np.unique(everything, return_inverse=True, return_counts=True)
+def links_of(stored: list[np.ndarray], queries: list[np.ndarray] | None, percent: int, names: list | None = None) -> list[tuple[int, int]]:
+    """Links (position in queries, position in stored) that join all similar sets; without ``queries``, among the stored ones.
+
+    ``names`` holds the component that each stored set, then each query, is known to be in: sets of one need no link.
+    """
+    every = stored + (queries or [])
+    values, inverse, counts = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -counts))] = np.arange(len(values))  # common shingles first: long shared paths
     flat, at, ranked = rank[inverse], 0, []
-    for s in stored + (queries or []):
+    for s in every:
         ranked.append(np.sort(flat[at : at + len(s)]))
         at += len(s)
     trie = Trie(ranked[: len(stored)])
-    place = np.empty(len(stored), np.int64)  # of a stored set among the leaves
-    place[trie.order] = np.arange(len(stored))
-    label = np.arange(len(stored))  # component by leaf
+    number: dict = {}
+    known = np.array([number.setdefault(name, len(number)) for name in (names or range(len(every)))])
+    by_leaf = known[trie.order]
+    label = np.arange(len(number))  # component by number
     mask, out = np.zeros(len(values), bool), []
-    own = queries is None
-    for q, query in enumerate(ranked if own else ranked[len(stored) :]):
+    first = 0 if queries is None else len(stored)
+    for q, query in enumerate(ranked[first:]):
+        own = known[first + q]
+        wanted = label[by_leaf] != label[own]
+        if not wanted.any():
+            continue
         mask[query] = True
-        mine = label[place[q]] if own else -1
-        wanted = label != mine
         for leaf in trie.search(query, mask, wanted, percent):
-            if label[leaf] == mine:
-                continue
-            out.append((q, trie.order[leaf]))
-            if mine >= 0:
-                label[label == label[leaf]] = mine
-            else:
-                mine = label[leaf]
+            if label[by_leaf[leaf]] != label[own]:
+                out.append((q, trie.order[leaf]))
+                label[label == label[by_leaf[leaf]]] = label[own]
         mask[query] = False
     return out
 
@@ -264,12 +276,15 @@ def _pass_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, bitmap) -> DataFrame:
-    """Prefix shingles of every set: token, h1, n, pos."""
+    """Prefix shingles of every set: token, h1, n, pos, late.
+
+    A marked one is dealt by length band as well: to the set's own and the next, under a hash of token and band.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = np.frombuffer(bitmap.value, np.uint8), set()
         for batch in _slices(batches, 1024):
-            out: list[list[np.ndarray]] = [[] for _ in range(4)]
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, size)
                 key = set_key(s)
@@ -278,20 +293,25 @@ def _prefixes(docs: DataFrame, size: int, percent: int, bitmap) -> DataFrame:
                 seen.add(key)
                 late = marked(s, marks)
                 p = prefix_length(len(s), percent)
-                prefix = np.concatenate([s[~late], s[late]])[:p]
-                for o, x in zip(out, (prefix.view(np.int64), np.full(p, key[0]), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
+                rare = min(p, int((~late).sum()))
+                token, pos = s[~late][:rare], np.arange(rare, dtype=np.int32)
+                if rare < p:
+                    common, band = s[late][: p - rare], length_band(np.array([len(s)]), percent).astype(np.uint64)
+                    token = np.concatenate([token, _mix(common + band * _M1), _mix(common + (band + np.uint64(1)) * _M1)])
+                    pos = np.concatenate([pos, *[np.arange(rare, p, dtype=np.int32)] * 2])
+                k = len(token)
+                for o, x in zip(out, (token.view(np.int64), np.full(k, key[0]), np.full(k, len(s), np.int32), pos, np.arange(k) >= rare), strict=True):
                     o.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["token", "h1", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["token", "h1", "n", "pos", "late"])
 
-    return docs.mapInArrow(run, "token long, h1 long, n int, pos int")
+    return docs.mapInArrow(run, "token long, h1 long, n int, pos int, late boolean")
 
 
-def _meetings(rows: DataFrame, percent: int, bitmap) -> DataFrame:
+def _meetings(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of classes (tie = 0), ties of large groups (tie = 1), and frequent shingles without a mark (tie = 2, in a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(bitmap.value, np.uint8)
         a_out: list[np.ndarray] = []
         kept: tuple | None = None  # rows of the last shingle, which may go on
         large: tuple | None = None  # shingle, leader and last length of a large group that may go on
@@ -320,8 +340,8 @@ def _meetings(rows: DataFrame, percent: int, bitmap) -> DataFrame:
             a_out.append(np.stack([np.minimum(lead, h1)[own], np.maximum(lead, h1)[own], np.ones(own.sum(), np.int64)]))
             return token, int(lead[-1]), int(n[-1])
 
-        def begin_large(token, h1, n):
-            if not marked(np.array([token]).view(np.uint64), marks)[0]:
+        def begin_large(token, h1, n, late):
+            if not late:
                 a_out.append(np.array([[token], [token], [2]]))
             return tie(token, h1, n, None, None)
 
@@ -336,22 +356,23 @@ def _meetings(rows: DataFrame, percent: int, bitmap) -> DataFrame:
         before: tuple | None = None  # the row before, to drop what copies in other tasks have repeated
         for batch in batches:
             token, h1, n, pos = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+            late = batch.column(4).to_numpy(zero_copy_only=False)
             if not len(token):
                 continue
             new = np.concatenate([[before != (token[0], h1[0])], (token[1:] != token[:-1]) | (h1[1:] != h1[:-1])])
             before = (token[-1], h1[-1])
-            token, h1, n, pos = token[new], h1[new], n[new], pos[new]
+            token, h1, n, pos, late = token[new], h1[new], n[new], pos[new], late[new]
             if large is not None:
                 same = int((token == large[0]).sum())
                 if same:
                     large = tie(large[0], h1[:same], n[:same], large[1], large[2])
-                    token, h1, n, pos = token[same:], h1[same:], n[same:], pos[same:]
+                    token, h1, n, pos, late = token[same:], h1[same:], n[same:], pos[same:], late[same:]
                 if not len(token):
                     yield from flush()
                     continue
                 large = None
             if kept is not None:
-                token, h1, n, pos = (np.concatenate(p) for p in zip(kept, (token, h1, n, pos), strict=True))
+                token, h1, n, pos, late = (np.concatenate(p) for p in zip(kept, (token, h1, n, pos, late), strict=True))
                 kept = None
             if not len(token):
                 continue
@@ -359,16 +380,16 @@ def _meetings(rows: DataFrame, percent: int, bitmap) -> DataFrame:
             size = np.diff(np.concatenate([cut, [len(token)]]))
             whole, last = size[:-1], int(cut[-1])  # the last shingle may go on
             for lo, m in zip(cut[:-1][whole > PAIRWISE].tolist(), whole[whole > PAIRWISE].tolist(), strict=True):
-                begin_large(int(token[lo]), h1[lo : lo + m], n[lo : lo + m])
+                begin_large(int(token[lo]), h1[lo : lo + m], n[lo : lo + m], late[lo])
             few = np.repeat((whole > 1) & (whole <= PAIRWISE), whole)
             close(token[:last][few], h1[:last][few], n[:last][few], pos[:last][few])
             if size[-1] > PAIRWISE:
-                large = begin_large(int(token[last]), h1[last:], n[last:])
+                large = begin_large(int(token[last]), h1[last:], n[last:], late[last])
             else:
-                kept = (token[last:], h1[last:], n[last:], pos[last:])
+                kept = (token[last:], h1[last:], n[last:], pos[last:], late[last:])
             yield from flush()
         if kept is not None:
-            close(*kept)
+            close(*kept[:4])
         yield from flush()
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "h1")
@@ -431,41 +452,103 @@ def _bitmap_of(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _group_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each group: columns a and b, the two classes as text. sets: group, members, shingles, h1, h2, tokens."""
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
-    own = F.pmod(F.xxhash64("h2"), blocks)
-    dealt = sets.withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))))
-    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h1", "h2", "tokens")
+def _compared(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links of each deal: columns a and b, the two classes as text. dealt: deal, side, known, h1, h2, tokens.
+
+    Sets of side 1 are run down the tree of those of side 0, or the latter among themselves where
+    there is no side 1; sets of one component (``known``) are not linked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
         key = None
 
         def done() -> pa.RecordBatch | None:
-            stored = [r for r in kept if r[3] == key[1]]
-            queries = [r for r in kept if r[3] != key[1]]
-            if key[1] != key[2] and not (stored and queries) or len(kept) < 2:
+            stored = [r for r in kept if r[0] == 0]
+            queries = [r for r in kept if r[0] == 1]
+            if not stored or len(kept) < 2 or len({r[1] for r in kept}) < 2:
                 return None
-            links = links_of([np.frombuffer(r[2], np.uint64) for r in stored], [np.frombuffer(r[2], np.uint64) for r in queries] if key[1] != key[2] else None, percent)
-            left = queries if key[1] != key[2] else stored
-            name = lambda r: f"{r[0]}:{r[1]}"
+            of = lambda rows: [np.frombuffer(r[4], np.uint64) for r in rows]
+            links = links_of(of(stored), of(queries) if queries else None, percent, [r[1] for r in stored + queries])
+            left = queries or stored
+            name = lambda r: f"{r[2]}:{r[3]}"
             return pa.RecordBatch.from_arrays([pa.array([name(left[q]) for q, _ in links], pa.string()), pa.array([name(stored[s]) for _, s in links], pa.string())], ["a", "b"]) if links else None
 
         for batch in batches:
-            group, i, j, own, h1, h2 = (batch.column(k).to_pylist() for k in range(6))
-            tokens = batch.column(6)
+            deal, side, known, h1, h2 = (batch.column(k).to_pylist() for k in range(5))
+            tokens = batch.column(5)
             for r in range(batch.num_rows):
-                if key != (group[r], i[r], j[r]):
+                if key != deal[r]:
                     if key is not None and (x := done()) is not None:
                         yield x
-                    key, kept = (group[r], i[r], j[r]), []
-                kept.append((h1[r], h2[r], tokens[r].as_buffer().to_pybytes(), own[r]))
+                    key, kept = deal[r], []
+                kept.append((side[r], known[r], h1[r], h2[r], tokens[r].as_buffer().to_pybytes()))
         if key is not None and (x := done()) is not None:
             yield x
 
-    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a string, b string")
+    dealt = dealt.select("deal", "side", "known", "h1", "h2", "tokens")
+    return dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "a string, b string")
+
+
+def _named(h1: str = "h1", h2: str = "h2"):
+    return F.concat_ws(":", F.col(h1).cast("string"), F.col(h2).cast("string"))
+
+
+def _blocks(members, shingles):
+    return F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("long")
+
+
+def _upto(n):
+    return F.sequence(F.lit(0).cast("long"), n - 1)
+
+
+def _known(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (group, name) with the component they are known to be in, and whether that is their group's largest so far."""
+    roots = components(links).withColumnsRenamed({"node": "name", "root": "root_"})
+    known = members.join(roots, "name", "left").select("group", "name", F.coalesce("root_", "name").alias("known"))
+    counted = known.groupBy("group", "known").agg(F.count("*").alias("n"))
+    most = counted.groupBy("group").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count("*").alias("parts"))
+    return materialise(known.join(most, "group").where("parts > 1").select("group", "name", "known", (F.col("known") == F.col("main")).alias("main")), "known")
+
+
+def _group_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each group: columns a and b, the two classes as text. sets: group, h1, h2, n, tokens (a written table)."""
+    sizes = sets.groupBy("group").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    name, none = _named(), F.lit(0)
+    in_one = sets.join(sizes.where("blocks = 1"), "group").select(F.col("group").cast("string").alias("deal"), none.alias("side"), name.alias("known"), "h1", "h2", "tokens")
+    out = materialise(_compared(in_one, percent), "links")
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        return out
+    sets = materialise(sets.join(large, "group").withColumn("name", name), "large")
+    members = sets.select("group", "name")
+    open_ = members.select("group", "name", F.col("name").alias("known"), F.lit(False).alias("main"))
+    found = out.limit(0)
+    for turn in range(LEAD_ROUNDS):
+        # every block of a group that isn't one component yet meets the same few leaders
+        chosen = open_.where("not main").groupBy("group").agg(F.array_distinct(F.array(*[F.min_by("name", F.xxhash64("name", F.lit(turn * LEADERS + k))) for k in range(LEADERS)])).alias("names"))
+        leaders = sets.join(chosen.select("group", F.explode("names").alias("name")), ["group", "name"])
+        own = sets.join(open_.select("name", "known"), "name")
+        deal = lambda block: F.concat_ws(":", "group", block)
+        stored = leaders.join(open_.select("name", "known"), "name").withColumn("block", F.explode(_upto(F.col("blocks")))).select(deal("block").alias("deal"), none.alias("side"), "known", "h1", "h2", "tokens")
+        queries = own.select(deal(F.pmod(F.xxhash64("h2"), "blocks")).alias("deal"), F.lit(1).alias("side"), "known", "h1", "h2", "tokens")
+        met = materialise(_compared(stored.unionByName(queries), percent), "links")
+        found = found.unionByName(met)
+        open_ = _known(members, found)
+        if open_.isEmpty():
+            return out.unionByName(found)
+
+    # what no leader has joined to its group's largest component meets all sets of neighbouring bands
+    rest = sets.drop("blocks").join(open_.select("name", "known", "main"), "name")
+    width = 1.001 * float(np.log(100 / percent)) if percent < 100 else 1.0
+    rest = rest.withColumn("band", F.floor((F.log("n") if percent < 100 else F.col("n")) / width).cast("long"))
+    blocks = rest.groupBy("group", "band", "main").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    rest = rest.join(blocks, ["group", "band", "main"]).withColumn("block", F.concat_ws(":", "group", "band", "main", F.pmod(F.xxhash64("h2"), "blocks"))).drop("blocks")
+    others = blocks.select("group", F.col("band").alias("other_band"), F.col("main").alias("other_main"), F.explode(_upto(F.col("blocks"))).alias("k"))
+    others = others.select("group", "other_band", "other_main", F.concat_ws(":", "group", "other_band", "other_main", "k").alias("other"))
+    pairs = rest.withColumn("other_band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).join(others, ["group", "other_band"]).where("not (main and other_main)")
+    dealt = pairs.select(F.concat_ws("|", F.least("block", "other"), F.greatest("block", "other")).alias("deal"), (F.col("block") > F.col("other")).cast("int").alias("side"), "known", "h1", "h2", "tokens")
+    return out.unionByName(found).unionByName(materialise(_compared(dealt, percent), "links"))
 
 
 def _row_components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -483,7 +566,7 @@ def _row_components(docs: DataFrame, size: int, percent: int, id_col: str, text_
 
     for turn in range(ROUNDS):
         sent = sc.broadcast(marks.tobytes())
-        met = materialise(_meetings(_prefixes(source, size, percent, sent), percent, sent), "met")
+        met = materialise(_meetings(_prefixes(source, size, percent, sent), percent), "met")
         new = met.where("tie = 2").select("a").distinct().limit(MARKED)
         if turn + 1 == ROUNDS or new.isEmpty():
             break
@@ -495,13 +578,11 @@ def _row_components(docs: DataFrame, size: int, percent: int, id_col: str, text_
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     near = pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
     groups = materialise(components(near.unionByName(met.where("tie = 1").select("a", "b"))).withColumnsRenamed({"node": "h1", "root": "group"}), "groups")
-    sizes = groups.join(classes.select(F.col("h1_").alias("h1"), "n"), "h1").groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-
     members = sc.broadcast(_bitmap_of(groups, "h1").tobytes())
-    sets = _member_sets(source, size, members).groupBy("h1", "h2").agg(F.first("tokens").alias("tokens"))
-    links = materialise(_group_links(sets.join(groups.join(sizes, "group"), "h1"), percent), "links")
+    sets = _member_sets(source, size, members).groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    links = _group_links(materialise(sets.join(groups, "h1"), "members"), percent)
 
-    key = F.concat_ws(":", F.col("h1_").cast("string"), F.col("h2_").cast("string"))
+    key = _named("h1_", "h2_")
     least = rows.where("n_ > 0").groupBy("h1_", "h2_").agg(F.min("id_").alias("least_")).withColumn("class_", key)
     roots = components(links)
     named = roots.join(least.select(F.col("class_").alias("node"), "least_"), "node")
@@ -522,13 +603,12 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     rows = materialise(_row_components(docs, size, percent, id_col, text_col), "components")
     grouped = rows.where("root_ is not null")
     best = grouped.groupBy("root_").agg(F.min(F.struct(F.col("id_").isNull().alias("null_"), "id_", "x_")).alias("best"))
-    kept = best.select("best.id_", "best.x_")
     bare = rows.where("root_ is null").select("id_", "x_").distinct()
-    kept = kept.select("id_", "x_", F.lit(True).alias("single_")).unionByName(bare.withColumn("single_", F.lit(False)))
-    copies = grouped.groupBy("id_", "x_").agg(F.count("*").alias("copies_"))
-    kept = kept.join(copies, [kept["id_"].eqNullSafe(copies["id_"]), kept["x_"] == copies["x_"]], "left").select(kept["id_"].alias("id__"), kept["x_"].alias("x__"), F.coalesce(F.when(F.col("single_"), F.col("copies_")), F.lit(1)).alias("copies__"))
-    text = F.xxhash64(F.col(text_col).cast("string"))
-    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("id__")) & (text == F.col("x__")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    once = found.where("copies__ = 1").select(*names)
-    return once.unionByName(found.where("copies__ > 1").dropDuplicates(["id__", "x__"]).select(*names))
+    kept = best.select("best.id_", "best.x_", F.lit(True).alias("single_")).unionByName(bare.withColumn("single_", F.lit(False)))
+    # of repeated rows with one id and text the first of any order stays
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col).cast("string")).alias("own_x"))
+    found = texts.join(kept, F.col("own_id").eqNullSafe(F.col("id_")) & (F.col("own_x") == F.col("x_")))
+    copies = grouped.groupBy("id_", "x_").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id_").alias("copy_id"), F.col("x_").alias("copy_x"), F.lit(True).alias("copied"))
+    found = found.join(copies, F.col("own_id").eqNullSafe(F.col("copy_id")) & (F.col("own_x") == F.col("copy_x")), "left").select("row", "own_id", "own_x", (F.col("single_") & F.coalesce("copied", F.lit(False))).alias("copied"))
+    once = found.where("copied").groupBy("own_id", "own_x").agg(F.first("row").alias("row")).select("row")
+    return found.where("not copied").select("row").unionByName(once).select("row.*")
