@@ -9,26 +9,41 @@ from weftline.llm.common import materialise
 
 #: More rounds than any graph of up to 2**40 nodes needs.
 MOST_ROUNDS = 60
+#: Parts into which the rows of one key are dealt.
+PARTS = 32
+
+
+def spread_join(rows: DataFrame, by: DataFrame, key: str, unit: str, how: str = "inner") -> DataFrame:
+    """Join rows with a table that has one row a key, so that a key with many rows is dealt over PARTS parts by a hash of ``unit``.
+
+    Only the parts that a key has are looked up in the table, so no row of it is copied without need.
+    """
+    rows = rows.withColumn("part_", F.pmod(F.xxhash64(unit), F.lit(PARTS)))
+    looked_up = rows.select(key, "part_").distinct().join(by, key)
+    return rows.join(looked_up, [key, "part_"], how).drop("part_")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Columns node and root (the least node of its component) for every node of an edge other than a loop.
 
-    Each step groups edges by one end with a partial minimum and joins it back; the edges are
-    written between rounds, so lineage stays short and a lost executor costs one round.
-    Null ends are left out; repeated edges and both directions are allowed.
+    Each step takes partial minima of edges by one end and joins them back, a node's many edges
+    in parts; the edges are written between rounds, so lineage stays short and a lost executor
+    costs one round. Null ends are left out; repeated edges and both directions are allowed.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = materialise(now, "edges")
     for _ in range(MOST_ROUNDS):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
+        # large star: the greater neighbours of a node go to its least neighbour, or to itself
+        below = now.groupBy("u").agg(F.min("v").alias("m"))
+        up = spread_join(now.select(F.col("v").alias("u"), F.col("u").alias("v")), below, "u", "v", "left")
+        large = up.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
+        # small star: a node and its lesser neighbours go to the least of them
+        small = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m")), "u", "v")
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         new = materialise(small, "edges")
         # done once every node hangs on one root and no root hangs on another
-        open_ = new.groupBy("u").count().where("count > 1").select("u").unionByName(new.join(new.select(F.col("u").alias("v")).distinct(), "v").select("u")).limit(1).count()
+        ends = new.select("u", F.lit(1).alias("child")).unionByName(new.select(F.col("v").alias("u"), F.lit(0).alias("child")).distinct())
+        open_ = ends.groupBy("u").agg(F.sum("child").alias("n"), F.min("child").alias("root")).where("n > 1 or (n = 1 and root = 0)").limit(1).count()
         now = new
         if not open_:
             break

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialise
-from weftline.llm.components import components
+from weftline.llm.components import components, spread_join
 
 SKETCH_BITS = 1024  # at least
 MARK_BITS = 1 << 25
@@ -508,19 +508,19 @@ def _known(members: DataFrame, links: DataFrame) -> DataFrame:
     known = members.join(roots, "name", "left").select("group", "name", F.coalesce("root_", "name").alias("known"))
     counted = known.groupBy("group", "known").agg(F.count("*").alias("n"))
     most = counted.groupBy("group").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count("*").alias("parts"))
-    return materialise(known.join(most, "group").where("parts > 1").select("group", "name", "known", (F.col("known") == F.col("main")).alias("main")), "known")
+    return materialise(spread_join(known, most, "group", "name").where("parts > 1").select("group", "name", "known", (F.col("known") == F.col("main")).alias("main")), "known")
 
 
 def _group_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links of each group: columns a and b, the two classes as text. sets: group, h1, h2, n, tokens (a written table)."""
     sizes = sets.groupBy("group").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     name, none = _named(), F.lit(0)
-    in_one = sets.join(sizes.where("blocks = 1"), "group").select(F.col("group").cast("string").alias("deal"), none.alias("side"), name.alias("known"), "h1", "h2", "tokens")
+    in_one = spread_join(sets, sizes.where("blocks = 1"), "group", "h2").select(F.col("group").cast("string").alias("deal"), none.alias("side"), name.alias("known"), "h1", "h2", "tokens")
     out = materialise(_compared(in_one, percent), "links")
     large = sizes.where("blocks > 1")
     if large.isEmpty():
         return out
-    sets = materialise(sets.join(large, "group").withColumn("name", name), "large")
+    sets = materialise(spread_join(sets, large, "group", "h2").withColumn("name", name), "large")
     members = sets.select("group", "name")
     open_ = members.select("group", "name", F.col("name").alias("known"), F.lit(False).alias("main"))
     found = out.limit(0)
@@ -586,7 +586,7 @@ def _row_components(docs: DataFrame, size: int, percent: int, id_col: str, text_
     least = rows.where("n_ > 0").groupBy("h1_", "h2_").agg(F.min("id_").alias("least_")).withColumn("class_", key)
     roots = components(links)
     named = roots.join(least.select(F.col("class_").alias("node"), "least_"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("least_").alias("component_")), "root").select(F.col("node").alias("class_"), "root", "component_")
+    named = spread_join(named, named.groupBy("root").agg(F.min("least_").alias("component_")), "root", "node").select(F.col("node").alias("class_"), "root", "component_")
     named = least.join(named, "class_", "left").select("h1_", "h2_", F.coalesce("root", "class_").alias("root_"), F.coalesce("component_", "least_").alias("component_"))
     out = rows.where("n_ > 0").join(named, ["h1_", "h2_"]).select("id_", "x_", "n_", "root_", "component_")
     return out.unionByName(rows.where("n_ = 0").select("id_", "x_", "n_", F.lit(None).cast("string").alias("root_"), F.col("id_").alias("component_")))
