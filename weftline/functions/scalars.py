@@ -6,23 +6,52 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def normal_identifier(name: Column) -> Column:
-    """Quotes taken off, upper case."""
-    return F.upper(F.replace(name, F.lit('"'), F.lit("")))
+#: A quoted literal; a doubled quote inside one belongs to it. Possessive, so that long ones do not recurse.
+LITERAL = "'(?:[^']++|'')*+'|\"[^\"]*+\""
 
 
 def without_literals(text: Column) -> Column:
-    """Quoted literals taken out; a doubled quote inside one belongs to it."""
-    return F.regexp_replace(text, "'(?:[^']|'')*'|\"[^\"]*\"", "")
+    """Quoted literals taken out."""
+    return F.regexp_replace(text, LITERAL, "")
 
 
 def blank_literals(text: Column) -> Column:
     """Quoted literals overwritten by blanks, so that offsets stay: pieces outside keep, inside become spaces."""
-    found = F.regexp_extract_all(text, F.lit("('(?:[^']|'')*'|\"[^\"]*\"|[^'\"]+|['\"])"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"({LITERAL}|[^'\"]++|['\"])"), F.lit(1))
     blank = lambda x: F.when(x.rlike("^['\"].+"), F.repeat(F.lit(" "), F.length(x))).otherwise(x)
     return F.array_join(F.transform(found, blank), "")
 
 
+def split_top(text: Column, separator: str = ",") -> Column:
+    """Trimmed parts between separators outside parentheses, however deep; quoted literals are to be guarded before."""
+    tokens = F.regexp_extract_all(text, F.lit(rf"([(){separator}]|[^(){separator}]++)"), F.lit(1))
+    zero = F.struct(F.lit(0).alias("depth"), F.array(F.lit("")).alias("parts"))
+
+    def step(acc, x):
+        here, n = acc["parts"], F.size(acc["parts"])
+        longer = F.concat(F.slice(here, 1, n - 1), F.array(F.concat(F.element_at(here, -1), x)))
+        parts = F.when((x == separator) & (acc["depth"] <= 0), F.concat(here, F.array(F.lit("")))).otherwise(longer)
+        return F.struct((acc["depth"] + (x == "(").cast("int") - (x == ")").cast("int")).alias("depth"), parts.alias("parts"))
+
+    return F.filter(F.transform(F.aggregate(tokens, zero, step)["parts"], lambda x: F.trim(x)), lambda x: x != "")
+
+
+def clauses(text: Column, words: str) -> Column:
+    """The parts of a statement that begin with keywords (alternatives of a pattern) outside parentheses: key, text; what comes first has no key."""
+    tokens = F.regexp_extract_all(text, F.lit(rf"(\b(?:{words})\b|[()]|[^()\s]++|\s++)"), F.lit(1))
+    part = lambda key, x: F.struct(key.alias("key"), x.alias("text"))
+    zero = F.struct(F.lit(0).alias("depth"), F.array(part(F.lit(""), F.lit(""))).alias("parts"))
+
+    def step(acc, x):
+        here, n = acc["parts"], F.size(acc["parts"])
+        last = F.element_at(here, -1)
+        longer = F.concat(F.slice(here, 1, n - 1), F.array(part(last["key"], F.concat(last["text"], x))))
+        parts = F.when((acc["depth"] <= 0) & x.rlike(rf"^(?:{words})$"), F.concat(here, F.array(part(x, F.lit(""))))).otherwise(longer)
+        return F.struct((acc["depth"] + (x == "(").cast("int") - (x == ")").cast("int")).alias("depth"), parts.alias("parts"))
+
+    return F.transform(F.aggregate(tokens, zero, step)["parts"], lambda p: part(p["key"], F.trim(p["text"])))
+
+
 def truncated(x: Column, precision: int, scale: int) -> Column:
     """A COMPUTE without ROUNDED: digits beyond the target's scale are cut off, not rounded."""
     factor = F.lit(10**scale).cast("decimal(18,0)")

@@ -8,54 +8,80 @@ from pyspark.sql import window as W
 
 from weftline.functions import scalars as S
 from weftline.operators import graph as G
-from weftline.sources.estate import guarded
+from weftline.sources.estate import without_comments
 
 #: Words in expressions that are no variables.
-WORDS = "TO OF IN BY FROM INTO GIVING ROUNDED SIZE DELIMITED FUNCTION TRIM LENGTH CURRENT-DATE REVERSE UPPER-CASE LOWER-CASE NUMVAL ZERO ZEROS ZEROES SPACE SPACES HIGH-VALUE HIGH-VALUES LOW-VALUE LOW-VALUES QUOTE QUOTES NULL AND OR NOT EQUAL GREATER LESS THAN IS ALL TRUE FALSE OTHER WHEN END-COMPUTE END-STRING END-ADD ON ERROR NEXT AT END".split()
+WORDS = "TO OF IN BY FROM INTO GIVING REMAINDER ROUNDED SIZE DELIMITED FUNCTION TRIM LENGTH CURRENT-DATE REVERSE UPPER-CASE LOWER-CASE NUMVAL NUMVAL-C ZERO ZEROS ZEROES SPACE SPACES HIGH-VALUE HIGH-VALUES LOW-VALUE LOW-VALUES QUOTE QUOTES NULL NULLS AND OR NOT EQUAL GREATER LESS THAN IS ALL TRUE FALSE ALSO OTHER WHEN RECORD END-COMPUTE END-STRING END-ADD END-SUBTRACT END-MULTIPLY END-DIVIDE END-READ ON ERROR NEXT AT END".split()
+#: Words in SQL expressions that are no columns.
+SQL_WORDS = "SELECT FROM WHERE AS AND OR NOT IN IS NULL CASE WHEN THEN ELSE END BETWEEN LIKE DISTINCT OVER PARTITION BY ORDER DESC ASC NULLS FIRST LAST ROWS RANGE PRECEDING FOLLOWING UNBOUNDED ROW ON JOIN LEFT RIGHT FULL INNER OUTER GROUP HAVING UNION ALL EXISTS DATE TIMESTAMP TIME CURRENT INTERVAL YEAR MONTH DAY DAYS MONTHS YEARS SYSDATE SYSTIMESTAMP CURRENT_DATE CURRENT_TIMESTAMP USER ROWNUM LEVEL WITH UR FETCH ONLY USING".split()
+#: The shape of a name in a program.
 NAME = r"([A-Z][A-Z0-9-]*)"
-SQL_WORDS = "SELECT FROM WHERE AS AND OR NOT IN IS NULL CASE WHEN THEN ELSE END BETWEEN LIKE DISTINCT OVER PARTITION BY ORDER DESC ASC ON JOIN LEFT RIGHT FULL INNER OUTER GROUP HAVING UNION ALL EXISTS DATE INTERVAL SYSDATE".split()
+#: A source that is a literal, a number or a figurative constant.
+CONSTANT = r"^(?:ALL )?(?:['\"].*|[+-]?[0-9.,]+|ZERO(?:E?S)?|SPACES?|HIGH-VALUES?|LOW-VALUES?|QUOTES?|NULLS?|TRUE|FALSE|FUNCTION CURRENT-DATE.*)$"
 
 
 def names_in(text, words=WORDS):
-    """Distinct variables of an expression, literals left out."""
-    found = F.array_distinct(F.regexp_extract_all(S.without_literals(text), F.lit(r"(?<![A-Z0-9-])([A-Z][A-Z0-9-]*)(?![A-Z0-9-]*\()"), F.lit(1)))
+    """Distinct variables of an expression: literals, functions, qualifiers (OF, IN) and subscripts left out."""
+    bare = F.regexp_replace(S.without_literals(text), r"\bFUNCTION [A-Z][A-Z0-9-]*", " ")
+    bare = F.regexp_replace(bare, r"\b(?:OF|IN) [A-Z][A-Z0-9-]*", " ")
+    bare = F.regexp_replace(bare, r"([A-Z][A-Z0-9-]*) ?\([^()]*+\)", "$1 ")
+    found = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<![A-Z0-9-])([A-Z][A-Z0-9-]*)(?![A-Z0-9-])"), F.lit(1)))
     return F.filter(found, lambda x: ~x.isin(*words))
 
 
+#: Statement shapes: kind, pattern, group of the sources, group of the targets.
+SHAPES = [
+    ("MOVE", r"^MOVE (?!CORR)(.+) TO (.+)$", 1, 2),
+    ("COMPUTE", r"^COMPUTE (.+?) ?= ?(.+)$", 2, 1),
+    ("STRING", r"^STRING (.+) INTO (.+?)(?: (?:WITH |ON |END-STRING).*)?$", 1, 2),
+    ("GIVING", r"^(?:ADD|SUBTRACT|MULTIPLY|DIVIDE) (.+) GIVING (.+)$", 1, 2),
+    ("ADD", r"^(?:(?:ADD|SUBTRACT|DIVIDE) (?:(?! GIVING ).)+ (?:TO|FROM|INTO)|MULTIPLY (?:(?! GIVING ).)+ BY) ((?:(?! GIVING ).)+)$", 0, 1),
+]
+
+
 def transforms(stmts: DataFrame) -> DataFrame:
     """program, seq, target, source, kind, logic: one row for each pair that a statement moves."""
     s = F.col("stmt")
     part = lambda pattern, k: F.regexp_extract(s, pattern, k)
-    plain = [
-        ("MOVE", r"^MOVE (.+) TO (.+)$", 1, 2),
-        ("COMPUTE", r"^COMPUTE ([A-Z0-9-]+)(?: ROUNDED)? = (.+)$", 2, 1),
-        ("STRING", r"^STRING (.+) INTO (.+?)(?: (?:WITH |ON |END-STRING).*)?$", 1, 2),
-        ("GIVING", r"^(?:ADD|SUBTRACT|MULTIPLY|DIVIDE) (.+) GIVING (.+)$", 1, 2),
-        ("ADD", r"^(?:ADD|SUBTRACT) ((?:(?! GIVING ).)+ (?:TO|FROM) (?:(?! GIVING ).)+)$", 1, 1),
-    ]
     out = None
-    for kind, pattern, source, target in plain:
-        t = part(pattern, target)
-        targets = names_in(F.regexp_replace(t, r"^.* (?:TO|FROM) ", "")) if kind == "ADD" else names_in(t)
-        rows = stmts.where(s.rlike(pattern)).select("program", "seq", F.explode(targets).alias("target"), names_in(part(pattern, source)).alias("sources"), F.lit(kind).alias("kind"), S.clipped(s, 600).alias("logic"))
+    for kind, pattern, source, target in SHAPES:
+        sources = F.regexp_replace(part(pattern, source), r"^(?:ADD|SUBTRACT|DIVIDE|MULTIPLY) ", "")
+        rows = stmts.where(s.rlike(pattern)).select("program", "seq", F.explode(names_in(part(pattern, target))).alias("target"), names_in(sources).alias("sources"), F.lit(kind).alias("kind"), S.clipped(s, 600).alias("logic"))
         rows = rows.select("program", "seq", "target", F.explode("sources").alias("source"), "kind", "logic")
         out = rows if out is None else out.unionByName(rows)
     return out.where("not (kind = 'MOVE' and source = target)")
 
 
+def reads_into(stmts: DataFrame, items: DataFrame) -> DataFrame:
+    """READ … INTO as moves of the file's record, shaped like ``transforms``; items: ``data_items``."""
+    pattern = r"^READ ([A-Z0-9-]+)(?: NEXT)?(?: RECORD)? INTO ([A-Z][A-Z0-9-]*)"
+    g = lambda k: F.regexp_extract("stmt", pattern, k)
+    found = stmts.where(F.col("stmt").rlike(pattern)).select("program", "seq", g(1).alias("fd"), g(2).alias("target"), S.clipped(F.col("stmt"), 600).alias("logic"))
+    records = items.where("level = 1 and fd is not null").groupBy("program", "fd").agg(F.min_by("name", "ord").alias("source"))
+    return found.join(records, ["program", "fd"]).select("program", "seq", "target", "source", F.lit("MOVE").alias("kind"), "logic")
+
+
 def conditional_sources(stmts: DataFrame, moves: DataFrame) -> DataFrame:
-    """EVALUATE and SEARCH blocks: every name of the subject and conditions is a source of every target set in the block.
+    """EVALUATE and SEARCH blocks: every name of the subjects and conditions of all blocks around a statement is a source of what it sets.
 
-    Blocks are numbered by running counts of their opening statements.
+    Within a sentence, blocks of one depth follow each other, so each opening statement is ended
+    by the next closing one of its depth, or by the end of the sentence.
     """
-    order = W.Window.partitionBy("program").orderBy("seq")
-    opens, closes = F.col("verb").isin("EVALUATE", "SEARCH"), F.col("verb").isin("END-EVALUATE", "END-SEARCH")
-    inside = stmts.withColumns({"block": F.sum(opens.cast("int")).over(order), "closed": F.sum(closes.cast("int")).over(order)}).where("block > closed")
-    drivers = inside.where(F.col("verb").isin("EVALUATE", "WHEN", "SEARCH")).select("program", "block", F.explode(names_in(F.regexp_replace("stmt", r"^\S+ ", ""))).alias("source")).distinct()
-    targets = moves.select("program", "seq", "target").distinct().join(inside.select("program", "seq", "block"), ["program", "seq"])
-    literal = inside.where("stmt rlike '^MOVE .+ TO '").select("program", "seq", "block", F.explode(names_in(F.regexp_extract("stmt", r"^MOVE .+ TO (.+)$", 1))).alias("target"))
-    both = targets.select("program", "seq", "block", "target").unionByName(literal.select("program", "seq", "block", "target")).distinct()
-    return both.join(drivers, ["program", "block"]).select("program", "seq", "target", "source", F.lit("CONDITION").alias("kind"), F.lit("depends on the condition").alias("logic"))
+    order = W.Window.partitionBy("program", "sentence").orderBy("seq")
+    opens, closes = F.col("verb").isin("EVALUATE", "SEARCH").cast("int"), F.col("verb").isin("END-EVALUATE", "END-SEARCH").cast("int")
+    numbered = stmts.withColumn("after", F.sum(opens - closes).over(order)).withColumn("depth", F.col("after") + closes)
+    level = W.Window.partitionBy("program", "sentence", "depth").orderBy("seq")
+    marks = numbered.where((opens + closes) > 0).select("program", "sentence", "seq", "depth", opens.alias("open"), F.lead("seq").over(level).alias("end"))
+    blocks = marks.where("open = 1").select("program", "sentence", F.col("seq").alias("block"), F.coalesce("end", F.lit(1 << 30)).alias("end"))
+    inside = stmts.join(blocks, ["program", "sentence"]).where("seq >= block and seq <= end")
+    # a condition belongs to the innermost block, whose drivers reach all that is inside it
+    own = inside.groupBy("program", "seq").agg(F.max("block").alias("block"))
+    said = stmts.where(F.col("verb").isin("EVALUATE", "WHEN", "SEARCH")).join(own, ["program", "seq"])
+    drivers = said.select("program", "block", F.explode(names_in(F.regexp_replace("stmt", r"^\S+ ", ""))).alias("source")).distinct()
+    literal = stmts.where(F.col("stmt").rlike("^MOVE .+ TO ")).select("program", "seq", F.explode(names_in(F.regexp_extract("stmt", r"^MOVE .+ TO (.+)$", 1))).alias("target"))
+    targets = moves.select("program", "seq", "target").unionByName(literal).distinct().join(inside.select("program", "seq", "block"), ["program", "seq"])
+    found = targets.join(drivers, ["program", "block"]).select("program", "seq", "target", "source").distinct()
+    return found.select("program", "seq", "target", "source", F.lit("CONDITION").alias("kind"), F.lit("depends on the condition").alias("logic"))
 
 
 def data_items(progs: DataFrame) -> DataFrame:
@@ -90,7 +116,7 @@ def group_moves(moves: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFra
     side = lambda c: fields.where("valid").select("program", F.col("record").alias(c), F.col("field").alias(f"{c}_field"), "start")
     pairs = grouped.join(side("source"), ["program", "source"]).join(side("target"), ["program", "target", "start"])
     out = pairs.select("program", "seq", F.col("target_field").alias("target"), F.col("source_field").alias("source"), F.lit("GROUP").alias("kind"), "logic")
-    return out, grouped.join(pairs.select("program", "seq").distinct(), ["program", "seq"], "left_anti").select("program", F.lit("COBOL_GROUP_MOVE").alias("statement_type"), F.col("logic").alias("snippet"))
+    return out, grouped.join(pairs.select("program", "seq").distinct(), ["program", "seq"], "left_anti").select("program", "seq", F.lit("COBOL_GROUP_MOVE").alias("statement_type"), F.col("logic").alias("snippet"))
 
 
 def file_bindings(progs: DataFrame) -> DataFrame:
@@ -110,18 +136,12 @@ def open_modes(stmts: DataFrame) -> DataFrame:
     return each.select("program", "file", F.explode(ways).alias("direction"))
 
 
-def split_top(text, separator: str = ","):
-    """Split at separators outside parentheses, nested up to three deep."""
-    inner = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"((?:{inner}|[^{separator}()])+)"), F.lit(1)), lambda x: F.trim(x))
-
-
 def cursors(stmts: DataFrame) -> DataFrame:
     """program, cursor, pos, expr, source tables: select items of declared cursors."""
     pattern = r"DECLARE ([A-Z0-9_-]+) CURSOR.* FOR SELECT (.+?) FROM (.+?)(?: WHERE .*| ORDER BY .*| END-EXEC.*)?$"
     t = stmts.where(F.col("stmt").rlike(r"^EXEC SQL DECLARE"))
     g = lambda k: F.regexp_extract("stmt", pattern, k)
-    return t.select("program", g(1).alias("cursor"), F.posexplode(split_top(g(2))).alias("pos", "expr"), table_aliases(g(3)).alias("tables"))
+    return t.select("program", g(1).alias("cursor"), F.posexplode(S.split_top(g(2))).alias("pos", "expr"), table_aliases(g(3)).alias("tables"))
 
 
 def fetches(stmts: DataFrame) -> DataFrame:
@@ -140,7 +160,7 @@ def table_aliases(from_text):
 
 def source_columns(expr, tables):
     """``table|column`` of each column in an expression: by alias, or bare if there is one table."""
-    text = S.without_literals(F.upper(expr))
+    text = F.regexp_replace(S.without_literals(F.upper(expr)), r" AS [A-Z][A-Z0-9]*(?: ?\([^()]*+\))? ?\)", ")")
     qualified = F.regexp_extract_all(text, F.lit(r"([A-Z0-9_]+\.[A-Z0-9_]+)"), F.lit(1))
     q = F.transform(qualified, lambda x: F.concat(F.coalesce(F.element_at(tables, F.substring_index(x, ".", 1)), F.substring_index(x, ".", 1)), F.lit("|"), F.substring_index(x, ".", -1)))
     bare = F.filter(F.regexp_extract_all(F.regexp_replace(text, r"[A-Z0-9_]+\.[A-Z0-9_]+", " "), F.lit(r"(?<![A-Z0-9_])([A-Z_][A-Z0-9_]*)(?!\s*\(|[A-Z0-9_])"), F.lit(1)), lambda x: ~x.isin(*SQL_WORDS))
@@ -166,7 +186,7 @@ def call_links(stmts: DataFrame, progs: DataFrame) -> tuple[DataFrame, DataFrame
 # --- jobs ------------------------------------------------------------------------------
 
 #: Utilities, programs that do nothing, and monitors that run another program.
-UTILITIES = ("SORT", "DFSORT", "SYNCSORT", "ICEMAN", "ICETOOL", "IDCAMS", "IEBGENER", "FTP", "DSNTIAUL", "DSNUTILB")
+UTILITIES = ("SORT", "DFSORT", "SYNCSORT", "ICEMAN", "ICETOOL", "IDCAMS", "IEBGENER", "IEBCOPY", "FTP", "DSNTIAUL", "DSNTEP2", "DSNTEP4", "DSNUTILB")
 IDLE = ("IEFBR14",)
 MONITORS = ("IKJEFT01", "IKJEFT1A", "IKJEFT1B")
 
@@ -235,49 +255,107 @@ def build_items(cards: DataFrame) -> DataFrame:
 
 def sql_statements(files: DataFrame) -> DataFrame:
     """path, program, seq, stmt: statements of SQL files, comments taken off, upper case; the program is the first procedure or the file."""
-    text = F.regexp_replace(F.regexp_replace(guarded(F.col("text")), r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " ")
-    t = files.where("language = 'SQL'").select("path", "member", F.upper(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+    t = files.where("language = 'SQL'").select("path", "member", F.upper(F.regexp_replace(without_comments(F.col("text")), r"\s+", " ")).alias("text"))
     proc = F.regexp_extract("text", r"CREATE (?:OR REPLACE )?PROCEDURE ([A-Z0-9_.]+)", 1)
     each = t.select("path", F.when(proc == "", F.col("member")).otherwise(proc).alias("program"), F.posexplode(F.split("text", ";")).alias("seq", "raw"))
-    start = r"^.*?\b(?=(?:INSERT INTO|MERGE INTO|UPDATE [A-Z0-9_.]+ SET|DELETE FROM|CREATE (?:OR REPLACE )?VIEW|CREATE (?:GLOBAL TEMPORARY )?TABLE|EXECUTE IMMEDIATE|WITH )\b)"
+    start = rf"^.*?\b(?=(?:{DATA_VERBS})\b)"
     return each.select("path", "program", "seq", F.trim(F.regexp_replace("raw", start, "")).alias("stmt")).where("stmt <> ''")
 
 
-INSERT = r"^INSERT INTO ([A-Z0-9_.]+) ?(?:\(([^()]*)\))? ?SELECT (.+?) FROM (.+?)(?: WHERE (.*?))?(?: GROUP BY .*)?$"
-VIEW = r"^CREATE (?:OR REPLACE )?VIEW ([A-Z0-9_.]+) AS SELECT (.+?) FROM (.+?)(?: WHERE (.*?))?(?: GROUP BY .*)?(?: ORDER BY .*)?$"
+#: Beginnings of statements that move or define data.
+DATA_VERBS = r"INSERT INTO|MERGE INTO|UPDATE [A-Z0-9_.$#]+(?: [A-Z0-9_]+)? SET|DELETE FROM|CREATE (?:OR REPLACE )?VIEW|CREATE MATERIALIZED VIEW|CREATE (?:GLOBAL TEMPORARY )?TABLE|EXECUTE IMMEDIATE|WITH [A-Z0-9_]+ AS"
+#: Beginnings of the parts of a query, and words between queries.
+CLAUSES = "SELECT|FROM|WHERE|GROUP BY|HAVING|ORDER BY|START WITH|CONNECT BY|WITH UR|FETCH FIRST"
+SETS = "UNION ALL|UNION|MINUS|INTERSECT|EXCEPT"
+TARGET = r"^(?:INSERT INTO|CREATE (?:OR REPLACE )?VIEW|CREATE MATERIALIZED VIEW|CREATE (?:GLOBAL TEMPORARY )?TABLE) ([A-Z0-9_.$#]+)"
 
 
-def sql_columns(stmts: DataFrame) -> DataFrame:
-    """program, seq, target, target_column, sources, transformation of INSERT … SELECT and views, item by item."""
-    def items(pattern, select, frm, columns):
-        t = stmts.where(F.col("stmt").rlike(pattern))
-        g = lambda k: F.regexp_extract("stmt", pattern, k)
-        named = split_top(g(columns)) if columns else F.array().cast("array<string>")
-        each = t.select("program", "seq", g(1).alias("target"), named.alias("names"), table_aliases(g(frm)).alias("tables"), F.posexplode(split_top(g(select))).alias("pos", "item"))
-        alias = F.regexp_extract("item", r" (?:AS )?([A-Z_][A-Z0-9_]*)$", 1)
-        expr = F.when(alias != "", F.regexp_replace("item", r" (?:AS )?[A-Z_][A-Z0-9_]*$", "")).otherwise(F.col("item"))
-        column = F.coalesce(F.get("names", F.col("pos")), F.nullif(alias, F.lit("")), F.regexp_extract("item", r"([A-Z0-9_]+)\)?$", 1))
-        sources = source_columns(expr, F.col("tables"))
-        direct = expr.rlike(r"^(?:[A-Z0-9_]+\.)?[A-Z0-9_]+$")
-        return each.select("program", "seq", "target", column.alias("target_column"), sources.alias("sources"), F.when(direct, "direct").otherwise(S.clipped(expr, 400)).alias("transformation"))
+def clause(parts, key: str):
+    """Text of the first part with a key, null if there is none."""
+    return F.get(F.transform(F.filter(parts, lambda p: p["key"] == key), lambda p: p["text"]), F.lit(0))
+
 
-    return items(INSERT, 3, 4, 2).unionByName(items(VIEW, 2, 3, None)).where(F.size("sources") > 0)
+def sql_branches(stmts: DataFrame) -> DataFrame:
+    """Every query of INSERT … SELECT, CREATE TABLE … AS and views, one row for each branch of a UNION.
+
+    program, seq, branch, kind, target, names (stated columns), select, from, where, complete:
+    whether all its columns can be read off (no nested query in FROM, no bare star).
+    """
+    s = F.col("stmt")
+    t = stmts.where(s.rlike(TARGET) & s.rlike(r"\bSELECT\b") & ~s.rlike(r"^INSERT INTO \S+ ?(?:\([^()]*\) ?)?WITH "))
+    body = F.regexp_replace(s, TARGET, "")
+    names = F.regexp_extract(body, r"^ ?\(([^()]*)\)", 1)
+    query = F.regexp_replace(body, r"^ ?(?:\([^()]*\))?.*?(?=\(? ?SELECT\b)", "")
+    query = F.when(query.rlike(r"^\( ?SELECT.*\)$"), F.regexp_replace(query, r"^\((.*)\)$", "$1")).otherwise(query)
+    kind = F.when(s.rlike("^INSERT"), "INSERT").when(s.rlike("VIEW"), "VIEW").otherwise("TABLE")
+    each = t.select("program", "seq", kind.alias("kind"), F.regexp_extract("stmt", TARGET, 1).alias("target"), S.split_top(names).alias("names"), F.posexplode(S.clauses(query, SETS)).alias("branch", "q"))
+    each = each.select("program", "seq", "branch", "kind", "target", "names", S.clauses(F.regexp_replace(F.col("q.text"), r"^\( ?(.*?) ?\)$", "$1"), CLAUSES).alias("parts"))
+    out = each.select("program", "seq", "branch", "kind", "target", "names", F.regexp_replace(clause("parts", "SELECT"), r"^(?:DISTINCT|ALL) ", "").alias("select"), F.coalesce(clause("parts", "FROM"), F.lit("")).alias("from"), clause("parts", "WHERE").alias("where"))
+    star = F.exists(S.split_top(F.col("select")), lambda x: x.rlike(r"^(?:[A-Z0-9_]+\.)?\*$"))
+    return out.where("select is not null").withColumn("complete", ~star & ~F.col("from").rlike(r"\( ?SELECT\b"))
+
+
+def sql_columns(stmts: DataFrame) -> DataFrame:
+    """program, seq, target, target_column, sources, transformation, filter of INSERT … SELECT, CREATE TABLE … AS and views, item by item; of a UNION's later branches too, under the first one's names."""
+    t = sql_branches(stmts)
+    each = t.select("program", "seq", "branch", "target", "names", "where", table_aliases(F.col("from")).alias("tables"), F.posexplode(S.split_top(F.col("select"))).alias("pos", "item"))
+    alias = F.regexp_extract("item", r"[^.](?: AS | )([A-Z_][A-Z0-9_$#]*)$", 1)
+    alias = F.when(alias.isin("END", "NULL"), "").otherwise(alias)
+    expr = F.when(alias != "", F.regexp_replace("item", r"(?: AS)? [A-Z_][A-Z0-9_$#]*$", "")).otherwise(F.col("item"))
+    own = F.coalesce(F.get("names", F.col("pos")), F.nullif(alias, F.lit("")), F.nullif(F.regexp_extract("item", r"^(?:[A-Z0-9_]+\.)?([A-Z0-9_$#]+)$", 1), F.lit("")), F.regexp_extract("item", r"([A-Z0-9_]+)\)?$", 1))
+    first = F.first("own").over(W.Window.partitionBy("program", "seq", "pos").orderBy("branch"))
+    each = each.withColumns({"own": own, "expr": expr}).withColumn("target_column", first)
+    direct = F.col("expr").rlike(r"^(?:[A-Z0-9_]+\.)?[A-Z0-9_$#]+$")
+    out = each.select("program", "seq", "target", "target_column", source_columns(F.col("expr"), F.col("tables")).alias("sources"), F.when(direct, "direct").otherwise(S.clipped(F.col("expr"), 400)).alias("transformation"), S.clipped(F.col("where"), 400).alias("filter"))
+    return out.where((F.size("sources") > 0) & (F.col("target_column") != ""))
+
+
+def tables_read(text):
+    """Names after FROM, JOIN and USING at any depth, and those of comma lists."""
+    lists = F.regexp_extract_all(text, F.lit(r"\b(?:FROM|JOIN|USING) ((?:[A-Z][A-Z0-9_.$#]*(?: (?:AS )?(?!(?:WHERE|ON|LEFT|RIGHT|FULL|INNER|CROSS|JOIN|GROUP|ORDER|UNION|WHEN|SET|USING|HAVING|MINUS|INTERSECT|EXCEPT|START|CONNECT|WITH|FETCH|FOR|SELECT)\b)[A-Z0-9_]+)?(?: ?, ?)?)+)"), F.lit(1))
+    names = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, r"^ ?([A-Z][A-Z0-9_.$#]*)", 1))
+    return F.array_distinct(F.filter(names, lambda x: ~x.isin("", "DUAL", "SYSIBM.SYSDUMMY1")))
 
 
 def sql_edges(stmts: DataFrame) -> DataFrame:
-    """Entity edges of INSERT, MERGE, UPDATE, DELETE (through the program) and views (table to view)."""
+    """Entity edges of INSERT, MERGE, UPDATE, DELETE and CREATE TABLE … AS (through the program) and views (table to view)."""
     program = F.concat(F.lit("PROGRAM:"), "program")
-    g = lambda pattern, k: F.regexp_extract("stmt", pattern, k)
-    named = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
-    out = None
-    for pattern in (r"^INSERT INTO ([A-Z0-9_.]+)", r"^MERGE INTO ([A-Z0-9_.]+)", r"^UPDATE ([A-Z0-9_.]+) SET", r"^DELETE FROM ([A-Z0-9_.]+)"):
-        rows = stmts.where(F.col("stmt").rlike(pattern)).select(program.alias("source_id"), named("TABLE", g(pattern, 1)).alias("target_id"), F.lit("WRITES_TO").alias("edge_type"))
-        out = rows if out is None else out.unionByName(rows)
-    reads = stmts.where(F.col("stmt").rlike(INSERT)).select(program.alias("target_id"), F.explode(F.array_distinct(F.map_values(table_aliases(g(INSERT, 4))))).alias("t"))
-    using = stmts.where(F.col("stmt").rlike(r"^MERGE INTO .* USING [A-Z0-9_.]+ ")).select(program.alias("target_id"), g(r" USING ([A-Z0-9_.]+) ", 1).alias("t"))
-    out = out.unionByName(reads.union(using).select(named("TABLE", F.col("t")).alias("source_id"), "target_id", F.lit("READS_FROM").alias("edge_type")))
-    views = stmts.where(F.col("stmt").rlike(VIEW)).select(named("TABLE", g(VIEW, 1)).alias("target_id"), F.explode(F.array_distinct(F.map_values(table_aliases(g(VIEW, 3))))).alias("t"))
-    return out.unionByName(views.select(named("TABLE", F.col("t")).alias("source_id"), "target_id", F.lit("TRANSFORMS_TO").alias("edge_type"))).distinct()
+    named = lambda c: F.concat(F.lit("TABLE:"), c)
+    s = F.col("stmt")
+    ctes = F.regexp_extract_all("stmt", F.lit(r"(?:\bWITH |\), ?)([A-Z0-9_]+) AS ?\("), F.lit(1))
+    read = F.array_except(tables_read(F.regexp_replace(s, "^DELETE FROM", "DELETE")), ctes)
+    written = F.regexp_extract("stmt", r"^(?:INSERT INTO|MERGE INTO|DELETE FROM|UPDATE|CREATE (?:GLOBAL TEMPORARY )?TABLE) ([A-Z0-9_.$#]+)", 1)
+    moving = s.rlike(r"^(?:INSERT INTO|MERGE INTO|DELETE FROM|UPDATE \S+(?: \S+)? SET)") | s.rlike(r"^CREATE (?:GLOBAL TEMPORARY )?TABLE .*\bSELECT\b")
+    t = stmts.where(moving & (written != "")).select(program.alias("p"), written.alias("w"), F.explode_outer(read).alias("r"))
+    out = t.select(F.col("p").alias("source_id"), named("w").alias("target_id"), F.lit("WRITES_TO").alias("edge_type"))
+    out = out.union(t.where("r is not null").select(named("r"), "p", F.lit("READS_FROM")))
+    views = stmts.where(s.rlike(r"^CREATE (?:OR REPLACE )?(?:MATERIALIZED )?VIEW")).select(named(F.regexp_extract("stmt", r"VIEW ([A-Z0-9_.$#]+)", 1)).alias("target_id"), F.explode(read).alias("t"))
+    return out.union(views.select(named("t"), "target_id", F.lit("TRANSFORMS_TO"))).distinct()
+
+
+def table_columns(stmts: DataFrame) -> DataFrame:
+    """program, seq, table, pos, column, external: column lists of CREATE TABLE; constraints left out."""
+    s = F.col("stmt")
+    t = stmts.where(s.rlike(r"^CREATE (?:GLOBAL TEMPORARY )?TABLE \S+ ?\(") & ~s.rlike(r"\) ?AS ?\(? ?SELECT"))
+    body = F.get(F.transform(F.filter(S.clauses(F.regexp_replace(s, r"^CREATE (?:GLOBAL TEMPORARY )?TABLE \S+ ?", ""), "ORGANIZATION|TABLESPACE|PARTITION BY|ON COMMIT|IN"), lambda p: p["key"] == ""), lambda p: p["text"]), F.lit(0))
+    items = S.split_top(F.regexp_replace(body, r"^\((.*)\)[^)]*$", "$1"))
+    each = t.select("program", "seq", F.regexp_extract("stmt", r"TABLE ([A-Z0-9_.$#]+)", 1).alias("table"), F.posexplode(items).alias("pos", "item"), s.rlike(r"\bORGANIZATION EXTERNAL\b").alias("external"))
+    return each.where(~F.col("item").rlike(r"^(?:CONSTRAINT|PRIMARY|FOREIGN|UNIQUE|CHECK|SUPPLEMENTAL)\b")).select("program", "seq", "table", "pos", F.regexp_extract("item", r"^([A-Z0-9_$#]+)", 1).alias("column"), "external")
+
+
+def external_fields(stmts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """External tables: their files (program, seq, table, file, format), and their fields by order (…, pos, field, start, end)."""
+    s = F.col("stmt")
+    t = stmts.where(s.rlike(r"^CREATE TABLE .*\bORGANIZATION EXTERNAL\b"))
+    name = F.regexp_extract("stmt", r"TABLE ([A-Z0-9_.$#]+)", 1)
+    located = F.regexp_extract_all(F.regexp_extract("stmt", r"\bLOCATION ?\(([^()]*)\)", 1), F.lit("'([^']+)'"), F.lit(1))
+    kind = F.when(s.rlike(r"XMLTAG|ENCLOSED BY ['\"]<|DELIMITED BY ['\"]<"), "XML").when(s.rlike(r"\bPOSITION\b"), "POSITIONAL").otherwise("DELIMITED")
+    found = t.select("program", "seq", name.alias("table"), F.explode(located).alias("file"), kind.alias("format"))
+    inner = F.element_at(F.split("stmt", r"\bFIELDS\b"), -1)
+    field = r"([A-Z0-9_$#]+) POSITION ?\( ?(\d+) ?[:-] ?(\d+) ?\)"
+    fields = t.where(s.rlike(r"\bPOSITION\b")).select("program", "seq", name.alias("table"), F.posexplode(F.regexp_extract_all(inner, F.lit(rf"({field})"), F.lit(1))).alias("pos", "x"))
+    fields = fields.select("program", "seq", "table", "pos", *[F.regexp_extract("x", field, k).cast(c).alias(n) for k, c, n in ((1, "string", "field"), (2, "int", "start"), (3, "int", "end"))])
+    return found, fields
 
 
 # --- coverage --------------------------------------------------------------------------
@@ -287,26 +365,45 @@ DETECTORS = {
     "COBOL_UNSTRING": r"^UNSTRING ", "COBOL_MOVE_CORRESPONDING": r"^MOVE CORR", "COBOL_WRITE_FROM": r"^WRITE \S+ FROM ", "COBOL_EXEC_CICS": r"^EXEC CICS",
     "COBOL_ACCEPT": r"^ACCEPT ", "COBOL_INSPECT": r"^INSPECT ", "COBOL_INITIALIZE": r"^INITIALIZE ", "COBOL_REWRITE": r"^REWRITE ",
 }
-BENIGN = "INCLUDE OPEN CLOSE COMMIT ROLLBACK WHENEVER CONNECT SET LOCK DECLARE FETCH INSERT PREPARE EXECUTE BEGIN END".split()
+#: Embedded verbs that move nothing, or that another channel takes.
+BENIGN = "INCLUDE OPEN CLOSE COMMIT ROLLBACK WHENEVER CONNECT SET LOCK DECLARE FETCH PREPARE EXECUTE BEGIN END".split()
 
 
 def cobol_gaps(stmts: DataFrame, moves: DataFrame) -> DataFrame:
-    """Statements that no channel has taken: program, statement_type, snippet. Moves of literals are mapped by having no source."""
+    """Statements that no channel has taken: program, seq, statement_type, snippet.
+
+    Statements that set a variable are seen less those that ``moves`` (program, seq) has mapped and those whose
+    sources are constants; embedded data verbs other than SELECT … INTO and INSERT are never mapped.
+    """
     kind = None
     for name, pattern in DETECTORS.items():
         cond = F.col("stmt").rlike(pattern)
         kind = F.when(cond, name) if kind is None else kind.when(cond, name)
     verb = F.regexp_extract("stmt", r"^EXEC SQL (\w+)", 1)
-    kind = kind.when((verb != "") & ~verb.isin(*BENIGN), F.concat(F.lit("EXEC_SQL_"), verb))
-    kind = kind.when((F.col("verb") == "MOVE") & F.col("stmt").rlike(r"\(\S+:|\)$"), "COBOL_MOVE")
-    found = stmts.select("program", kind.alias("statement_type"), S.clipped(F.col("stmt"), 300).alias("snippet")).where("statement_type is not null")
-    return found
+    kind = kind.when((verb != "") & ~verb.isin(*BENIGN, "INSERT", "SELECT"), F.concat(F.lit("EXEC_SQL_"), verb))
+    constant = F.lit(False)
+    for _, pattern, source, target in SHAPES:
+        part = F.regexp_replace(F.regexp_extract("stmt", pattern, source), r"^(?:ADD|SUBTRACT|DIVIDE|MULTIPLY) ", "")
+        constant = constant | (F.col("stmt").rlike(pattern) & (F.size(names_in(F.regexp_extract("stmt", pattern, target))) > 0) & (part.rlike(CONSTANT) | (F.size(names_in(part)) == 0)))
+    seen = F.col("verb").isin("MOVE", "COMPUTE", "STRING", "ADD", "SUBTRACT", "MULTIPLY", "DIVIDE") | F.col("stmt").rlike("^READ .* INTO ") | verb.isin("INSERT", "SELECT")
+    known = stmts.select("program", "seq", "stmt", kind.alias("statement_type"), (seen & ~constant).alias("seen"), F.concat(F.lit("COBOL_"), F.when(verb != "", F.concat(F.lit("SQL_"), verb)).otherwise(F.col("verb"))).alias("unmapped"))
+    told = known.where("statement_type is not null").select("program", "seq", "statement_type", S.clipped(F.col("stmt"), 300).alias("snippet"))
+    if moves is None:
+        return told
+    itself = F.regexp_extract("stmt", r"^MOVE (\S+) TO \1$", 1) == ""
+    lost = known.where("statement_type is null and seen").where(itself).join(moves.select("program", "seq").distinct(), ["program", "seq"], "left_anti")
+    return told.unionByName(lost.select("program", "seq", F.regexp_replace("unmapped", "^COBOL_SQL_", "EXEC_SQL_").alias("statement_type"), S.clipped(F.col("stmt"), 300).alias("snippet")))
 
 
 def dynamic_constructs(stmts: DataFrame, sql: DataFrame) -> DataFrame:
-    """Statements whose text is only known at run time: program, construct_type, snippet."""
-    embedded = stmts.where(F.col("stmt").rlike(r"^EXEC SQL (PREPARE|EXECUTE)")).select("program", F.lit("DYNAMIC_SQL").alias("construct_type"), S.clipped(F.col("stmt"), 300).alias("snippet"))
-    return embedded.unionByName(sql.where("stmt like 'EXECUTE IMMEDIATE%'").select("program", F.lit("DYNAMIC_SQL").alias("construct_type"), S.clipped(F.col("stmt"), 300).alias("snippet")))
+    """Statements whose text is only known at run time: program, construct_type, snippet, context (the last statements that set the text)."""
+    shape = r"^EXEC SQL (?:PREPARE \S+ FROM|EXECUTE IMMEDIATE) :?([A-Z0-9-]+)"
+    d = stmts.where(F.col("stmt").rlike(r"^EXEC SQL (PREPARE|EXECUTE)")).select("program", "seq", "stmt", F.regexp_extract("stmt", shape, 1).alias("variable"))
+    built = transforms(stmts).select("program", F.col("seq").alias("at"), F.col("target").alias("variable"), "logic").distinct()
+    literal = stmts.where(F.col("stmt").rlike("^MOVE .+ TO ")).select("program", F.col("seq").alias("at"), F.explode(names_in(F.regexp_extract("stmt", r"^MOVE .+ TO (.+)$", 1))).alias("variable"), S.clipped(F.col("stmt"), 600).alias("logic"))
+    before = d.join(built.unionByName(literal).distinct(), ["program", "variable"]).where("at < seq").groupBy("program", "seq").agg(F.array_sort(F.collect_set(F.struct("at", "logic"))).alias("c"))
+    embedded = d.join(before, ["program", "seq"], "left").select("program", F.lit("DYNAMIC_SQL").alias("construct_type"), S.clipped(F.col("stmt"), 300).alias("snippet"), F.coalesce(F.array_join(F.slice("c.logic", -5, 5), "; "), F.lit("")).alias("context"))
+    return embedded.unionByName(sql.where("stmt like 'EXECUTE IMMEDIATE%'").select("program", F.lit("DYNAMIC_SQL").alias("construct_type"), S.clipped(F.col("stmt"), 300).alias("snippet"), F.lit("").alias("context")))
 
 
 def job_gaps(steps: DataFrame) -> DataFrame:
@@ -323,9 +420,16 @@ def job_gaps(steps: DataFrame) -> DataFrame:
 
 
 def sql_gaps(stmts: DataFrame) -> DataFrame:
-    """Data statements that the item patterns do not take."""
-    dml = F.col("stmt").rlike(r"^(INSERT INTO|WITH |CREATE MATERIALIZED VIEW|CREATE (OR REPLACE )?VIEW)") & ~F.col("stmt").rlike(INSERT) & ~F.col("stmt").rlike(VIEW) & ~F.col("stmt").rlike(r"^INSERT INTO \S+ ?(\([^()]*\))? ?VALUES")
-    return stmts.where(dml).select("program", F.lit("SQL_DML_UNMAPPED").alias("statement_type"), S.clipped(F.col("stmt"), 300).alias("snippet"))
+    """Data statements that no column could be read off, in whole or in a branch: program, seq, statement_type, snippet."""
+    s = F.col("stmt")
+    constant = s.rlike(r"^INSERT INTO \S+ ?(?:\([^()]*\) ?)?VALUES\b") | s.rlike("^(?:DELETE FROM|EXECUTE IMMEDIATE)") | (s.rlike(r"^CREATE (?:GLOBAL TEMPORARY )?TABLE") & ~s.rlike(r"\) ?AS ?\(? ?SELECT|\bTABLE \S+ AS\b"))
+    seen = stmts.where(s.rlike(rf"^(?:{DATA_VERBS})\b") & ~constant)
+    branches = sql_branches(stmts).groupBy("program", "seq").agg(F.bool_and("complete").alias("ok"))
+    columns = assignments(stmts).select("program", "seq").distinct().withColumn("assigned", F.lit(True))
+    both = seen.join(branches, ["program", "seq"], "left").join(columns, ["program", "seq"], "left")
+    nested = s.rlike(r"\bUSING ?\( ?SELECT\b")
+    lost = both.where(~(F.coalesce("ok", F.lit(False)) | (F.coalesce("assigned", F.lit(False)) & ~nested)))
+    return lost.select("program", "seq", F.lit("SQL_DML_UNMAPPED").alias("statement_type"), S.clipped(s, 300).alias("snippet"))
 
 
 def resolved(moves: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,7 +448,7 @@ def unloads(dds: DataFrame) -> DataFrame:
     each = deck.select("program", F.posexplode(F.filter(F.transform(F.split("text", ";"), lambda x: F.trim(x)), lambda x: x.startswith("SELECT"))).alias("pos", "stmt"))
     g = lambda k: F.regexp_extract("stmt", r"^SELECT (.+?) FROM ([A-Z0-9_.]+)", k)
     records = own.where("dd like 'SYSREC%'").select("program", "dsn", (F.row_number().over(W.Window.partitionBy("program").orderBy("dd")) - 1).alias("pos"))
-    return each.select("program", "pos", g(2).alias("table"), split_top(g(1)).alias("columns")).join(records, ["program", "pos"])
+    return each.select("program", "pos", g(2).alias("table"), S.split_top(g(1)).alias("columns")).join(records, ["program", "pos"])
 
 
 def unload_aliases(unloaded: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -384,7 +488,7 @@ def assignments(stmts: DataFrame) -> DataFrame:
     def rows(pattern, set_part, tables):
         t = stmts.where(F.col("stmt").rlike(pattern))
         g = lambda k: F.regexp_extract("stmt", pattern, k)
-        each = t.select("program", "seq", g(1).alias("target"), tables(g).alias("tables"), F.explode(split_top(g(set_part))).alias("item"))
+        each = t.select("program", "seq", g(1).alias("target"), tables(g).alias("tables"), F.explode(S.split_top(g(set_part))).alias("item"))
         column = F.regexp_extract("item", r"^(?:[A-Z0-9_]+\.)?([A-Z0-9_]+) ?=", 1)
         expr = F.trim(F.regexp_replace("item", r"^[^=]*= ?", ""))
         return each.select("program", "seq", "target", column.alias("target_column"), source_columns(expr, F.col("tables")).alias("sources"), S.clipped(expr, 400).alias("transformation"))

@@ -11,7 +11,7 @@ from weftline.operators.joins import latest, sort_dedupe
 
 #: Edge types that a proposal may have, names that stand for nothing, and prefixes taken off a name.
 EDGE_TYPES = ("READS_FROM", "WRITES_TO", "TRANSFORMS_TO", "EXECUTES")
-PLACEHOLDERS = ("", "UNKNOWN", "N/A", "NONE", "NULL", "?")
+PLACEHOLDERS = ("", "UNKNOWN", "N/A", "NONE", "NULL", "?", "*")
 PREFIX = "(?i)^(table|file|program|job):"
 
 
@@ -32,8 +32,9 @@ class OfflineProvider:
 
 def cleaned(proposals: DataFrame) -> DataFrame:
     """Valid proposals with bare upper-case names, once for each (source, target, type): that of the first construct."""
-    ok = proposals.where(F.col("edge_type").isin(*EDGE_TYPES) & ~F.upper("source_entity").isin(*PLACEHOLDERS) & ~F.upper("target_entity").isin(*PLACEHOLDERS))
-    bare = ok.select(F.upper(F.regexp_replace("source_entity", PREFIX, "")).alias("source"), F.upper(F.regexp_replace("target_entity", PREFIX, "")).alias("target"), "edge_type", "construct_id", "conf")
+    bare_name = lambda c: F.upper(F.trim(F.regexp_replace(F.trim(F.col(c)), PREFIX, "")))
+    bare = proposals.select(bare_name("source_entity").alias("source"), bare_name("target_entity").alias("target"), "edge_type", "construct_id", "conf")
+    bare = bare.where(F.col("edge_type").isin(*EDGE_TYPES) & ~F.col("source").isin(*PLACEHOLDERS) & ~F.col("target").isin(*PLACEHOLDERS))
     return sort_dedupe(bare, ["source", "target", "edge_type"], [F.col("construct_id")])
 
 

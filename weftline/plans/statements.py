@@ -85,8 +85,8 @@ def symbol_substitution(spark, sf_dir):
 
     s = table(spark, sf_dir, "supplier")
     path = F.col("s_suppkey").cast("string").alias("path")
-    sets = s.select(path, F.lit("SET").alias("op"), F.concat(F.lit("ENV=PROD,NAT=D"), F.col("s_nationkey"), F.lit(",HLQ=&ENV..&NAT")).alias("operands"))
-    dds = s.select(path, F.lit("DD").alias("op"), F.concat(F.lit("&HLQ..F"), F.col("s_suppkey")).alias("operands"))
+    sets = s.select(path, F.lit("SET").alias("op"), F.lit(1).alias("line"), F.concat(F.lit("ENV=PROD,NAT=D"), F.col("s_nationkey"), F.lit(",HLQ=&ENV..&NAT")).alias("operands"))
+    dds = s.select(path, F.lit("DD").alias("op"), F.lit(2).alias("line"), F.concat(F.lit("&HLQ..F"), F.col("s_suppkey")).alias("operands"))
     return substituted(sets.unionByName(dds)).where("op = 'DD'").select(F.col("path").cast("long").alias("s_suppkey"), F.col("operands").alias("dsn"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from weftline.functions import scalars as S
+
 #: Language by file suffix.
 LANGUAGES = {"cbl": "COBOL", "cob": "COBOL", "cpy": "COPYBOOK", "jcl": "JCL", "sql": "SQL", "pls": "SQL", "prc": "SQL"}
 
@@ -23,30 +25,50 @@ def _numbered(f: DataFrame) -> DataFrame:
     return f.select("path", "member", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw")).withColumn("line", F.col("line") + 1)
 
 
-def cobol_lines(f: DataFrame) -> DataFrame:
+def _replaced(code: Column, pairs: Column) -> Column:
+    """A copied line under ``REPLACING ==a== BY ==b==`` pairs."""
+    return F.aggregate(pairs, code, lambda acc, p: F.replace(acc, F.regexp_extract(p, "^==([^=]*)==", 1), F.regexp_extract(p, "(?i)BY ==([^=]*)==$", 1)))
+
+
+def cobol_lines(f: DataFrame, levels: int = 3) -> DataFrame:
     """Columns 8 to 72 of the lines that are long enough and no comments, COPY members laid in: path, member, line, sub, code.
 
-    A COPY is taken from a copybook of that name; one that isn't there stays as a line. Copybooks
-    within copybooks are laid in once more.
+    Of copybooks with one name the nearest is taken: of the same folder, of one below it, of a
+    folder beside it, or else the first by path. One that isn't there stays as a line. Copybooks within
+    copybooks are laid in ``levels`` deep; ``REPLACING`` of a COPY on one line is followed.
     """
     def code_of(df: DataFrame) -> DataFrame:
         return _numbered(df).where((F.length("raw") >= 7) & ~F.substring("raw", 7, 1).isin("*", "/")).select("path", "member", "line", F.substring("raw", 8, 65).alias("code"))
 
+    folder = lambda c: F.regexp_extract(c, r"^(.*/)[^/]*$", 1)
     copied = F.upper(F.regexp_extract("code", r"(?i)^\s*COPY\s+([\w-]+)", 1))
-    books = code_of(f.where("language = 'COPYBOOK'"))
-    book = books.groupBy(F.col("member").alias("copied")).agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("body"))
-    out = code_of(f.where("language = 'COBOL'")).withColumn("sub", F.array(F.lit(0)))
-    for _ in range(2):
-        with_copy = out.withColumn("copied", F.nullif(copied, F.lit(""))).join(book, "copied", "left")
+    replacing = F.regexp_extract_all(F.regexp_replace("code", r"\s+", " "), F.lit("(?i)(==[^=]*== BY ==[^=]*==)"), F.lit(1))
+    books = code_of(f.where("language = 'COPYBOOK'")).groupBy(F.col("member").alias("copied"), F.col("path").alias("book")).agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("body"))
+    out = code_of(f.where("language = 'COBOL'")).withColumns({"sub": F.array(F.lit(0)), "whence": F.col("path")})
+    for _ in range(levels):
+        with_copy = out.withColumns({"copied": F.nullif(copied, F.lit("")), "pairs": replacing})
+        wanted = with_copy.where("copied is not null").select("whence", "copied").distinct().join(books.select("copied", "book"), "copied")
+        own, theirs = folder(F.col("whence")), folder(F.col("book"))
+        near = F.when(own == theirs, 0).when(F.startswith(theirs, own), 1).when(F.startswith(theirs, F.regexp_extract(own, "^(.*/)[^/]*/$", 1)), 2).otherwise(3)
+        chosen = wanted.groupBy("whence", "copied").agg(F.min_by("book", F.struct(near.alias("near"), "book")).alias("book"))
+        bodies = chosen.join(books, ["copied", "book"])
         parts = F.coalesce("body", F.array(F.struct(F.lit(0).alias("line"), F.col("code").alias("code"))))
-        out = with_copy.withColumn("part", F.explode(parts)).select("path", "member", "line", F.concat("sub", F.array("part.line")).alias("sub"), F.col("part.code").alias("code"))
-    return out
+        laid = with_copy.join(bodies, ["whence", "copied"], "left").withColumn("part", F.explode(parts))
+        out = laid.select("path", "member", "line", F.concat("sub", F.array("part.line")).alias("sub"), F.when(F.col("body").isNull(), F.col("part.code")).otherwise(_replaced(F.col("part.code"), F.col("pairs"))).alias("code"), F.coalesce("book", "whence").alias("whence"))
+    return out.drop("whence")
 
 
 def guarded(text: Column) -> Column:
-    """Quoted literals with their blanks and semicolons turned into underscores, so that no word in them is taken for a verb or an end."""
-    pieces = F.regexp_extract_all(text, F.lit("('(?:[^']|'')*'|\"[^\"]*\"|[^'\"]+|['\"])"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^['\"]"), F.regexp_replace(p, r"[\s;]", "_")).otherwise(p)), "")
+    """Quoted literals with what could be taken for a verb, an end or a separator turned into underscores."""
+    pieces = F.regexp_extract_all(text, F.lit(f"({S.LITERAL}|[^'\"]++|['\"])"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^['\"]"), F.regexp_replace(p, r"[\s;,()]", "_")).otherwise(p)), "")
+
+
+def without_comments(text: Column) -> Column:
+    """SQL text without comments, its literals guarded: comments and literals are found in one pass, so neither hides in the other."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|{S.LITERAL}|[^'\"/-]++|.)"), F.lit(1))
+    kept = lambda p: F.when(p.startswith("--") | p.startswith("/*"), " ").when(p.rlike("^['\"]"), F.regexp_replace(p, r"[\s;,()]", "_")).otherwise(p)
+    return F.array_join(F.transform(pieces, kept), "")
 
 
 def programs(lines: DataFrame) -> DataFrame:
@@ -69,14 +91,19 @@ VERBS = "MOVE COMPUTE STRING UNSTRING ADD SUBTRACT MULTIPLY DIVIDE READ WRITE RE
 
 
 def statements(progs: DataFrame) -> DataFrame:
-    """Statements of each program in order: path, program, seq, verb, stmt (upper case, one blank between words)."""
+    """Statements of each program in order: path, program, seq, sentence, verb, stmt (upper case, one blank between words).
+
+    Sentences, which end at a period, are numbered; words in literals are guarded already.
+    """
     verbs = "|".join(VERBS)
     # embedded SQL is kept whole by hiding its words' boundaries behind a mark
-    sql = F.regexp_extract_all("procedures", F.lit(r"(?is)(EXEC\s+SQL.*?END-EXEC|(?:(?!EXEC\s+SQL).)+)"), F.lit(1))
-    pieces = F.flatten(F.transform(sql, lambda p: F.when(p.rlike(r"(?is)^EXEC\s+SQL"), F.array(p)).otherwise(F.split(F.regexp_replace(p, rf"(?i)(?<=[\s.])({verbs})(?=[\s.])", "\u0001$1"), "\u0001"))))
+    sql = F.regexp_extract_all("procedures", F.lit(r"(?is)(EXEC\s+(?:SQL|CICS).*?END-EXEC\.?|(?:(?!EXEC\s+(?:SQL|CICS)).)++)"), F.lit(1))
+    pieces = F.flatten(F.transform(sql, lambda p: F.when(p.rlike(r"(?is)^EXEC\s"), F.array(p)).otherwise(F.split(F.regexp_replace(p, rf"(?i)(?<=[\s.])({verbs})(?=[\s.])", "\u0001$1"), "\u0001"))))
     each = progs.select("path", "program", F.posexplode(pieces).alias("seq", "raw"))
     stmt = F.upper(F.trim(F.regexp_replace(F.regexp_replace("raw", r"\s+", " "), r"\.(\s.*)?$", "")))
-    out = each.select("path", "program", "seq", stmt.alias("stmt"))
+    ends = F.col("raw").rlike(r"\.(\s|$)").cast("int")
+    before = W.Window.partitionBy("path", "program").orderBy("seq").rowsBetween(W.Window.unboundedPreceding, -1)
+    out = each.select("path", "program", "seq", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int").alias("sentence"), stmt.alias("stmt"))
     return out.withColumn("verb", F.substring_index("stmt", " ", 1)).where("stmt <> ''")
 
 
@@ -103,13 +130,26 @@ def job_statements(f: DataFrame) -> DataFrame:
     return t.select("path", "line", pick(1).alias("name"), pick(2).alias("op"), pick(3).alias("operands"), "data")
 
 
-def substituted(stmts: DataFrame, rounds: int = 3) -> DataFrame:
-    """Operands with ``&NAME`` symbols of SET statements replaced, over and over up to a bound, so a symbol may use others."""
-    sets = stmts.where("op = 'SET'").select("path", F.explode(F.regexp_extract_all("operands", F.lit(r"(\w+=[^,\s]+)"), F.lit(1))).alias("kv"))
-    symbols = sets.groupBy("path").agg(F.array_sort(F.collect_list(F.struct((-F.length(F.substring_index("kv", "=", 1))).alias("n"), F.substring_index("kv", "=", 1).alias("k"), F.expr("substring(kv, instr(kv, '=') + 1)").alias("v")))).alias("symbols"))
+def substituted(stmts: DataFrame) -> DataFrame:
+    """Operands with ``&NAME`` symbols replaced by what the SET statements before them (by ``line``) have made of them.
+
+    A symbol's value is settled where it is set, from the symbols before it; so there are no
+    cycles, and a name that is not set yet stays.
+    """
+    pairs = F.transform(F.regexp_extract_all("operands", F.lit(r"(\w+=[^,\s]+)"), F.lit(1)), lambda kv: F.struct(F.substring_index(kv, "=", 1).alias("k"), F.substring(kv, F.instr(kv, "=") + 1, F.length(kv)).alias("v")))
+    sets = stmts.where("op = 'SET'").select("path", "line", F.posexplode(pairs).alias("at", "kv")).select("path", F.struct("line", "at", "kv.k", "kv.v").alias("s"))
+    symbols = sets.groupBy("path").agg(F.array_sort(F.collect_list("s")).alias("symbols"))
+    kind = "array<struct<n:int,k:string,v:string>>"
+
+    def put(text, known):
+        """Longest names first, so that no name is taken for the beginning of another."""
+        return F.aggregate(F.array_sort(known), text, lambda acc, s: F.replace(F.replace(acc, F.concat(F.lit("&"), s["k"], F.lit(".")), s["v"]), F.concat(F.lit("&"), s["k"]), s["v"]))
+
+    def learn(known, s):
+        others = F.filter(known, lambda x: x["k"] != s["k"])
+        return F.concat(others, F.array(F.struct((-F.length(s["k"])).alias("n"), s["k"].alias("k"), put(s["v"], known).alias("v")))).cast(kind)
+
     out = stmts.join(symbols, "path", "left")
-    once = lambda c: F.aggregate(F.coalesce(F.col("symbols"), F.expr("cast(array() as array<struct<n:int,k:string,v:string>>)")), c, lambda acc, s: F.replace(F.replace(acc, F.concat(F.lit("&"), s["k"], F.lit(".")), s["v"]), F.concat(F.lit("&"), s["k"]), s["v"]))
-    text = F.col("operands")
-    for _ in range(rounds):  # longest names first
-        text = once(text)
-    return out.withColumn("operands", text).drop("symbols")
+    before = F.filter(F.coalesce("symbols", F.array().cast("array<struct<line:int,at:int,k:string,v:string>>")), lambda s: s["line"] < F.col("line"))
+    known = F.aggregate(before, F.array().cast(kind), learn)
+    return out.withColumn("known", known).withColumn("operands", put(F.col("operands"), F.col("known"))).drop("symbols", "known")
