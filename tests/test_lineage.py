@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import graph as G
 from weftline.operators import lineage as L
+from weftline.operators import sortsteps as SS
 from weftline.sources import estate as E
 
 
@@ -155,15 +156,19 @@ def test_layouts_and_group_moves(progs, stmts):
 
 
 def test_calls_cursors_and_resolution(progs, stmts):
-    edges, links, missing = L.call_links(stmts, progs)
-    assert pairs(edges, "source_id", "target_id") == {("PROGRAM:PAYMAIN", "PROGRAM:PAYSUB")}
+    sites, passed, missing = L.call_sites(stmts, progs)
+    assert pairs(L.call_edges(sites), "source_id", "target_id") == {("PROGRAM:PAYMAIN", "PROGRAM:PAYSUB")}
     assert missing.count() == 1
     cur = L.cursors(stmts)
     assert [(r.expr, sorted(r.tables.items())) for r in cur.orderBy("pos").collect()][0] == ("A.FEE", [("A", "FEES"), ("B", "OTHER"), ("FEES", "FEES"), ("OTHER", "OTHER")])
     sources = cur.join(L.fetches(stmts), ["program", "cursor", "pos"]).select("variable", L.source_columns(F.col("expr"), F.col("tables")).alias("s")).collect()
     assert {r.variable: r.s for r in sources} == {"H-FEE": ["FEES|FEE"], "H-X": ["FEES|X", "OTHER|Y"]}
-    end = pairs(L.resolved(L.transforms(stmts), links), "target", "terminal")
-    assert ("PAYMAIN.OUT-AMT", "PAYSUB.H-FEE") in end and ("PAYMAIN.OUT-KEY", "PAYMAIN.IN-KEY") in end
+    named = lambda *names: stmts.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    site = f"PAYMAIN#{sites.first()['seq']}"
+    steps = L.steps_in_context(L.transforms(stmts), sites, passed)
+    end = {(r.output, r.origin): r.path for r in L.traced(steps, named("PAYMAIN@.OUT-AMT", "PAYMAIN@.OUT-KEY"), named(f"PAYSUB@{site}.H-FEE", "PAYMAIN@.IN-KEY", "PAYSUB@.H-FEE")).collect()}
+    assert set(end) == {("PAYMAIN@.OUT-AMT", f"PAYSUB@{site}.H-FEE"), ("PAYMAIN@.OUT-KEY", "PAYMAIN@.IN-KEY")}
+    assert end["PAYMAIN@.OUT-AMT", f"PAYSUB@{site}.H-FEE"] == ["MOVE H-FEE TO L-FEE", "CALL", "ADD WS-NET WS-FEE GIVING OUT-AMT"]
 
 
 def test_jobs(files, progs, stmts):
@@ -174,9 +179,9 @@ def test_jobs(files, progs, stmts):
     assert {("JOB:PAYJOB", "PROGRAM:PAYMAIN", "EXECUTES"), ("JOB:PAYJOB", "PROGRAM:PAYSUB", "EXECUTES"), ("FILE:PROD.PAY.OUT", "PROGRAM:SORT.PAYJOB.S2", "READS_FROM"), ("PROGRAM:SORT.PAYJOB.S2", "FILE:PROD.PAY.SRT", "WRITES_TO")} <= edges
     linked = pairs(L.linked_files(L.file_bindings(progs), L.open_modes(stmts), dds), "source_id", "target_id", "edge_type")
     assert linked == {("FILE:PROD.PAY.IN", "PROGRAM:PAYMAIN", "READS_FROM"), ("PROGRAM:PAYMAIN", "FILE:PROD.PAY.OUT", "WRITES_TO")}
-    cards = L.sort_cards(dds)
+    cards = SS.sort_cards(dds)
     assert pairs(cards, "card") == {("SORT",), ("OUTFIL",)}
-    assert pairs(L.build_items(cards), "out", "src", "len") == {(1, 1, 8), (9, 9, 8)}
+    assert pairs(SS.build_items(cards), "out", "src", "len") == {(1, 1, 8), (9, 9, 8)}
     assert pairs(L.job_gaps(steps), "statement_type") == {("JCL_PROC",), ("JCL_GDG",), ("JCL_REFERBACK",)}
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 LITERAL = "'(?:[^']++|'')*+'|\"[^\"]*+\""
 
 
+#: What could be taken for an end or a separator inside a literal, and the private characters that stand for it there.
+GUARD, GUARDED = " ;,()\n\r\t", "\ue001\ue002\ue003\ue004\ue005\ue006\ue007\ue008"
+
+
 def without_literals(text: Column) -> Column:
     """Quoted literals taken out."""
     return F.regexp_replace(text, LITERAL, "")
@@ -96,8 +100,8 @@ def pic_length(pic: Column, usage: Column) -> Column:
 
 
 def clipped(text: Column, n: int) -> Column:
-    """Evidence texts are kept to a stated length."""
-    return F.left(text, F.lit(n))
+    """Evidence texts are kept to a stated length, with their literals as they were."""
+    return F.left(F.translate(text, GUARDED, " ;,()   "), F.lit(n))
 
 
 def zero_on_overflow(x: Column, precision: int, scale: int) -> Column:

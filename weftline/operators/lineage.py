@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from weftline.functions import scalars as S
 from weftline.operators import graph as G
+from weftline.session import settled
 from weftline.sources.estate import without_comments
 
 #: Words in expressions that are no variables.
@@ -26,7 +27,7 @@ def names_in(text, words=WORDS):
     bare = F.regexp_replace(bare, r"\b(?:OF|IN) [A-Z][A-Z0-9-]*", " ")
     bare = F.regexp_replace(bare, r"([A-Z][A-Z0-9-]*) ?\([^()]*+\)", "$1 ")
     found = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<![A-Z0-9-])([A-Z][A-Z0-9-]*)(?![A-Z0-9-])"), F.lit(1)))
-    return F.filter(found, lambda x: ~x.isin(*words))
+    return F.filter(found, lambda x: ~x.rlike(f"^(?:{'|'.join(words)})$"))
 
 
 #: Statement shapes: kind, pattern, group of the sources, group of the targets.
@@ -163,24 +164,40 @@ def source_columns(expr, tables):
     text = F.regexp_replace(S.without_literals(F.upper(expr)), r" AS [A-Z][A-Z0-9]*(?: ?\([^()]*+\))? ?\)", ")")
     qualified = F.regexp_extract_all(text, F.lit(r"([A-Z0-9_]+\.[A-Z0-9_]+)"), F.lit(1))
     q = F.transform(qualified, lambda x: F.concat(F.coalesce(F.element_at(tables, F.substring_index(x, ".", 1)), F.substring_index(x, ".", 1)), F.lit("|"), F.substring_index(x, ".", -1)))
-    bare = F.filter(F.regexp_extract_all(F.regexp_replace(text, r"[A-Z0-9_]+\.[A-Z0-9_]+", " "), F.lit(r"(?<![A-Z0-9_])([A-Z_][A-Z0-9_]*)(?!\s*\(|[A-Z0-9_])"), F.lit(1)), lambda x: ~x.isin(*SQL_WORDS))
+    bare = F.filter(F.regexp_extract_all(F.regexp_replace(text, r"[A-Z0-9_]+\.[A-Z0-9_]+", " "), F.lit(r"(?<![A-Z0-9_])([A-Z_][A-Z0-9_]*)(?!\s*\(|[A-Z0-9_])"), F.lit(1)), lambda x: ~x.rlike(f"^(?:{'|'.join(SQL_WORDS)})$"))
     only = F.array_distinct(F.map_values(tables))
     b = F.when(F.size(only) == 1, F.transform(bare, lambda x: F.concat(F.get(only, F.lit(0)), F.lit("|"), x))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(q, b))
 
 
-def call_links(stmts: DataFrame, progs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """EXECUTES edges, parameter links (both ways, as calls are by reference), and calls of programs that aren't in the estate."""
+def call_sites(stmts: DataFrame, progs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls of programs of the estate (program, seq, callee), their parameters (…, arg, param), and calls of others."""
     calls = stmts.where(F.col("stmt").rlike(r"^CALL ['\"]")).select("program", "seq", F.regexp_extract("stmt", r"^CALL ['\"]([A-Z0-9_-]+)['\"]", 1).alias("callee"), F.regexp_extract_all(F.regexp_extract("stmt", r" USING (.+)$", 1), F.lit(NAME), F.lit(1)).alias("args"), "stmt")
     params = progs.select(F.col("program").alias("callee"), "parameters")
     known = calls.join(params, "callee")
-    missing = calls.join(params, "callee", "left_anti").select("program", F.lit("COBOL_CALL").alias("statement_type"), F.concat("stmt", F.lit(": not in the estate")).alias("snippet"))
-    edges = known.select(F.concat(F.lit("PROGRAM:"), "program").alias("source_id"), F.concat(F.lit("PROGRAM:"), "callee").alias("target_id"), F.lit("EXECUTES").alias("edge_type")).distinct()
-    args = known.select("program", "callee", F.posexplode(F.filter("args", lambda x: ~x.isin("BY", "REFERENCE", "CONTENT", "VALUE"))).alias("pos", "arg"), "parameters")
-    pairs = args.select("program", "callee", "arg", F.get("parameters", F.col("pos")).alias("param")).where("param is not null")
-    key = lambda p, v: F.concat(F.col(p), F.lit("."), F.col(v))
-    links = pairs.select(key("callee", "param").alias("target"), key("program", "arg").alias("source")).union(pairs.select(key("program", "arg"), key("callee", "param"))).distinct()
-    return edges, links, missing
+    missing = calls.join(params, "callee", "left_anti").select("program", "seq", F.lit("COBOL_CALL").alias("statement_type"), F.concat("stmt", F.lit(": not in the estate")).alias("snippet"))
+    args = known.select("program", "seq", "callee", F.posexplode(F.filter("args", lambda x: ~x.isin("BY", "REFERENCE", "CONTENT", "VALUE", "ON", "END-CALL"))).alias("pos", "arg"), "parameters")
+    pairs = args.select("program", "seq", "callee", "arg", F.get("parameters", F.col("pos")).alias("param")).where("param is not null")
+    return known.select("program", "seq", "callee"), pairs, missing
+
+
+def call_edges(sites: DataFrame) -> DataFrame:
+    return sites.select(F.concat(F.lit("PROGRAM:"), "program").alias("source_id"), F.concat(F.lit("PROGRAM:"), "callee").alias("target_id"), F.lit("EXECUTES").alias("edge_type")).distinct()
+
+
+def steps_in_context(moves: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Steps ``target, source, logic`` over variables named ``program@site.variable``.
+
+    Each program's moves hold once without a caller and once for each call of it, so that what
+    one caller passes does not reach another; parameters are passed by reference, both ways.
+    """
+    site = F.concat_ws("#", "program", "seq")
+    contexts = sites.select(F.col("callee").alias("program"), site.alias("site")).union(moves.select("program").union(sites.select("program")).distinct().withColumn("site", F.lit(""))).distinct()
+    name = lambda p, c, v: F.concat(F.col(p), F.lit("@"), c, F.lit("."), F.col(v))
+    own = moves.join(contexts, "program").select(name("program", F.col("site"), "target").alias("target"), name("program", F.col("site"), "source").alias("source"), "logic")
+    passed = pairs.withColumn("at", site).join(contexts, "program").select(name("callee", F.col("at"), "param").alias("a"), name("program", F.col("site"), "arg").alias("b"))
+    call = F.lit("CALL").alias("logic")
+    return own.union(passed.select("a", "b", call)).union(passed.select("b", "a", call)).where("target <> source").distinct()
 
 
 # --- jobs ------------------------------------------------------------------------------
@@ -233,23 +250,6 @@ def linked_files(bindings: DataFrame, modes: DataFrame, dds: DataFrame) -> DataF
     return bound.select(F.when(read, file).otherwise(prog).alias("source_id"), F.when(read, prog).otherwise(file).alias("target_id"), F.col("direction").alias("edge_type")).distinct()
 
 
-def sort_cards(dds: DataFrame) -> DataFrame:
-    """program, card, operands of sort control decks, continued cards joined; cards of an unknown kind are kept for the report."""
-    deck = dds.where(F.col("dd").isin("SYSIN", "TOOLIN") & F.substring_index("program", ".", 1).isin("SORT", "DFSORT", "SYNCSORT", "ICEMAN", "ICETOOL"))
-    text = F.regexp_replace(F.array_join(F.transform("data", lambda x: F.trim(x)), "\n"), r",\n", ",")
-    t = deck.select("program", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return t.select("program", "pos", F.regexp_extract("line", r"^(\w+)", 1).alias("card"), F.trim(F.regexp_replace("line", r"^\w+", "")).alias("operands")).where("card <> ''")
-
-
-def build_items(cards: DataFrame) -> DataFrame:
-    """program, out, src, len of BUILD and FIELDS lists of position,length pairs; ``out`` runs on."""
-    t = cards.where(F.col("operands").rlike(r"(BUILD|OUTREC|FIELDS)=\((\d+,\d+,?)+\)") & F.col("card").isin("OUTFIL", "INREC", "OUTREC"))
-    pairs = F.regexp_extract_all(F.regexp_extract("operands", r"=\(([\d,]+)\)", 1), F.lit(r"(\d+,\d+)"), F.lit(1))
-    each = t.select("program", "pos", F.posexplode(pairs).alias("k", "x")).select("program", "pos", "k", F.substring_index("x", ",", 1).cast("int").alias("src"), F.substring_index("x", ",", -1).cast("int").alias("len"))
-    upto = W.Window.partitionBy("program", "pos").orderBy("k").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    return each.withColumn("out", F.sum("len").over(upto) - F.col("len") + 1).select("program", "pos", "out", "src", "len")
-
-
 # --- SQL files -------------------------------------------------------------------------
 
 
@@ -402,7 +402,7 @@ def dynamic_constructs(stmts: DataFrame, sql: DataFrame) -> DataFrame:
     built = transforms(stmts).select("program", F.col("seq").alias("at"), F.col("target").alias("variable"), "logic").distinct()
     literal = stmts.where(F.col("stmt").rlike("^MOVE .+ TO ")).select("program", F.col("seq").alias("at"), F.explode(names_in(F.regexp_extract("stmt", r"^MOVE .+ TO (.+)$", 1))).alias("variable"), S.clipped(F.col("stmt"), 600).alias("logic"))
     before = d.join(built.unionByName(literal).distinct(), ["program", "variable"]).where("at < seq").groupBy("program", "seq").agg(F.array_sort(F.collect_set(F.struct("at", "logic"))).alias("c"))
-    embedded = d.join(before, ["program", "seq"], "left").select("program", F.lit("DYNAMIC_SQL").alias("construct_type"), S.clipped(F.col("stmt"), 300).alias("snippet"), F.coalesce(F.array_join(F.slice("c.logic", -5, 5), "; "), F.lit("")).alias("context"))
+    embedded = d.join(before, ["program", "seq"], "left").select("program", F.lit("DYNAMIC_SQL").alias("construct_type"), S.clipped(F.col("stmt"), 300).alias("snippet"), F.coalesce(F.array_join(F.slice("c.logic", F.greatest(F.size("c") - 4, F.lit(1)), F.lit(5)), "; "), F.lit("")).alias("context"))
     return embedded.unionByName(sql.where("stmt like 'EXECUTE IMMEDIATE%'").select("program", F.lit("DYNAMIC_SQL").alias("construct_type"), S.clipped(F.col("stmt"), 300).alias("snippet"), F.lit("").alias("context")))
 
 
@@ -432,10 +432,21 @@ def sql_gaps(stmts: DataFrame) -> DataFrame:
     return lost.select("program", "seq", F.lit("SQL_DML_UNMAPPED").alias("statement_type"), S.clipped(s, 300).alias("snippet"))
 
 
-def resolved(moves: DataFrame, links: DataFrame) -> DataFrame:
-    """Terminals of every variable, across calls: target and terminal as program.variable."""
-    key = lambda v: F.concat(F.col("program"), F.lit("."), F.col(v))
-    return G.terminals(moves.select(key("target").alias("target"), key("source").alias("source")).unionByName(links).where("target <> source").distinct())
+def traced(steps: DataFrame, outputs: DataFrame, origins: DataFrame, depth: int = G.RESOLVE_DEPTH) -> DataFrame:
+    """Origins that flow into outputs: output, origin, path (the statements on the way, source first; the least of the shortest).
+
+    Breadth-first from the outputs against the steps; each round joins only what the last one found.
+    """
+    steps = settled(steps)
+    frontier = settled(outputs.select(F.col("name").alias("output"), F.col("name").alias("at"), F.array().cast("array<string>").alias("path")).distinct())
+    reached = frontier
+    for _ in range(depth):
+        new = frontier.join(steps.withColumnRenamed("target", "at"), "at").groupBy("output", F.col("source").alias("at")).agg(F.min(F.concat(F.array("logic"), "path")).alias("path"))
+        frontier = settled(new.join(reached.select("output", "at"), ["output", "at"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        reached = reached.union(frontier)
+    return reached.join(origins.select(F.col("name").alias("at")).distinct(), "at", "left_semi").select("output", F.col("at").alias("origin"), "path")
 
 
 # --- unloads, transfers and assignments ------------------------------------------------

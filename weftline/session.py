@@ -24,11 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint in ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    """Cut the lineage at a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session takes a folder of its own; a cluster has none that its
+    executors share, so it is an error there.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
 

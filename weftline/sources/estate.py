@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from weftline.functions import scalars as S
+from weftline.session import settled
 
 #: Language by file suffix.
 LANGUAGES = {"cbl": "COBOL", "cob": "COBOL", "cpy": "COPYBOOK", "jcl": "JCL", "sql": "SQL", "pls": "SQL", "prc": "SQL"}
@@ -43,7 +44,7 @@ def cobol_lines(f: DataFrame, levels: int = 3) -> DataFrame:
     folder = lambda c: F.regexp_extract(c, r"^(.*/)[^/]*$", 1)
     copied = F.upper(F.regexp_extract("code", r"(?i)^\s*COPY\s+([\w-]+)", 1))
     replacing = F.regexp_extract_all(F.regexp_replace("code", r"\s+", " "), F.lit("(?i)(==[^=]*== BY ==[^=]*==)"), F.lit(1))
-    books = code_of(f.where("language = 'COPYBOOK'")).groupBy(F.col("member").alias("copied"), F.col("path").alias("book")).agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("body"))
+    books = settled(code_of(f.where("language = 'COPYBOOK'")).groupBy(F.col("member").alias("copied"), F.col("path").alias("book")).agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("body")))
     out = code_of(f.where("language = 'COBOL'")).withColumns({"sub": F.array(F.lit(0)), "whence": F.col("path")})
     for _ in range(levels):
         with_copy = out.withColumns({"copied": F.nullif(copied, F.lit("")), "pairs": replacing})
@@ -55,19 +56,20 @@ def cobol_lines(f: DataFrame, levels: int = 3) -> DataFrame:
         parts = F.coalesce("body", F.array(F.struct(F.lit(0).alias("line"), F.col("code").alias("code"))))
         laid = with_copy.join(bodies, ["whence", "copied"], "left").withColumn("part", F.explode(parts))
         out = laid.select("path", "member", "line", F.concat("sub", F.array("part.line")).alias("sub"), F.when(F.col("body").isNull(), F.col("part.code")).otherwise(_replaced(F.col("part.code"), F.col("pairs"))).alias("code"), F.coalesce("book", "whence").alias("whence"))
+        out = settled(out)
     return out.drop("whence")
 
 
 def guarded(text: Column) -> Column:
-    """Quoted literals with what could be taken for a verb, an end or a separator turned into underscores."""
+    """Quoted literals with what could be taken for an end or a separator turned into private characters, which ``clipped`` turns back."""
     pieces = F.regexp_extract_all(text, F.lit(f"({S.LITERAL}|[^'\"]++|['\"])"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^['\"]"), F.regexp_replace(p, r"[\s;,()]", "_")).otherwise(p)), "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^['\"]"), F.translate(p, S.GUARD, S.GUARDED)).otherwise(p)), "")
 
 
 def without_comments(text: Column) -> Column:
     """SQL text without comments, its literals guarded: comments and literals are found in one pass, so neither hides in the other."""
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|{S.LITERAL}|[^'\"/-]++|.)"), F.lit(1))
-    kept = lambda p: F.when(p.startswith("--") | p.startswith("/*"), " ").when(p.rlike("^['\"]"), F.regexp_replace(p, r"[\s;,()]", "_")).otherwise(p)
+    kept = lambda p: F.when(p.startswith("--") | p.startswith("/*"), " ").when(p.rlike("^['\"]"), F.translate(p, S.GUARD, S.GUARDED)).otherwise(p)
     return F.array_join(F.transform(pieces, kept), "")
 
 
