@@ -79,7 +79,7 @@ def alias_resolution(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.element_at(m, F.lit("X")).alias("table_x"), F.element_at(m, F.lit("Y")).alias("table_y"))
 
 
-@registered("SELECT s_suppkey, 'PROD.D' || s_nationkey || 'F' || s_suppkey AS dsn FROM supplier")
+@registered("SELECT s_suppkey, 'PROD.D' || s_nationkey || '.F' || s_suppkey AS dsn FROM supplier")
 def symbol_substitution(spark, sf_dir):
     from weftline.sources.estate import substituted
 
