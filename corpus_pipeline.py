@@ -16,12 +16,14 @@ Stages and their decisions:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from weftline.llm import byte_bpe, jaccard_join, mixing, quality, secrets
-from weftline.llm.common import crc_fold, materialise, table
+from weftline.llm.common import crc_fold, settle, table
 
 #: Score from which a document stays.
 QUALITY = 0.7
@@ -61,7 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        # what a stage has written on its way is deleted once its rows are written
+        docs = settle(functools.partial(stage, spark, docs, sf_dir), spark, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
