@@ -4,9 +4,9 @@ Equal vectors are one node. The graph starts from blocks of vectors that lie tog
 order of random-hyperplane codes (several orders); inside a block every vector keeps its best
 partners. NN-descent then joins neighbours of neighbours: along the kept edges every node
 introduces its neighbours to each other, and each keeps the best it has met, until rounds
-change hardly any list. A query starts from its own node, opens the unopened nodes of its pool,
-which holds the best that it has seen, and scores their neighbours, until its pool holds no
-unopened node. Codes of every second order see directions only, those of the others see vectors lengthened to a quantile of the norms, so neither long vectors nor the rest, beside a
+change hardly any list. A query starts from its own node, opens the best unopened nodes of its
+pool, which holds the best that it has seen, and scores their neighbours, until its pool holds
+no unopened node. Codes of every second order see directions only, those of the others see vectors lengthened to a quantile of the norms, so neither long vectors nor the rest, beside a
 few very long ones, share one code. Equal codes are dealt by a hash of node and order, so each
 order cuts a group of them into other blocks.
 
@@ -43,8 +43,8 @@ FORWARD, REVERSE = 16, 16
 MET = 6
 #: NN-descent ends with the round that changes less than this share of the list entries.
 CHANGED = 0.001
-#: A query's pool for up to POOL_NODES nodes.
-POOL, POOL_NODES = 64, 1 << 14
+#: A query's pool for up to POOL_NODES nodes, and nodes opened in a step.
+POOL, POOL_NODES, OPEN = 64, 1 << 14, 32
 CODE_BITS = 24
 GRAPH = "node long, nbrs array<long>, scores array<float>"
 
@@ -245,9 +245,11 @@ def _search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, ki
         pools = pools.where(unopened)
         if pools.isEmpty():
             return functools.reduce(DataFrame.unionByName, done)
-        to_open = pools.select("node", F.explode(F.filter("ids", lambda x, k: ~F.get("opened", k))).alias("opened_"))
+        # the best unopened nodes of each pool, which is in order of score
+        best = pools.select("node", F.slice(F.filter("ids", lambda x, k: ~F.get("opened", k)), 1, OPEN).alias("open"))
+        to_open = best.select("node", F.explode("open").alias("opened_"))
         fresh = to_open.join(near.withColumnRenamed("node", "opened_"), "opened_").select("node", F.explode("nbrs").alias("nbr")).distinct()
-        after = pools.select("node", "ids", "scores", F.transform("opened", lambda x: F.lit(True)).alias("opened"))
+        after = pools.join(best, "node").select("node", "ids", "scores", F.transform("ids", lambda i, k: F.get("opened", k) | F.array_contains("open", i)).alias("opened"))
         known = after.select("node", F.explode("ids").alias("nbr"))
         pools = materialise(_score(after, fresh.join(known, ["node", "nbr"], "left_anti"), nodes, dim, kind, size), "pools")
 
