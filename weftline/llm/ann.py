@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from weftline.llm.common import map_batches, materialise
+from weftline.llm.common import discard, map_batches, materialise, release
 
 BLOCK = 4096
 ORDERS = 11
@@ -44,7 +44,7 @@ MET = 6
 #: NN-descent ends with the round that changes less than this share of the list entries.
 CHANGED = 0.001
 #: A query's pool for up to POOL_NODES nodes, and nodes opened in a step.
-POOL, POOL_NODES, OPEN = 64, 1 << 14, 32
+POOL, POOL_NODES, OPEN = 64, 1 << 14, 24
 CODE_BITS = 24
 GRAPH = "node long, nbrs array<long>, scores array<float>"
 
@@ -251,6 +251,7 @@ def _search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, ki
         fresh = to_open.join(near.withColumnRenamed("node", "opened_"), "opened_").select("node", F.explode("nbrs").alias("nbr")).distinct()
         after = pools.join(best, "node").select("node", "ids", "scores", F.transform("ids", lambda i, k: F.get("opened", k) | F.array_contains("open", i)).alias("opened"))
         known = after.select("node", F.explode("ids").alias("nbr"))
+        release(pools.sparkSession)
         pools = materialise(_score(after, fresh.join(known, ["node", "nbr"], "left_anti"), nodes, dim, kind, size), "pools")
 
 
@@ -290,6 +291,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     while changed >= CHANGED:
         before, graph = graph, materialise(_descend(graph, nodes, dim, kind), "graph")
         changed = _changed(before, graph)
+        discard(spark, {f.rsplit("/", 1)[0] for f in before.inputFiles()})
+        release(spark)
     asked = packed.where(F.col("id") % every == 0).select("id", "node")
     pools = _search(asked.select("node").distinct(), graph, nodes, dim, kind, pool_size(n))
 

@@ -63,6 +63,11 @@ def settle(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that no table needs any more; it acts on what the driver's collector has found."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def discard(spark: SparkSession, paths: Iterable[str]) -> None:
     """Delete folders of the shared file system."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
