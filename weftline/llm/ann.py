@@ -6,13 +6,15 @@ partners. NN-descent then joins neighbours of neighbours: along the kept edges e
 introduces its neighbours to each other, and each keeps the best it has met, until rounds
 change hardly any list. A query starts from its own node, opens the best unopened nodes of its
 pool, which holds the best that it has seen, and scores their neighbours, until its pool holds
-no unopened node. Codes of every second order see directions only, those of the others see vectors lengthened to a quantile of the norms, so neither long vectors nor the rest, beside a
+no unopened node. Codes of every second order see directions only, those of the others see
+vectors lengthened to a quantile of the norms, so neither long vectors nor the rest, beside a
 few very long ones, share one code. Equal codes are dealt by a hash of node and order, so each
 order cuts a group of them into other blocks.
 
 Lists of the graph are bounded (BLOCK, NEIGHBOURS, REVERSE); a query's pool grows with the
 square root of the nodes (``pool_size``), as the share of them that it has to see to find its
-nearest does not fall as fast as they grow. The search is approximate; tests measure its
+nearest does not fall as fast as they grow. Queries of like direction are searched in blocks
+that share what any of them opens (SHARE), so a vector travels once to a block. The search is approximate; tests measure its
 recall against brute force. Scores are exact.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
@@ -34,17 +36,19 @@ from pyspark.sql import window as W
 
 from weftline.llm.common import discard, map_batches, materialise, release
 
-BLOCK = 4096
-ORDERS = 11
+BLOCK = 256
+ORDERS = 8
 NEIGHBOURS = 32
 #: Edges of a node that take part in a round of NN-descent, each way.
 FORWARD, REVERSE = 16, 16
 #: Introductions that each node keeps of one meeting.
-MET = 6
+MET = 8
 #: NN-descent ends with the round that changes less than this share of the list entries.
-CHANGED = 0.001
+CHANGED = 0.02
 #: A query's pool for up to POOL_NODES nodes, and nodes opened in a step.
-POOL, POOL_NODES, OPEN = 64, 1 << 14, 24
+POOL, POOL_NODES, OPEN = 128, 1 << 14, 48
+#: Queries that share what they open.
+SHARE = 64
 CODE_BITS = 24
 GRAPH = "node long, nbrs array<long>, scores array<float>"
 
@@ -82,12 +86,12 @@ def _merged(lists: DataFrame) -> DataFrame:
     return map_batches(grouped, make, GRAPH)
 
 
-def _coded(nodes: DataFrame, dim: int, kind: str, norms: list[float]) -> DataFrame:
-    """Every node's vector once for each order, with its code; odd orders lengthen the vectors that are shorter than one of ``norms``."""
+def _coded(nodes: DataFrame, dim: int, kind: str, norms: list[float], orders: int) -> DataFrame:
+    """Every node's vector once for each of the first ``orders`` orders, with its code; odd orders lengthen the vectors that are shorter than one of ``norms``."""
 
     def make():
         rng = np.random.default_rng(23)
-        planes = rng.normal(size=(ORDERS, dim + 1, CODE_BITS)).astype(np.float32)
+        planes = rng.normal(size=(orders, dim + 1, CODE_BITS)).astype(np.float32)
         place = 1 << np.arange(CODE_BITS, dtype=np.int64)[::-1]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -99,8 +103,8 @@ def _coded(nodes: DataFrame, dim: int, kind: str, norms: list[float]) -> DataFra
                 longest = norms[o // 2 % len(norms)] if o % 2 else 0.0
                 sides.append((x @ p[:-1] + np.sqrt(np.maximum(longest**2 - square, 0))[:, None] * p[-1] > 0) @ place)
             codes = np.stack(sides, axis=1)
-            order = np.tile(np.arange(ORDERS), len(ids))
-            each = np.repeat(np.arange(len(ids)), ORDERS)
+            order = np.tile(np.arange(orders), len(ids))
+            each = np.repeat(np.arange(len(ids)), orders)
             return pa.RecordBatch.from_arrays([pa.array(order), pa.array(codes.ravel()), pa.array(ids[each]), vecs.take(pa.array(each))], ["order_", "code", "node", "vec"])
 
         return step
@@ -146,7 +150,7 @@ def _start(nodes: DataFrame, n: int, dim: int, kind: str, norms: list[float]) ->
     # each partition holds at least two blocks, so that its last, shorter one matters little
     parts = max(1, n * ORDERS // (2 * BLOCK))
     salt = F.xxhash64("node", "order_").alias("salt")
-    coded = _coded(nodes, dim, kind, norms).select("order_", "code", "node", "vec", salt)
+    coded = _coded(nodes, dim, kind, norms, ORDERS).select("order_", "code", "node", "vec", salt)
     coded = coded.repartitionByRange(parts, "order_", "code", "salt").sortWithinPartitions("order_", "code", "salt")
     return _merged(coded.mapInArrow(run, GRAPH))
 
@@ -198,46 +202,97 @@ def pool_size(n: int) -> int:
     return POOL * max(1, math.ceil(math.sqrt(n / POOL_NODES)))
 
 
-POOLED = "node long, ids array<long>, scores array<double>, opened array<boolean>"
+POOLED = "block long, node long, ids array<long>, scores array<double>, opened array<boolean>"
 
 
-def _score(pools: DataFrame, fresh: DataFrame, nodes: DataFrame, dim: int, kind: str, size: int) -> DataFrame:
-    """Pools with the candidates of ``fresh`` (node, nbr) scored and merged in."""
-    vecs = fresh.join(nodes.select(F.col("node").alias("nbr"), "vec"), "nbr").groupBy("node").agg(F.collect_list(F.struct("nbr", "vec")).alias("members"))
-    rows = pools.join(vecs, "node", "left").join(nodes.select("node", F.col("vec").alias("own")), "node").select("node", "ids", "scores", "opened", "members", "own")
+def _blocks(queries: DataFrame, nodes: DataFrame, n: int, dim: int, kind: str) -> DataFrame:
+    """Queries with their vectors, those of like direction in one block of some SHARE: block, node, vec."""
+    coded = _coded(queries.join(nodes, "node"), dim, kind, [0.0], orders=1)
+    parts = max(1, math.ceil(n / SHARE))
+    dealt = coded.repartitionByRange(parts, "code", F.xxhash64("node"))
+    return dealt.select(F.spark_partition_id().cast("long").alias("block"), "node", "vec")
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], []]
-            for k, node in enumerate(batch.column(0).to_pylist()):
-                ids, scores, opened = (np.array(batch.column(c)[k].as_py(), t) for c, t in ((1, np.int64), (2, float), (3, bool)))
-                members = batch.column(4)[k]
-                if members.is_valid:
-                    new = members.values.field("nbr").to_numpy()
-                    x = np.frombuffer(b"".join(v.as_buffer() for v in members.values.field("vec")), kind).reshape(-1, dim).astype(float)
-                    q = np.frombuffer(batch.column(5)[k].as_buffer(), kind).astype(float)
-                    is_new = ~np.isin(new, ids)
-                    s = np.array([np.dot(r, q) for r in x[is_new]])
-                    ids, scores = np.concatenate([ids, new[is_new]]), np.concatenate([scores, s])
-                    opened = np.concatenate([opened, np.zeros(len(s), bool)])
-                order = np.lexsort((ids, -scores))[:size]
-                for o, v in zip(out, (node, ids[order], scores[order], opened[order]), strict=True):
-                    o.append(v)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
-            return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["node", "ids", "scores", "opened"])
 
-        return step
+def _score(pools: DataFrame, fresh: DataFrame, nodes: DataFrame, dim: int, kind: str, size: int) -> DataFrame:
+    """Pools (POOLED and vec) with every candidate that ``fresh`` (block, nbr) names for their block scored and merged in: POOLED.
 
-    return map_batches(rows, make, POOLED)
+    A block's pools come first; its candidates are then scored batch by batch, so that a task
+    holds a block's pools and one batch, however many candidates there are.
+    """
+    brought = fresh.join(nodes.select(F.col("node").alias("nbr"), "vec"), "nbr")
+    rows = pools.select("block", F.lit(0).alias("kind"), "node", "vec", "ids", "scores", "opened")
+    brought = brought.select("block", F.lit(1).alias("kind"), F.col("nbr").alias("node"), "vec", *(F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("scores", "array<double>"), ("opened", "array<boolean>"))))
+    rows = rows.unionByName(brought).repartition("block").sortWithinPartitions("block", "kind")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        held: list[pa.RecordBatch] = []  # the pools of a block
+        own = pool = None
+
+        def begin() -> tuple[np.ndarray, list[np.ndarray]]:
+            lists = [[r for b in held for r in b.column(c)] for c in (4, 5, 6)]
+            ids, scores, opened = np.zeros((len(lists[0]), size), np.int64), np.full((len(lists[0]), size), -np.inf), np.ones((len(lists[0]), size), bool)
+            for k, parts in enumerate(zip(*lists, strict=True)):
+                for into, part in zip((ids, scores, opened), parts, strict=True):
+                    into[k, : len(part)] = part.values.to_numpy(zero_copy_only=False)
+            return np.concatenate([vectors(b) for b in held]), [ids, scores, opened]
+
+        def vectors(batch: pa.RecordBatch) -> np.ndarray:
+            return np.frombuffer(b"".join(v.as_buffer() for v in batch.column(3)), kind).reshape(-1, dim).astype(float)
+
+        def add(batch: pa.RecordBatch) -> None:
+            g = own @ vectors(batch).T
+            names = np.broadcast_to(batch.column(2).to_numpy(), g.shape)
+            both = [np.concatenate(p, 1) for p in zip(pool, (names, g, np.zeros(g.shape, bool)), strict=True)]
+            at = np.argpartition(-both[1], size - 1, axis=1)[:, :size]
+            pool[:] = [np.take_along_axis(p, at, 1) for p in both]
+
+        def end() -> pa.RecordBatch:
+            out: list[list] = [[], [], []]
+            for ids, scores, opened in zip(*pool, strict=True):
+                order = np.lexsort((ids, -scores))
+                order = order[scores[order] > -np.inf]
+                for o, v in zip(out, (ids, scores, opened), strict=True):
+                    o.append(v[order])
+            names = pa.concat_arrays([b.column(2) for b in held])
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), now)), names, *(pa.array(o, t) for o, t in zip(out, kinds, strict=True))], ["block", "node", "ids", "scores", "opened"])
 
-def _search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, kind: str, size: int) -> DataFrame:
-    """Greedy search for some nodes: POOLED. Pools without an unopened node are set aside, so a step works on the others only."""
-    own = graph.join(queries, "node").select("node", F.explode("nbrs").alias("nbr"))
-    itself = queries.select("node", F.col("node").alias("nbr"))
-    empty = queries.select("node", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<boolean>").alias("opened"))
-    pools = materialise(_score(empty, own.unionByName(itself).distinct(), nodes, dim, kind, size), "pools")
+        for batch in batches:
+            key = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                block, candidates = divmod(int(key[lo]), 2)
+                part = batch.slice(lo, hi - lo)
+                if block != now:
+                    if held:
+                        own, pool = (own, pool) if pool else begin()
+                        yield end()
+                    now, held, own, pool = block, [], None, None
+                if not candidates:
+                    held.append(part)
+                elif held:
+                    own, pool = (own, pool) if pool else begin()
+                    add(part)
+        if held:
+            own, pool = (own, pool) if pool else begin()
+            yield end()
+
+    return rows.mapInArrow(run, POOLED)
+
+
+def _search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, n: int, dim: int, kind: str, size: int) -> DataFrame:
+    """Greedy search for ``n`` nodes: POOLED. Pools without an unopened node are set aside, so a step works on the others only.
+
+    The queries of a block share what any of them opens, so a vector travels once to a block.
+    """
+    spark = queries.sparkSession
+    blocks = materialise(_blocks(queries, nodes, n, dim, kind), "blocks")
     near = materialise(_edges(graph, NEIGHBOURS, NEIGHBOURS).groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "near")
+    own = blocks.join(graph.select("node", "nbrs"), "node", "left").select("block", F.explode(F.concat(F.array("node"), F.coalesce("nbrs", F.array().cast("array<long>")))).alias("nbr"))
+    seen = [materialise(own.distinct(), "seen")]
+    empty = blocks.select("*", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<boolean>").alias("opened"))
+    pools = materialise(_score(empty, seen[0], nodes, dim, kind, size), "pools")
     done: list[DataFrame] = []
     while True:
         unopened = F.exists("opened", lambda x: ~x)
@@ -246,13 +301,14 @@ def _search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dim: int, ki
         if pools.isEmpty():
             return functools.reduce(DataFrame.unionByName, done)
         # the best unopened nodes of each pool, which is in order of score
-        best = pools.select("node", F.slice(F.filter("ids", lambda x, k: ~F.get("opened", k)), 1, OPEN).alias("open"))
-        to_open = best.select("node", F.explode("open").alias("opened_"))
-        fresh = to_open.join(near.withColumnRenamed("node", "opened_"), "opened_").select("node", F.explode("nbrs").alias("nbr")).distinct()
-        after = pools.join(best, "node").select("node", "ids", "scores", F.transform("ids", lambda i, k: F.get("opened", k) | F.array_contains("open", i)).alias("opened"))
-        known = after.select("node", F.explode("ids").alias("nbr"))
-        release(pools.sparkSession)
-        pools = materialise(_score(after, fresh.join(known, ["node", "nbr"], "left_anti"), nodes, dim, kind, size), "pools")
+        pools = pools.withColumn("open", F.slice(F.filter("ids", lambda x, k: ~F.get("opened", k)), 1, OPEN))
+        to_open = pools.select("block", F.explode("open").alias("node")).distinct()
+        reached = to_open.join(near, "node").select("block", F.explode("nbrs").alias("nbr")).distinct()
+        seen.append(materialise(reached.join(functools.reduce(DataFrame.unionByName, seen), ["block", "nbr"], "left_anti"), "seen"))
+        after = pools.withColumn("opened", F.transform("ids", lambda i, k: F.get("opened", k) | F.array_contains("open", i)))
+        after = after.join(blocks.select("node", "vec"), "node")
+        pools = materialise(_score(after, seen[-1], nodes, dim, kind, size), "pools")
+        release(spark)
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -294,7 +350,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
         discard(spark, {f.rsplit("/", 1)[0] for f in before.inputFiles()})
         release(spark)
     asked = packed.where(F.col("id") % every == 0).select("id", "node")
-    pools = _search(asked.select("node").distinct(), graph, nodes, dim, kind, pool_size(n))
+    pools = _search(asked.select("node").distinct(), graph, nodes, asked.select("node").distinct().count(), dim, kind, pool_size(n))
 
     # a node's answer holds k + 1 rows, as a query leaves itself out; no node gives more than so many members
     by_id = W.Window.partitionBy("node").orderBy("id")
