@@ -77,7 +77,10 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """Apply a batch function to Arrow batches; ``make`` runs once in each task and returns it."""
+    """Apply a batch function to Arrow batches; ``make`` runs once in each task and returns it.
+
+    A worker that waits for its next task gives back what Arrow holds and no longer needs.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
@@ -87,6 +90,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 done = step(batch)
                 if done is not None and done.num_rows:
                     yield done
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
