@@ -502,13 +502,30 @@ def _upto(n):
     return F.sequence(F.lit(0).cast("long"), n - 1)
 
 
-def _known(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (group, name) with the component they are known to be in, and whether that is their group's largest so far."""
-    roots = components(links).withColumnsRenamed({"node": "name", "root": "root_"})
-    known = members.join(roots, "name", "left").select("group", "name", F.coalesce("root_", "name").alias("known"))
-    counted = known.groupBy("group", "known").agg(F.count("*").alias("n"))
+def _merged(open_: DataFrame, met: DataFrame) -> DataFrame:
+    """Members (group, name, known, main) after links a, b whose b is a leader; groups that are one component go.
+
+    A group has LEADERS leaders at most, so a component touches few of them and a group has at
+    most 2 ** LEADERS different sets of leaders that are touched: these are merged without star steps.
+    """
+    known = lambda end: open_.select("group", F.col("name").alias(end), F.col("known").alias(f"known_{end}"))
+    edges = met.join(known("a"), "a").join(known("b").drop("group"), "b").select("group", "known_a", "known_b")
+    ends = F.array(F.struct(F.col("known_a").alias("known"), F.col("known_b").alias("leader")), F.struct(F.col("known_b").alias("known"), F.col("known_b").alias("leader")))
+    touched = edges.select("group", F.explode(ends).alias("e")).groupBy("group", "e.known").agg(F.sort_array(F.collect_set("e.leader")).alias("leaders"))
+    touched = materialise(touched, "touched")
+
+    def merge(done, one):
+        """Disjoint sets and one more: those that overlap with it become one."""
+        of = F.filter(done, lambda x: F.arrays_overlap(x, one))
+        return F.concat(F.filter(done, lambda x: ~F.arrays_overlap(x, one)), F.array(F.array_distinct(F.flatten(F.concat(F.array(one), of)))))
+
+    merged = touched.groupBy("group").agg(F.collect_set("leaders").alias("sets")).select("group", F.explode(F.aggregate("sets", F.array().cast("array<array<string>>"), merge)).alias("one"))
+    roots = merged.select("group", F.explode("one").alias("leader"), F.array_min("one").alias("root_"))
+    roots = touched.select("group", "known", F.col("leaders")[0].alias("leader")).join(roots, ["group", "leader"]).drop("leader")
+    now = open_.drop("main").join(roots, ["group", "known"], "left").select("group", "name", F.coalesce("root_", "known").alias("known"))
+    counted = now.groupBy("group", "known").agg(F.count("*").alias("n"))
     most = counted.groupBy("group").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.count("*").alias("parts"))
-    return materialise(known.join(most, "group").where("parts > 1").select("group", "name", "known", (F.col("known") == F.col("main")).alias("main")), "known")
+    return materialise(now.join(most, "group").where("parts > 1").select("group", "name", "known", (F.col("known") == F.col("main")).alias("main")), "known")
 
 
 def _group_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -521,8 +538,7 @@ def _group_links(sets: DataFrame, percent: int) -> DataFrame:
     if large.isEmpty():
         return out
     sets = materialise(sets.join(large, "group").withColumn("name", name), "large")
-    members = sets.select("group", "name")
-    open_ = members.select("group", "name", F.col("name").alias("known"), F.lit(False).alias("main"))
+    open_ = sets.select("group", "name", F.col("name").alias("known"), F.lit(False).alias("main"))
     found = out.limit(0)
     for turn in range(LEAD_ROUNDS):
         # every block of a group that isn't one component yet meets the same few leaders
@@ -534,7 +550,7 @@ def _group_links(sets: DataFrame, percent: int) -> DataFrame:
         queries = own.select(deal(F.pmod(F.xxhash64("h2"), "blocks")).alias("deal"), F.lit(1).alias("side"), "known", "h1", "h2", "tokens")
         met = materialise(_compared(stored.unionByName(queries), percent), "links")
         found = found.unionByName(met)
-        open_ = _known(members, found)
+        open_ = _merged(open_, met)
         if open_.isEmpty():
             return out.unionByName(found)
 
