@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextvars
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -76,11 +77,26 @@ def discard(spark: SparkSession, paths: Iterable[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """Apply a batch function to Arrow batches; ``make`` runs once in each task and returns it.
+def give_back() -> None:
+    """Return to the system what a finished task's worker holds and no longer needs, as Spark keeps the worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
 
-    A worker that waits for its next task gives back what Arrow holds and no longer needs.
-    """
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers give memory back at the end of a task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+    """Apply a batch function to Arrow batches; ``make`` runs once in each task and returns it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
@@ -90,9 +106,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 done = step(batch)
                 if done is not None and done.num_rows:
                     yield done
-        pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import map_arrow, materialise
 from weftline.llm.components import components
 
 SKETCH_BITS = 1024  # at least
@@ -272,7 +272,7 @@ def _pass_sets(docs: DataFrame, size: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(cols, ["id_", "n_", "h1_", "h2_", "sketch_", "end_", "x_"])
 
-    return docs.select("*", F.xxhash64("text_").alias("x_")).mapInArrow(run, f"id_ {kind}, n_ long, h1_ long, h2_ long, sketch_ binary, end_ int, x_ long")
+    return map_arrow(docs.select("*", F.xxhash64("text_").alias("x_")), run, f"id_ {kind}, n_ long, h1_ long, h2_ long, sketch_ binary, end_ int, x_ long")
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, bitmap) -> DataFrame:
@@ -305,7 +305,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, bitmap) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["token", "h1", "n", "pos", "late"])
 
-    return docs.mapInArrow(run, "token long, h1 long, n int, pos int, late boolean")
+    return map_arrow(docs, run, "token long, h1 long, n int, pos int, late boolean")
 
 
 def _meetings(rows: DataFrame, percent: int) -> DataFrame:
@@ -393,7 +393,7 @@ def _meetings(rows: DataFrame, percent: int) -> DataFrame:
         yield from flush()
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "h1")
-    return dealt.mapInArrow(run, "a long, b long, tie long")
+    return map_arrow(dealt, run, "a long, b long, tie long")
 
 
 def _near(percent: int):
@@ -429,7 +429,7 @@ def _member_sets(docs: DataFrame, size: int, members) -> DataFrame:
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.int64()) for r in rows[:3]), pa.array(rows[3], pa.binary())], ["h1", "h2", "n", "tokens"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, n long, tokens binary")
+    return map_arrow(docs, run, "h1 long, h2 long, n long, tokens binary")
 
 
 def _bitmap_of(df: DataFrame, column: str) -> np.ndarray:
@@ -446,7 +446,7 @@ def _bitmap_of(df: DataFrame, column: str) -> np.ndarray:
                 at = np.flatnonzero(own)
                 yield pa.RecordBatch.from_arrays([pa.array(at + k * slice_bytes), pa.array(own[at].astype(np.int64))], ["at", "bits"])
 
-    found = df.select(column).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = map_arrow(df.select(column), run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(MARK_BITS // 8, np.uint8)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
     return out
@@ -487,7 +487,7 @@ def _compared(dealt: DataFrame, percent: int) -> DataFrame:
             yield x
 
     dealt = dealt.select("deal", "side", "known", "h1", "h2", "tokens")
-    return dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "a string, b string")
+    return map_arrow(dealt.repartition("deal").sortWithinPartitions("deal"), run, "a string, b string")
 
 
 def _named(h1: str = "h1", h2: str = "h2"):
@@ -592,7 +592,7 @@ def _row_components(docs: DataFrame, size: int, percent: int, id_col: str, text_
     pairs = met.where("tie = 0").select("a", "b").distinct()
     side = lambda s: classes.select(F.col("h1_").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
+    near = map_arrow(pairs.select("a", "b", "na", "nb", "sa", "sb"), _near(percent), "a long, b long")
     groups = materialise(components(near.unionByName(met.where("tie = 1").select("a", "b"))).withColumnsRenamed({"node": "h1", "root": "group"}), "groups")
     members = sc.broadcast(_bitmap_of(groups, "h1").tobytes())
     sets = _member_sets(source, size, members).groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
