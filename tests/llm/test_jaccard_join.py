@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,3 +109,37 @@ def test_one_row_of_each_component_stays(spark):
     empty = [(d is None, d or 0) for d, t in rows if not (t or "").split()]
     assert len(got) == len(comps) + len(empty)
     assert set(got) == comps | set(empty)
+
+
+def test_rounds_of_leaders_merge_as_components_do(spark):
+    """Two rounds of links to few leaders a group, against union-find; a group that is one component goes."""
+    rng = np.random.default_rng(5)
+    names = {g: [f"{g}n{k}" for k in range(30)] for g in range(4)}
+    open_ = spark.createDataFrame([(g, n, n, False) for g, own in names.items() for n in own], "group long, name string, known string, main boolean")
+    parent = {n: n for own in names.values() for n in own}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for _ in range(2):
+        links = []
+        for g, own in names.items():
+            leaders = rng.choice(own, 4, replace=False).tolist()
+            linked = own if g == 0 else rng.choice(own, 12, replace=False).tolist()
+            links += [(m, leaders[0] if g == 0 else leaders[rng.integers(4)]) for m in linked]
+        links = [(a, b) for a, b in links if root(a) != root(b)]
+        open_ = J._merged(open_, spark.createDataFrame(links, "a string, b string"))
+        for a, b in links:
+            parent[root(a)] = root(b)
+        names = {g: own for g, own in names.items() if len({root(n) for n in own}) > 1}
+        assert 0 not in names and names
+        rows = open_.collect()
+        assert sorted(r["name"] for r in rows) == sorted(n for own in names.values() for n in own)
+        pairs = {(r["known"], root(r["name"])) for r in rows}
+        assert len(pairs) == len({k for k, _ in pairs}) == len({r for _, r in pairs})
+        for g, own in names.items():
+            sizes = Counter(root(n) for n in own)
+            main = {root(r["name"]) for r in rows if r["group"] == g and r["main"]}
+            assert len(main) == 1 and sizes[main.pop()] == max(sizes.values())
