@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,15 +97,32 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(whole, schema)
 
 
+#: Bytes of text that a batch function gets at once, unless a single row has more.
+STEP_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of at most ``most`` bytes of text, or of one longer row; nothing is copied."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """Apply a batch function to Arrow batches; ``make`` runs once in each task and returns it."""
+    """Apply a batch function to slices of Arrow batches, bounded in bytes of text; ``make`` runs once in each task and returns it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
-            if batch.num_rows:
+            for part in slices(batch):
                 step = step or make()
-                done = step(batch)
+                done = step(part)
                 if done is not None and done.num_rows:
                     yield done
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from weftline.llm.chat import ROTATE_SQL
 from weftline.llm.common import crc_fold, table
+from weftline.llm.fill_in_middle import FILL_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {"op3_perspectives": ROTATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_perspectives": ROTATE_SQL, "op12_fill_in_middle": FILL_SQL}
 
 
 def query(f: Query) -> Query:
@@ -98,3 +99,10 @@ def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.fill_in_middle import fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents"), keep_text=False)
