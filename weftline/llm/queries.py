@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.chat import ROTATE_SQL
+from weftline.llm.collocations import COLLOCATIONS_SQL
 from weftline.llm.common import crc_fold, table
 from weftline.llm.fill_in_middle import FILL_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {"op3_perspectives": ROTATE_SQL, "op12_fill_in_middle": FILL_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_perspectives": ROTATE_SQL, "op12_fill_in_middle": FILL_SQL, "op13_collocations": COLLOCATIONS_SQL}
 
 
 def query(f: Query) -> Query:
@@ -106,3 +107,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.fill_in_middle import fill_in_middle
 
     return fill_in_middle(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
