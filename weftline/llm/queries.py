@@ -114,3 +114,10 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.collocations import collocations
 
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
