@@ -160,10 +160,11 @@ def table_aliases(from_text):
 
 
 def source_columns(expr, tables):
-    """``table|column`` of each column in an expression: by alias, or bare if there is one table."""
+    """``table|column`` of each column in an expression: by alias, or bare if there is one table; nothing for an alias that the list lacks."""
     text = F.regexp_replace(S.without_literals(F.upper(expr)), r" AS [A-Z][A-Z0-9]*(?: ?\([^()]*+\))? ?\)", ")")
     qualified = F.regexp_extract_all(text, F.lit(r"([A-Z0-9_]+\.[A-Z0-9_]+)"), F.lit(1))
-    q = F.transform(qualified, lambda x: F.concat(F.coalesce(F.element_at(tables, F.substring_index(x, ".", 1)), F.substring_index(x, ".", 1)), F.lit("|"), F.substring_index(x, ".", -1)))
+    qualified = F.filter(qualified, lambda x: F.map_contains_key(tables, F.substring_index(x, ".", 1)))
+    q = F.transform(qualified, lambda x: F.concat(F.element_at(tables, F.substring_index(x, ".", 1)), F.lit("|"), F.substring_index(x, ".", -1)))
     bare = F.filter(F.regexp_extract_all(F.regexp_replace(text, r"[A-Z0-9_]+\.[A-Z0-9_]+", " "), F.lit(r"(?<![A-Z0-9_])([A-Z_][A-Z0-9_]*)(?!\s*\(|[A-Z0-9_])"), F.lit(1)), lambda x: ~x.rlike(f"^(?:{'|'.join(SQL_WORDS)})$"))
     only = F.array_distinct(F.map_values(tables))
     b = F.when(F.size(only) == 1, F.transform(bare, lambda x: F.concat(F.get(only, F.lit(0)), F.lit("|"), x))).otherwise(F.array().cast("array<string>"))
@@ -263,7 +264,7 @@ def sql_statements(files: DataFrame) -> DataFrame:
 
 
 #: Beginnings of statements that move or define data.
-DATA_VERBS = r"INSERT INTO|MERGE INTO|UPDATE [A-Z0-9_.$#]+(?: [A-Z0-9_]+)? SET|DELETE FROM|CREATE (?:OR REPLACE )?VIEW|CREATE MATERIALIZED VIEW|CREATE (?:GLOBAL TEMPORARY )?TABLE|EXECUTE IMMEDIATE|WITH [A-Z0-9_]+ AS"
+DATA_VERBS = r"INSERT INTO|INSERT ALL|INSERT FIRST|MERGE INTO|UPDATE [A-Z0-9_.$#]+(?: AS)?(?: [A-Z0-9_]+)? SET|DELETE FROM|CREATE (?:OR REPLACE )?(?:(?:NO )?FORCE )?(?:EDITIONABLE )?(?:MATERIALIZED )?VIEW|CREATE (?:GLOBAL TEMPORARY )?TABLE|EXECUTE IMMEDIATE|WITH [A-Z0-9_]+ AS"
 #: Beginnings of the parts of a query, and words between queries.
 CLAUSES = "SELECT|FROM|WHERE|GROUP BY|HAVING|ORDER BY|START WITH|CONNECT BY|WITH UR|FETCH FIRST"
 SETS = "UNION ALL|UNION|MINUS|INTERSECT|EXCEPT"

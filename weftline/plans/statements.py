@@ -7,6 +7,7 @@ from pyspark.sql import window as W
 
 from weftline.functions import scalars as S
 from weftline.operators import lineage as L
+from weftline.operators import scopes as SC
 from weftline.plans.registry import registered
 from weftline.session import table
 
@@ -100,3 +101,44 @@ def continuation_sessionise(spark, sf_dir):
     ls = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), line.alias("line"), ((line == 1) | (line % 3 != 0)).alias("starts")).distinct()
     n = ls.withColumn("stmt", F.sum(F.col("starts").cast("long")).over(W.Window.partitionBy("job").orderBy("line")))
     return n.groupBy("job", "stmt").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines"))
+
+
+#: One script for each part, all of one member name; what is expected follows from the key alone.
+SCOPE_SQL = """k AS (SELECT 'S' || p_partkey AS path, p_partkey % 6 AS kind, 'T' || p_partkey AS t, 'X' || p_partkey % 7 AS x, 'B' || p_partkey % 11 AS b, 'Y' || p_partkey % 3 AS y, 'P' || p_partkey % 5 AS p FROM part)"""
+
+
+def _scripts(spark, sf_dir):
+    key = F.col("p_partkey")
+    t, x, b, y, p = (F.concat(F.lit(c), (key % m if m else key).cast("string")) for c, m in (("T", 0), ("X", 7), ("B", 11), ("Y", 3), ("P", 5)))
+    say = lambda *parts: F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
+    kinds = [
+        say("INSERT INTO ", t, " (A, B) SELECT q.", p, ", q.R FROM (SELECT ", p, ", Q AS R FROM ", x, ") q"),
+        say("INSERT INTO ", t, " (A) WITH u AS (SELECT ", p, ", Q FROM ", x, "), v AS (SELECT u.", p, " + u.Q AS S FROM u) SELECT v.S FROM v"),
+        say("MERGE INTO ", t, " USING (SELECT K, V + ", p, " AS VW FROM ", x, ") S ON (", t, ".K = S.K) WHEN MATCHED THEN UPDATE SET A = S.VW WHEN NOT MATCHED THEN INSERT (K, A) VALUES (S.K, S.VW)"),
+        say("UPDATE ", t, " a SET (P, Q) = (SELECT b.M, b.", p, " FROM ", b, " b WHERE b.K = a.K), a.Z = a.W"),
+        say("CREATE VIEW ", t, " AS SELECT * FROM (SELECT ", p, " AS C1, Q AS C2 FROM ", x, " UNION ALL SELECT R, S FROM ", y, ")"),
+        say("INSERT INTO ", t, " (A, B) SELECT z.P, x.Q FROM ", x, " x"),
+    ]
+    text = kinds[0]
+    for n, kind in enumerate(kinds[1:], 1):
+        text = F.when(key % 6 == n, kind).otherwise(text)
+    return L.sql_statements(table(spark, sf_dir, "part").select(F.concat(F.lit("S"), key.cast("string")).alias("path"), F.lit("M").alias("member"), F.lit("SQL").alias("language"), F.concat(text, F.lit(";")).alias("text")))
+
+
+@registered(
+    f"""WITH {SCOPE_SQL}
+SELECT path, t AS target, 'A' AS target_column, x || '|' || p AS source FROM k WHERE kind IN (0, 1, 2) UNION ALL SELECT path, t, 'B', x || '|Q' FROM k WHERE kind IN (0, 5)
+UNION ALL SELECT path, t, 'A', x || '|Q' FROM k WHERE kind = 1 UNION ALL SELECT path, t, 'A', x || '|V' FROM k WHERE kind = 2 UNION ALL SELECT path, t, 'K', x || '|K' FROM k WHERE kind = 2
+UNION ALL SELECT path, t, 'P', b || '|M' FROM k WHERE kind = 3 UNION ALL SELECT path, t, 'Q', b || '|' || p FROM k WHERE kind = 3 UNION ALL SELECT path, t, 'Z', t || '|W' FROM k WHERE kind = 3
+UNION ALL SELECT path, t, 'C1', x || '|' || p FROM k WHERE kind = 4 UNION ALL SELECT path, t, 'C2', x || '|Q' FROM k WHERE kind = 4
+UNION ALL SELECT path, t, 'C1', y || '|R' FROM k WHERE kind = 4 UNION ALL SELECT path, t, 'C2', y || '|S' FROM k WHERE kind = 4"""
+)
+def scope_columns(spark, sf_dir):
+    columns, _ = SC.scope_columns(_scripts(spark, sf_dir))
+    return columns.select("path", "target", "target_column", "source").distinct()
+
+
+@registered(f"WITH {SCOPE_SQL} SELECT path, 'SQL_DML_UNMAPPED' AS statement_type, 'INSERT INTO ' || t || ' (A, B) SELECT Z.P, X.Q FROM ' || x || ' X' AS snippet FROM k WHERE kind = 5")
+def scope_gaps(spark, sf_dir):
+    stmts = _scripts(spark, sf_dir)
+    return SC.scope_unmapped(stmts, *SC.scope_columns(stmts)).select("path", "statement_type", "snippet")
