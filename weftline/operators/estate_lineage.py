@@ -16,6 +16,7 @@ from weftline.functions import scalars as S
 from weftline.operators import graph as G
 from weftline.operators import joins as J
 from weftline.operators import lineage as L
+from weftline.operators import scopes as SC
 from weftline.operators import sortsteps as SS
 from weftline.session import settled
 from weftline.sources import estate as E
@@ -132,9 +133,11 @@ def build(files: DataFrame) -> Lineage:
     columns = settled(columns)
 
     # SQL text
-    table_edge = lambda df: df.select("program", F.explode("sources").alias("s"), "target", "target_column", "transformation").select(_id("TABLE", "s").alias("source_id"), _column("TABLE", "target", "target_column").alias("target_id"), "program", "transformation")
-    by_sql = settled(table_edge(L.sql_columns(sql)).unionByName(table_edge(L.assignments(sql))))
     declared = settled(L.table_columns(sql))
+    traced, open_names = SC.scope_columns(sql, declared.groupBy("table", "column").agg(F.min("pos").alias("pos")))
+    traced = settled(traced)
+    sql_gaps = settled(SC.scope_unmapped(sql, traced, open_names))
+    by_sql = traced.select(_id("TABLE", "source").alias("source_id"), _column("TABLE", "target", "target_column").alias("target_id"), "program", "transformation")
     located, positions = L.external_fields(sql)
     located = settled(located)
 
@@ -199,6 +202,6 @@ def build(files: DataFrame) -> Lineage:
     no_place = sql.where(F.col("stmt").rlike(r"\bORGANIZATION EXTERNAL\b")).join(located.select("program", "seq").distinct(), ["program", "seq"], "left_anti").select("program", F.lit("SQL_DML_UNMAPPED").alias("statement_type"), S.clipped(F.col("stmt"), 300).alias("snippet"))
     cols = ["program", "statement_type", "snippet"]
     unparsed = no_place
-    for gaps in (L.cobol_gaps(stmts, taken), group_gaps, missing, L.job_gaps(steps), L.sql_gaps(sql), alias_gaps, tso_gaps(steps), sort_gaps):
+    for gaps in (L.cobol_gaps(stmts, taken), group_gaps, missing, L.job_gaps(steps), sql_gaps, alias_gaps, tso_gaps(steps), sort_gaps):
         unparsed = unparsed.unionByName(gaps.select(*cols))
     return Lineage(nodes, edges, column_edges, L.dynamic_constructs(stmts, sql), unparsed)

@@ -239,13 +239,13 @@ def scope_columns(stmts: DataFrame, declared: DataFrame | None = None) -> tuple[
     items, frames = query_items(scoped)
     assigned, assigned_frames = assignment_items(scoped)
     items, frames = items.withColumn("nth", F.lit(0)).unionByName(assigned), frames.unionByName(assigned_frames)
-    above = settled(ancestors(scoped))
+    above = ancestors(scoped)
     # names of WITH queries stand for their scopes, the nearest first
     named = with_queries(scoped)
     ctes = above.join(named.select(*KEY, F.col("scope").alias("above"), F.col("name").alias("table"), "query"), [*KEY, "above"]).withColumn("near", F.min("dist").over(W.Window.partitionBy(*KEY, "scope", "table"))).where("dist = near").select(*KEY, "scope", "table", "query")
     frames = settled(frames.join(ctes, [*KEY, "scope", "table"], "left").select(*KEY, "scope", "branch", "alias", F.coalesce(F.concat(F.lit("#Q"), F.col("query").cast("string")), "table").alias("table")))
     stated = named.select(*KEY, F.col("query").alias("scope"), F.posexplode("names").alias("pos", "name"))
-    items = settled(expanded(items, frames, stated, declared))
+    items = expanded(items, frames, stated, declared)
     heads = items.where("branch = 0").select(*KEY, "scope", "pos", "own", "names").join(stated, [*KEY, "scope", "pos"], "left")
     outputs = settled(heads.select(*KEY, "scope", "pos", F.coalesce(F.get("names", F.col("pos")), "name", "own").alias("name")))
     star = F.col("expr").rlike(r"^(?:[A-Z0-9_$#.]+\.)?\*$")
@@ -276,7 +276,7 @@ def scope_columns(stmts: DataFrame, declared: DataFrame | None = None) -> tuple[
         )
         new = settled(reached.unionByName(passed).subtract(seen))
         seen = seen.unionByName(new)
-    ends = settled(seen)
+    ends = seen
     direct = F.col("expr").rlike(r"^(?:[A-Z0-9_$#.]+\.)?[A-Z0-9_$]+$")
     how = F.when(direct, "direct").otherwise(S.clipped(F.col("expr"), 400))
     by_pos = ends.withColumnRenamed("pos_", "pos")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint in ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
 
     Where that is unset, a local session takes a folder of its own; a cluster has none that its
     executors share, so it is an error there.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        if context.getCheckpointDir() is not None:
+            return context.getCheckpointDir().rsplit("/", 1)[0]
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint()
+        found = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet in the shared folder and read them back: cuts the lineage, and later joins know the table's size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weftline-settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settings(path: str | None = None) -> dict[str, str]:
