@@ -49,6 +49,12 @@ def test_statement(traced, k):
     assert len([r for r in gaps if r.path == f"/e/{k}/M"]) == lost
 
 
+def test_each_branch_keeps_its_own_transformation(spark):
+    files = spark.createDataFrame([("/e/M", "M", "SQL", "INSERT INTO T (A) SELECT P || Q FROM X WHERE X.Z = 1 UNION SELECT R FROM Y;")], "path string, member string, language string, text string")
+    columns, _ = scope_columns(sql_statements(files))
+    assert {(r.source, r.transformation, r.filter) for r in columns.collect()} == {("X|P", "P || Q", "X.Z = 1"), ("X|Q", "P || Q", "X.Z = 1"), ("Y|R", "direct", None)}
+
+
 def test_declared_columns_write_stars_out(spark):
     files = spark.createDataFrame([("/e/M", "M", "SQL", "INSERT INTO T (A, B) SELECT * FROM X;")], "path string, member string, language string, text string")
     declared = spark.createDataFrame([("X", 0, "P"), ("X", 1, "Q")], "table string, pos int, column string")

@@ -83,7 +83,8 @@ def with_queries(scoped: DataFrame) -> DataFrame:
 
 def _own_name(item: Column) -> tuple[Column, Column]:
     """The name that an item of a select list has of its own ('' if none), and its expression."""
-    alias = F.regexp_extract(item, r"[^.](?: AS | )([A-Z_][A-Z0-9_$#]*)$", 1)
+    # without AS, only after what can end an expression
+    alias = F.regexp_extract(item, r"(?: AS |(?<=[A-Z0-9_$#)'])(?<!\b(?:AND|OR|NOT|LIKE|IN|IS|BETWEEN|THEN|ELSE|WHEN|CASE|DISTINCT|DATE|MOD|DIV)) )([A-Z_][A-Z0-9_$#]*)$", 1)
     alias = F.when(alias.isin("END", "NULL"), "").otherwise(alias)
     expr = F.when(alias != "", F.regexp_replace(item, r"(?: AS)? [A-Z_][A-Z0-9_$#]*$", "")).otherwise(item)
     return F.coalesce(F.nullif(alias, F.lit("")), F.regexp_extract(item, r"^(?:[A-Z0-9_$#.]+\.)?([A-Z0-9_$#]+)$", 1)), expr
@@ -201,7 +202,7 @@ def references(items: DataFrame) -> DataFrame:
 
 
 def resolved(refs: DataFrame, frames: DataFrame, above: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Where each reference leads: KEY, scope, pos, then table and column, or query and column or nth, or a reason why neither is known.
+    """Where each reference leads: KEY, scope, branch, pos, then table and column, or query and column or nth, or a reason why neither is known.
 
     frames: with WITH names replaced by their scopes; outputs: KEY, scope, pos, name.
     """
@@ -210,7 +211,7 @@ def resolved(refs: DataFrame, frames: DataFrame, above: DataFrame, outputs: Data
     own = frames.select(*KEY, F.col("scope").alias("above"), F.col("branch").alias("b"), F.col("alias").alias("qualifier"), "table")
     seen = refs.where("qualifier is not null").join(above, [*KEY, "scope"]).join(own, [*KEY, "above", "qualifier"]).where("dist > 0 or b = branch")
     first = seen.withColumn("near", F.min("dist").over(W.Window.partitionBy(*at))).where("dist = near").select(*at, "table").distinct()
-    qualified = refs.where("qualifier is not null").join(first, at, "left").select(*KEY, "scope", "pos", "table", "column", F.when(F.col("table").isNull(), F.concat(F.lit("unknown alias "), "qualifier")).alias("reason"))
+    qualified = refs.where("qualifier is not null").join(first, at, "left").select(*KEY, "scope", "branch", "pos", "table", "column", F.when(F.col("table").isNull(), F.concat(F.lit("unknown alias "), "qualifier")).alias("reason"))
     # a bare name: of the only table, or of the only query that has such a column; in the own branch, or else further out
     bare = refs.where("qualifier is null and column is not null").join(above, [*KEY, "scope"])
     tables = frames.select(*KEY, F.col("scope").alias("above"), F.col("branch").alias("b"), "alias", "table").withColumn("n", F.count("*").over(W.Window.partitionBy(*KEY, "above", "b")))
@@ -220,8 +221,8 @@ def resolved(refs: DataFrame, frames: DataFrame, above: DataFrame, outputs: Data
     hits = met.where(F.col("exported") | ((F.col("n") == 1) & ~F.col("table").startswith("#Q")))
     level = hits.withColumn("near", F.min("dist").over(W.Window.partitionBy(*unit))).where("dist = near")
     single = level.groupBy(*unit).agg(F.min("table").alias("table"), F.count_distinct("alias").alias("hits")).where("hits = 1")
-    unqualified = refs.where("qualifier is null and column is not null").join(single, unit, "left").select(*KEY, "scope", "pos", "table", "column", F.when(F.col("table").isNull(), F.concat(F.lit("no one table for "), "column")).alias("reason"))
-    nested = refs.where("query is not null").select(*KEY, "scope", "pos", F.lit(None).cast("string").alias("table"), F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("reason"), "query", "nth")
+    unqualified = refs.where("qualifier is null and column is not null").join(single, unit, "left").select(*KEY, "scope", "branch", "pos", "table", "column", F.when(F.col("table").isNull(), F.concat(F.lit("no one table for "), "column")).alias("reason"))
+    nested = refs.where("query is not null").select(*KEY, "scope", "branch", "pos", F.lit(None).cast("string").alias("table"), F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("reason"), "query", "nth")
     named = qualified.unionByName(unqualified).withColumns({"query": _query(F.col("table")), "nth": F.lit(None).cast("int")})
     return named.withColumn("table", F.when(F.col("query").isNull(), F.col("table"))).unionByName(nested).distinct()
 
@@ -255,33 +256,32 @@ def scope_columns(stmts: DataFrame, declared: DataFrame | None = None) -> tuple[
     # from the targets inwards
     targets = items.where("scope = 0").join(outputs.where("scope = 0").select(*KEY, "pos", "name"), [*KEY, "pos"])
     targets = settled(targets.select(*KEY, "target", F.col("name").alias("target_column"), "branch", "pos", "expr", "filter"))
-    steps = leads.select(*KEY, "scope", "pos", "table", "column", "query", "nth", "reason")
-    kept = [*KEY, "pos_", "table", "column", "reason"]
-    new = settled(steps.where("scope = 0").withColumn("pos_", F.col("pos")).select(*kept, "query", "nth").distinct())
+    steps = leads.select(*KEY, "scope", "branch", "pos", "table", "column", "query", "nth", "reason")
+    kept = [*KEY, "branch_", "pos_", "table", "column", "reason"]
+    new = settled(steps.where("scope = 0").withColumnsRenamed({"branch": "branch_", "pos": "pos_"}).select(*kept, "query", "nth").distinct())
     seen = new
     while True:
         inner = new.where("query is not null")
         if inner.isEmpty():
             break
-        inner = inner.select(*KEY, "pos_", F.col("query").alias("scope"), F.col("nth").alias("by_pos"), F.col("column").alias("by_name"))
+        inner = inner.select(*KEY, "branch_", "pos_", F.col("query").alias("scope"), F.col("nth").alias("by_pos"), F.col("column").alias("by_name"))
         found = inner.join(outputs, [*KEY, "scope"]).where("pos = by_pos or name = by_name")
         reached = found.join(steps, [*KEY, "scope", "pos"]).select(*kept, "query", "nth")
         missing = inner.alias("i").join(outputs.alias("o"), [*[F.col(f"i.{c}") == F.col(f"o.{c}") for c in (*KEY, "scope")], (F.col("o.pos") == F.col("i.by_pos")) | (F.col("o.name") == F.col("i.by_name"))], "left_anti")
         # a star over one table passes any name on
         passed = missing.join(starred, [*KEY, "scope"], "left").select(
-            *KEY, "pos_",
+            *KEY, "branch_", "pos_",
             F.when(_query(F.col("of")).isNull(), F.col("of")).alias("table"), F.col("by_name").alias("column"),
             F.when(F.col("of").isNull() | F.col("by_name").isNull(), F.concat(F.lit("no column "), F.coalesce("by_name", F.col("by_pos").cast("string")), F.lit(" in a nested query"))).alias("reason"),
             _query(F.col("of")).alias("query"), F.lit(None).cast("int").alias("nth"),
         )
         new = settled(reached.unionByName(passed).subtract(seen))
         seen = seen.unionByName(new)
-    ends = seen
     direct = F.col("expr").rlike(r"^(?:[A-Z0-9_$#.]+\.)?[A-Z0-9_$]+$")
     how = F.when(direct, "direct").otherwise(S.clipped(F.col("expr"), 400))
-    by_pos = ends.withColumnRenamed("pos_", "pos")
-    columns = targets.join(by_pos.where("table is not null"), [*KEY, "pos"]).where("target_column <> ''").select(*KEY, "target", "target_column", F.concat_ws("|", "table", "column").alias("source"), how.alias("transformation"), S.clipped(F.col("filter"), 400).alias("filter")).distinct()
-    lost = targets.join(by_pos.where("reason is not null"), [*KEY, "pos"]).select(*KEY, "target_column", "reason")
+    by_pos = seen.withColumnsRenamed({"branch_": "branch", "pos_": "pos"})
+    columns = targets.join(by_pos.where("table is not null"), [*KEY, "branch", "pos"]).where("target_column <> ''").select(*KEY, "target", "target_column", F.concat_ws("|", "table", "column").alias("source"), how.alias("transformation"), S.clipped(F.col("filter"), 400).alias("filter")).distinct()
+    lost = targets.join(by_pos.where("reason is not null"), [*KEY, "branch", "pos"]).select(*KEY, "target_column", "reason")
     open_stars = targets.where(star).select(*KEY, "target_column", F.lit("star over a table of unknown columns").alias("reason"))
     return columns, lost.unionByName(open_stars).distinct()
 
