@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions import scalars as S
 from weftline.operators import graph as G
 from weftline.operators import lineage as L
 from weftline.operators import sortsteps as SS
@@ -246,3 +247,39 @@ def test_assignments(spark):
     rows = [("P", 1, "UPDATE T SET A = B + 1, C = 'X' WHERE D = 2"), ("P", 2, "MERGE INTO T T1 USING S S1 ON (T1.K = S1.K) WHEN MATCHED THEN UPDATE SET T1.A = NVL(S1.A, T1.B), T1.C = S1.D WHEN NOT MATCHED THEN INSERT (K) VALUES (1)")]
     got = {(r.seq, r.target_column): tuple(r.sources) for r in L.assignments(spark.createDataFrame(rows, "program string, seq int, stmt string")).collect()}
     assert got == {(1, "A"): ("T|B",), (1, "C"): (), (2, "A"): ("S|A", "T|B"), (2, "C"): ("S|D",)}
+
+
+PICS = [("X(20)", None, 20), ("9(4)", "COMP", 2), ("S9(13)V99", "COMP-3", 8), ("S9(13)V99", None, 15), ("-9(13).99", None, 17), ("9.9999", None, 6), ("ZZZ,ZZ9", None, 7), ("S9(9)", "COMP", 4), ("S9(10)", "BINARY", 8), ("X", None, 1), ("999", None, 3), ("9(5)CR", None, 7), ("9(7)", "COMP-1", 4), ("9(7)", "COMP-2", 8)]
+
+
+def test_pic_length(spark):
+    df = spark.createDataFrame(PICS, "pic string, usage string, bytes int")
+    assert df.where(S.pic_length(F.col("pic"), F.col("usage")) != F.col("bytes")).count() == 0
+
+
+def test_callers_of_callers_stay_apart(spark):
+    """A1 and A2 call B with their own field, B calls C with it, and C's result comes back to each."""
+    moves = spark.createDataFrame([(p, "OUT", "P1", f"{p} moves") for p in ("A1", "A2")] + [("C", "L2", "L1", "C moves"), ("A1", "P1", "P1X", "x")], "program string, target string, source string, logic string")
+    sites = spark.createDataFrame([("A1", 1, "B"), ("A2", 1, "B"), ("B", 5, "C")], "program string, seq int, callee string")
+    pairs_ = spark.createDataFrame([("A1", 1, "B", "IN", "BP"), ("A2", 1, "B", "IN", "BP"), ("A1", 1, "B", "P1", "BQ"), ("A2", 1, "B", "P1", "BQ"), ("B", 5, "C", "BP", "L1"), ("B", 5, "C", "BQ", "L2")], "program string, seq int, callee string, arg string, param string")
+    steps = L.steps_in_context(moves, sites, pairs_)
+    named_ = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    found = L.traced(steps, named_("A1@.OUT", "A2@.OUT"), named_("A1@.IN", "A2@.IN")).collect()
+    assert {(r.output, r.origin) for r in found} == {("A1@.OUT", "A1@.IN"), ("A2@.OUT", "A2@.IN")}
+
+
+def test_recursion_leads_back_to_its_context(spark):
+    sites = spark.createDataFrame([("A", 1, "B"), ("B", 2, "C"), ("C", 3, "B"), ("D", 4, "D")], "program string, seq int, callee string")
+    contexts, links = L.call_contexts(sites.select("program"), sites)
+    got = pairs(contexts, "program", "chain")
+    assert got == {("A", ""), ("B", ""), ("C", ""), ("D", ""), ("B", "A#1"), ("C", "A#1>B#2"), ("C", "B#2"), ("B", "C#3")}
+    assert ("C", "A#1>B#2", 3, "B", "A#1") in pairs(links, "program", "chain", "seq", "callee", "callee_chain")
+    assert ("D", "", 4, "D", "") in pairs(links, "program", "chain", "seq", "callee", "callee_chain")
+
+
+def test_all_shortest_paths(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "e"), ("e", "f"), ("f", "d"), ("d", "a"), ("d", "g"), ("z", "d")], "source_id string, target_id string")
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    got = pairs(G.shortest_path_edges(edges, ids("a"), ids("g", "d", "a", "nowhere")), "source_id", "target_id", "dist")
+    assert got == {("a", "b", 1), ("a", "c", 1), ("b", "d", 2), ("c", "d", 2), ("d", "g", 3)}
+    assert G.shortest_path_edges(edges, ids("g"), ids("a")).count() == 0

@@ -121,9 +121,10 @@ def build(files: DataFrame) -> Lineage:
     to_table = into.where("variable <> ''").select("program", "variable", _column("TABLE", "table", "column").alias("entity"))
     outputs = settled(to_file.unionByName(to_table).distinct())
 
-    contexts = sites.select(F.col("callee").alias("program"), F.concat_ws("#", "program", "seq").alias("site")).union(progs.select("program", F.lit(""))).distinct()
-    named = lambda df: df.join(contexts, "program").select(F.concat("program", F.lit("@"), "site", F.lit("."), "variable").alias("name"), "program", "entity")
-    all_steps = L.steps_in_context(moved.select("program", "target", "source", "logic").distinct(), sites, passed)
+    contexts, links = L.call_contexts(progs.select("program").union(moved.select("program")), sites)
+    contexts = settled(contexts)
+    named = lambda df: df.join(contexts, "program").select(F.concat("program", F.lit("@"), "chain", F.lit("."), "variable").alias("name"), "program", "entity")
+    all_steps = L.steps_in_context(moved.select("program", "target", "source", "logic").distinct(), sites, passed, (contexts, links))
     flows = L.traced(all_steps, named(outputs), named(origins))
     flows = flows.join(named(outputs).select(F.col("name").alias("output"), "program", F.col("entity").alias("target_id")), "output").join(named(origins).select(F.col("name").alias("origin"), F.col("entity").alias("source_id")), "origin")
     plain = (F.size("path") == 0) | ((F.size("path") == 1) & F.get("path", F.lit(0)).rlike("^(?:MOVE|READ) "))

@@ -36,20 +36,44 @@ def distances(edges: DataFrame, start: DataFrame, depth: int, directed: str = "b
     """``id, dist`` of all nodes within ``depth`` steps of the nodes in ``start`` (column id).
 
     Breadth-first: each step joins only the last frontier and leaves out what was reached, so
-    a node is expanded once; the frontier is checkpointed each step.
+    a node is expanded once; the frontier is written each step, and the search ends when it is empty.
     """
     down = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to"))
     up = edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("to"))
     steps = {"down": down, "up": up, "both": down.union(up)}[directed]
+    if depth > 1:  # read by every step
+        steps = settled(steps)
     frontier = start.select("id").distinct().withColumn("dist", F.lit(0).cast("long"))
     reached = frontier
     for k in range(1, depth + 1):
         new = frontier.select("id").join(steps, "id").select(F.col("to").alias("id")).distinct()
         frontier = settled(new.join(reached.select("id"), "id", "left_anti").withColumn("dist", F.lit(k).cast("long")))
+        if frontier.isEmpty():
+            break
         reached = reached.union(frontier)
     return reached
 
 
+def shortest_path_edges(edges: DataFrame, start: DataFrame, targets: DataFrame, depth: int = RESOLVE_DEPTH) -> DataFrame:
+    """The edges of all shortest paths from the nodes in ``start`` to each node in ``targets`` (column id), with ``dist``, the steps from the start to an edge's end.
+
+    Distances first; an edge that leads one step further out is a predecessor edge. The walk back from the targets
+    joins only the last frontier with these, a step nearer to the start each round.
+    """
+    near = settled(distances(edges, start, depth, "down"))
+    out = near.select(F.col("id").alias("source_id"), F.col("dist").alias("before"))
+    end = near.select(F.col("id").alias("target_id"), "dist")
+    steps = settled(edges.join(out, "source_id").join(end, "target_id").where("dist = before + 1").select(*edges.columns, "dist"))
+    frontier = settled(targets.select(F.col("id").alias("target_id")).distinct().join(end, "target_id").where("dist > 0").select("target_id"))
+    found = steps.limit(0)
+    while not frontier.isEmpty():
+        back = settled(steps.join(frontier, "target_id", "left_semi").select(*steps.columns))
+        found = found.unionByName(back)
+        # a node's distance is the same on every path, so a later round can meet one again: it is walked once
+        frontier = settled(back.where("dist > 1").select(F.col("source_id").alias("target_id")).distinct().join(found.select("target_id").distinct(), "target_id", "left_anti"))
+    return found.distinct()
+
+
 def neighbourhood(edges: DataFrame, node: str, depth: int = 3) -> DataFrame:
     """Edges on a path of at most ``depth`` edges from a node: those with an end at most ``depth - 1`` away."""
     depth = min(max(depth, DEPTHS[0]), DEPTHS[1])

@@ -186,17 +186,44 @@ def call_edges(sites: DataFrame) -> DataFrame:
     return sites.select(F.concat(F.lit("PROGRAM:"), "program").alias("source_id"), F.concat(F.lit("PROGRAM:"), "callee").alias("target_id"), F.lit("EXECUTES").alias("edge_type")).distinct()
 
 
-def steps_in_context(moves: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Steps ``target, source, logic`` over variables named ``program@site.variable``.
+def call_contexts(programs: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each program in each context it runs in, and how a call leads from one context to another.
 
-    Each program's moves hold once without a caller and once for each call of it, so that what
-    one caller passes does not reach another; parameters are passed by reference, both ways.
+    A context is the whole chain of call sites from the program that was started (``program#seq``, joined by ``>``),
+    so two callers' callers stay apart too. A call of a program that is already on the chain leads back to its context
+    there, so recursion ends. Every program can be started itself (an empty chain). A round extends the chains that
+    the last one found by one call; there are as many contexts as there are call paths without a repeated program.
+
+    programs: program; sites: program, seq, callee. Returns program, chain; and program, chain, seq, callee, callee_chain.
     """
     site = F.concat_ws("#", "program", "seq")
-    contexts = sites.select(F.col("callee").alias("program"), site.alias("site")).union(moves.select("program").union(sites.select("program")).distinct().withColumn("site", F.lit(""))).distinct()
-    name = lambda p, c, v: F.concat(F.col(p), F.lit("@"), c, F.lit("."), F.col(v))
-    own = moves.join(contexts, "program").select(name("program", F.col("site"), "target").alias("target"), name("program", F.col("site"), "source").alias("source"), "logic")
-    passed = pairs.withColumn("at", site).join(contexts, "program").select(name("callee", F.col("at"), "param").alias("a"), name("program", F.col("site"), "arg").alias("b"))
+    sites = settled(sites.select("program", "seq", "callee").distinct())
+    level = settled(programs.select("program").distinct().select("program", F.array().cast("array<string>").alias("chain"), F.array("program").alias("members")))
+    contexts, links = level.select("program", "chain"), None
+    while True:
+        at = F.array_position("members", F.col("callee"))
+        to = F.when(at > 0, F.slice("chain", 1, at.cast("int") - 1)).otherwise(F.concat("chain", F.array(site)))
+        met = level.join(sites, "program").select("program", "chain", "members", "seq", "callee", to.alias("to"), (at == 0).alias("new"))
+        met = settled(met)
+        links = met if links is None else links.unionByName(met)
+        level = met.where("new").select(F.col("callee").alias("program"), F.col("to").alias("chain"), F.concat("members", F.array("callee")).alias("members"))
+        if level.isEmpty():
+            break
+        contexts = contexts.unionByName(level.select("program", "chain"))
+    text = lambda c: F.array_join(c, ">")
+    return contexts.select("program", text("chain").alias("chain")).distinct(), links.select("program", text("chain").alias("chain"), "seq", "callee", text("to").alias("callee_chain")).distinct()
+
+
+def steps_in_context(moves: DataFrame, sites: DataFrame, pairs: DataFrame, contexts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Steps ``target, source, logic`` over variables named ``program@chain.variable``.
+
+    Each program's moves hold once in each of its contexts (``call_contexts``), so that what one caller passes
+    does not reach another; parameters are passed by reference, both ways.
+    """
+    contexts, links = contexts or call_contexts(moves.select("program").union(sites.select("program")), sites)
+    name = lambda p, c, v: F.concat(F.col(p), F.lit("@"), F.col(c), F.lit("."), F.col(v))
+    own = moves.join(contexts, "program").select(name("program", "chain", "target").alias("target"), name("program", "chain", "source").alias("source"), "logic")
+    passed = pairs.join(links, ["program", "seq", "callee"]).select(name("callee", "callee_chain", "param").alias("a"), name("program", "chain", "arg").alias("b"))
     call = F.lit("CALL").alias("logic")
     return own.union(passed.select("a", "b", call)).union(passed.select("b", "a", call)).where("target <> source").distinct()
 

@@ -24,12 +24,20 @@ def record_offsets(spark, sf_dir):
     return X.offsets(f).select("record", "ord", "start", "end")
 
 
-PICS = [("X(20)", None, 20), ("9(4)", "COMP", 2), ("S9(13)V99", "COMP-3", 8), ("S9(13)V99", None, 15), ("-9(13).99", None, 17), ("9.9999", None, 6), ("ZZZ,ZZ9", None, 7), ("S9(9)", "COMP", 4), ("S9(10)", "BINARY", 8), ("X", None, 1), ("999", None, 3), ("9(5)CR", None, 7), ("9(7)", "COMP-1", 4), ("9(7)", "COMP-2", 8)]
-
-
-@registered("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {repr(u) if u else 'NULL'}, {n})" for p, u, n in PICS) + ") t(pic, usage, bytes)")
+@registered(
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN (p_size % 16 + 3) // 2 + 1 WHEN 2 THEN CASE WHEN p_size % 18 + 1 <= 4 THEN 2 WHEN p_size % 18 + 1 <= 9 THEN 4 ELSE 8 END
+WHEN 3 THEN p_size % 9 + 3 ELSE p_size % 9 + 5 END::INTEGER AS bytes FROM part"""
+)
 def pic_length(spark, sf_dir):
-    return spark.createDataFrame([(p, u) for p, u, _ in PICS], "pic string, usage string").select("pic", "usage", S.pic_length(F.col("pic"), F.col("usage")).alias("bytes"))
+    """Pictures made from each part's size: display, packed, binary, with CR, and edited."""
+    n = F.col("p_size")
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    kinds = [say("X(", n, ")"), say("S9(", n % 16 + 1, ")V99"), say("9(", n % 18 + 1, ")"), say("9(", n % 9 + 1, ")CR"), say("-9(", n % 9 + 1, ").99")]
+    pic, usage = kinds[0], F.lit(None).cast("string")
+    for k, kind in enumerate(kinds[1:], 1):
+        pic = F.when(F.col("p_partkey") % 5 == k, kind).otherwise(pic)
+    usage = F.when(F.col("p_partkey") % 5 == 1, "COMP-3").when(F.col("p_partkey") % 5 == 2, "COMP")
+    return table(spark, sf_dir, "part").select("p_partkey", S.pic_length(pic, usage).alias("bytes"))
 
 
 @registered("SELECT o_orderkey, (CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * CAST(round(o_totalprice * 100) AS BIGINT))::DECIMAL(18,0) AS pence FROM orders")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import graph as G
+from weftline.operators import lineage as L
 from weftline.plans.registry import registered
 from weftline.session import table
 
@@ -232,3 +233,33 @@ def step_fallback(spark, sf_dir):
     )
     steps = F.coalesce(F.from_json("steps", "array<string>"), F.split("transformation", "; "))
     return t.select("event_id", F.get(steps, F.lit(0)).alias("first_step"), F.size(steps).cast("long").alias("n_steps"))
+
+
+@registered(
+    f"""WITH {EDGES_SQL}, a AS (SELECT * FROM ce WHERE source_id = 'TABLE:PART.1|QTY'), b AS (SELECT * FROM ce WHERE source_id IN (SELECT target_id FROM a) AND target_id LIKE 'FILE:%'),
+p AS (SELECT *, 1 AS dist FROM a WHERE target_id IN (SELECT source_id FROM b) UNION ALL SELECT *, 2 FROM b)
+SELECT source_id, target_id, dist::BIGINT AS dist, substr(sha1(source_id || '|TRANSFORMS_TO|' || target_id || '|None|None'), 1, 16) AS edge_id FROM p"""
+)
+def column_path_edges(spark, sf_dir):
+    found = column_edges(spark, sf_dir)
+    files = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("FILE:SUPP."), F.col("l_suppkey"), F.lit("|QTY")).alias("id"))
+    paths = G.shortest_path_edges(found, spark.createDataFrame([("TABLE:PART.1|QTY",)], "id string"), files)
+    none = F.lit(None)
+    return paths.select("source_id", "target_id", "dist", G.edge_id(F.col("source_id"), F.lit("TRANSFORMS_TO"), F.col("target_id"), none, none).alias("edge_id"))
+
+
+@registered(
+    """WITH RECURSIVE site AS (
+  SELECT 'S' || s_suppkey AS program, 1 AS seq, 'N' || s_nationkey AS callee FROM supplier UNION SELECT 'N' || n_nationkey, 2, 'R' || n_regionkey FROM nation
+  UNION SELECT 'R' || r_regionkey, 3, 'R' || (r_regionkey + 1) % 5 FROM region),
+run AS (
+  SELECT program, '' AS chain, [program] AS members FROM (SELECT program FROM site UNION SELECT callee FROM site)
+  UNION ALL SELECT s.callee, CASE WHEN r.chain = '' THEN '' ELSE r.chain || '>' END || s.program || '#' || s.seq, list_append(r.members, s.callee) FROM run r JOIN site s ON s.program = r.program WHERE NOT list_contains(r.members, s.callee))
+SELECT program, chain FROM run"""
+)
+def call_strings(spark, sf_dir):
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c) if isinstance(c, str) else c)
+    site = lambda df, caller, seq, callee: df.select(caller.alias("program"), F.lit(seq).alias("seq"), callee.alias("callee"))
+    sites = site(s, name("S", "s_suppkey"), 1, name("N", "s_nationkey")).union(site(n, name("N", "n_nationkey"), 2, name("R", "n_regionkey"))).union(site(r, name("R", "r_regionkey"), 3, name("R", (F.col("r_regionkey") + 1) % 5)))
+    return L.call_contexts(sites.select("program").union(sites.select("callee")), sites)[0]
