@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import graph as G
 from weftline.operators import lineage as L
+from weftline.operators import sink as K
 from weftline.plans.registry import registered
-from weftline.session import table
+from weftline.session import shared_dir, table
 
 START = "JOB:CUST.1"
 
@@ -263,3 +266,36 @@ def call_strings(spark, sf_dir):
     site = lambda df, caller, seq, callee: df.select(caller.alias("program"), F.lit(seq).alias("seq"), callee.alias("callee"))
     sites = site(s, name("S", "s_suppkey"), 1, name("N", "s_nationkey")).union(site(n, name("N", "n_nationkey"), 2, name("R", "n_regionkey"))).union(site(r, name("R", "r_regionkey"), 3, name("R", (F.col("r_regionkey") + 1) % 5)))
     return L.call_contexts(sites.select("program").union(sites.select("callee")), sites)[0]
+
+
+def _batches(spark, sf_dir):
+    """Two loads of edges of which some are the same: an order's line is loaded again with another transformation, and half of the orders are new."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_id"), F.concat(F.lit("TABLE:PART."), "l_partkey").alias("source_id"), F.concat(F.lit("PROGRAM:ORD."), "l_orderkey").alias("target_id"), "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("transformation"))
+    first = rows.where("l_orderkey % 2 = 0").drop("l_orderkey", "l_linenumber")
+    second = rows.where("l_orderkey % 2 = 1 or l_linenumber = 1").withColumn("transformation", F.concat(F.lit("again "), "transformation")).drop("l_orderkey", "l_linenumber")
+    return first, second
+
+
+@registered(
+    """SELECT DISTINCT l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey AS edge_id, 'TABLE:PART.' || l_partkey AS source_id, 'PROGRAM:ORD.' || l_orderkey AS target_id,
+CASE WHEN l_orderkey % 2 = 1 OR l_linenumber = 1 THEN 'again ' ELSE '' END || l_suppkey AS transformation FROM lineitem"""
+)
+def graph_upsert(spark, sf_dir):
+    path = f"{shared_dir(spark)}/weftline-graph-{uuid.uuid4().hex}/edges"
+    first, second = _batches(spark, sf_dir)
+    for rows in (first, second, second):  # a load that is repeated changes nothing
+        stored = K.upsert(rows, path, K.KEYS["edges"])
+    return stored
+
+
+@registered(
+    f"""WITH {EDGES_SQL} SELECT 'edges' AS kind, to_json({{source_id: source_id, target_id: target_id, edge_type: edge_type}})::VARCHAR AS entry FROM e
+UNION ALL SELECT 'nodes', to_json({{id: id}})::VARCHAR FROM (SELECT source_id AS id FROM e UNION SELECT target_id FROM e)"""
+)
+def graph_export(spark, sf_dir):
+    path = f"{shared_dir(spark)}/weftline-export-{uuid.uuid4().hex}"
+    e = edges(spark, sf_dir)
+    K.export_json(path, nodes=G.nodes_of(e), edges=e, dynamic_constructs=e.limit(0), unparsed=e.limit(0))
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("entry")).where("entry like '{%}'")
+    return lines.select(F.when(F.get_json_object("entry", "$.edge_type").isNull(), "nodes").otherwise("edges").alias("kind"), "entry")
