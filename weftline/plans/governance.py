@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.operators import inference as N
 from weftline.operators import review as R
 from weftline.plans.registry import registered
 from weftline.session import table
@@ -67,3 +68,38 @@ def review_cascade(spark, sf_dir):
     columns = e.select(F.col("edge_id").alias("parent_edge_id"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("c"))
     done = columns.join(R.reviewed(e, log), F.col("parent_edge_id") == F.col("edge_id"))
     return done.select(F.concat("parent_edge_id", F.lit(">"), "c").alias("column_edge_id"), "status")
+
+
+class _ByOrder:
+    """Answers that follow from an order's key, in place of a hosted model."""
+
+    name, model = "by-order", "arithmetic"
+
+    def __init__(self, orders):
+        self.orders = orders
+
+    def propose(self, constructs):
+        k = F.col("o_orderkey")
+        mapped = F.array(F.struct(F.lit("A").alias("source_column"), F.lit("B").alias("target_column"), F.lit(None).cast("string").alias("transformation")))
+        return self.orders.select(k.alias("construct_id"), F.lit(0).alias("pos"), F.concat(F.lit("table:S"), F.col("o_custkey") % 50).alias("source_entity"), F.lit("Table").alias("source_kind"), F.concat(F.lit("T"), F.col("o_custkey") % 7).alias("target_entity"), F.when(k % 2 == 0, "File").otherwise("Table").alias("target_kind"), F.when(k % 9 == 8, "COPIES").when(k % 3 == 0, "READS_FROM").alias("edge_type"), F.when(k % 4 == 0, mapped).cast(N.MAPPINGS).alias("mappings"), F.lit("why").alias("reasoning"), F.lit(0.5).alias("self_confidence"))
+
+    def judge(self, proposals):
+        return proposals.where("construct_id % 11 <> 0").select(*N.KEY, (F.col("construct_id") * 13 % 100 / 100).alias("confidence"), F.lit("ok").alias("rationale"))
+
+    def columns(self, proposals):
+        return proposals.where("construct_id % 5 = 0").select(*N.KEY, F.array(F.struct(F.lit("C").alias("source_column"), F.lit("D").alias("target_column"), F.lit("C").alias("transformation"))).cast(N.MAPPINGS).alias("mappings"))
+
+
+@registered(
+    """WITH p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'READS_FROM' ELSE 'WRITES_TO' END AS edge_type, 'PROGRAM:ORD' || o_orderkey AS program, 'TABLE:S' || o_custkey % 50 AS s,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'FILE' ELSE 'TABLE' END || ':T' || o_custkey % 7 AS t FROM orders WHERE o_orderkey % 9 <> 8 AND o_orderkey % 11 <> 0 AND o_orderkey * 13 % 100 >= 60)
+SELECT CASE WHEN edge_type = 'READS_FROM' THEN s ELSE program END AS source_id, CASE WHEN edge_type = 'READS_FROM' THEN program ELSE t END AS target_id, edge_type, 'PROVISIONAL' AS status,
+  (k * 13 % 100 / 100)::DOUBLE AS confidence, CASE WHEN k % 4 = 0 THEN 'A>B' WHEN edge_type = 'WRITES_TO' AND k % 5 = 0 THEN 'C>D' END AS mapping FROM p"""
+)
+def inferred_edges(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    constructs = orders.select(F.col("o_orderkey").alias("construct_id"), F.concat(F.lit("ord"), "o_orderkey").alias("program"), F.lit("DYNAMIC_SQL").alias("construct_type"), F.lit("/o").alias("path"), F.lit(1).alias("line"), F.col("o_orderpriority").alias("snippet"), F.lit("").alias("context"))
+    provider = _ByOrder(orders)
+    edges, columns = N.emitted(N.infer(constructs, provider, 0.6), provider)
+    ends = ["source_id", "target_id", "edge_type"]
+    return edges.join(columns.select(*ends, F.concat_ws(">", "source_column", "target_column").alias("mapping")), ends, "left").select(*ends, "status", "confidence", "mapping")
