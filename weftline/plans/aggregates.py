@@ -40,9 +40,9 @@ FROM events, d WHERE CAST(ts AS DATE) > as_of - 30 GROUP BY user_id"""
 )
 def txn_agg_30d(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    as_of = e.agg(F.to_date(F.max("ts")).alias("as_of"))  # one row
+    since = e.agg(F.date_sub(F.max("ts"), 29).alias("d")).first()["d"]  # one value, so that it reaches the scan
     weight = F.when(F.col("event_type") == "purchase", 2).otherwise(1)
-    recent = e.join(F.broadcast(as_of), F.to_date("ts") > F.date_sub("as_of", 30))
+    recent = e.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
     return recent.groupBy("user_id").agg(F.sum(F.col("value").cast(MONEY) * weight).cast("decimal(25,2)").alias("weighted"), F.count("*").alias("n"), F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("any_purchase"))
 
 
@@ -103,6 +103,7 @@ def reconciliation_counts(spark, sf_dir):
 
 @registered("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_totalprice IS NOT NULL AND CAST(o_orderdate AS DATE) >= DATE '1997-06-30' - INTERVAL 12 MONTH AND CAST(o_orderdate AS DATE) <= DATE '1997-06-30'")
 def valid_rows_view(spark, sf_dir):
-    day = F.to_date("o_orderdate")
-    end = F.lit("1997-06-30").cast("date")
-    return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & F.col("o_totalprice").isNotNull() & (day >= F.add_months(end, -12)) & (day <= end)).select("o_orderkey", "o_orderdate")
+    # bounds of the column itself, so that they reach the scan
+    end, at = F.lit("1997-06-30").cast("date"), F.col("o_orderdate")
+    within = (at >= F.add_months(end, -12).cast("timestamp_ntz")) & (at < F.date_add(end, 1).cast("timestamp_ntz"))
+    return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & F.col("o_totalprice").isNotNull() & within).select("o_orderkey", "o_orderdate")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
-from pyspark.sql.types import DecimalType
 
 Layout = list[tuple[str, int, str]]  # field, bytes, "text" or "number"
 
@@ -40,20 +38,11 @@ def layout_gaps(declared: DataFrame, fields: DataFrame) -> DataFrame:
     return declared.join(total, "record").where("length <> laid_out")
 
 
-@F.pandas_udf(DecimalType(18, 0))
-def unpacked(data: pd.Series) -> pd.Series:
-    """Packed decimal (two digits a byte, sign in the last half-byte) as a whole number; malformed bytes give null."""
-    from decimal import Decimal
-
-    def one(b):
-        if b is None:
-            return None
-        h = bytes(b).hex()
-        if not h or not h[:-1].isdigit() or h[-1] not in "abcdef":
-            return None
-        return Decimal(int(h[:-1]) * (-1 if h[-1] in "bd" else 1))
-
-    return data.map(one)
+def unpacked(data: Column | str) -> Column:
+    """Packed decimal (two digits a byte, sign in the last half-byte) as a whole number of up to 18 digits; malformed bytes give null."""
+    digits = F.lower(F.hex(data))
+    number = F.substr(digits, F.lit(1), F.length(digits) - 1).try_cast("decimal(18,0)")
+    return F.when(digits.rlike("^[0-9]+[a-f]$"), F.when(digits.rlike("[bd]$"), -number).otherwise(number)).cast("decimal(18,0)")
 
 
 def packed(number: Column, size: int) -> Column:
