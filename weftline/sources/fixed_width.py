@@ -49,3 +49,15 @@ def packed(number: Column, size: int) -> Column:
     """A whole number as packed decimal of ``size`` bytes."""
     digits = F.lpad(F.abs(number).cast("string"), 2 * size - 1, "0")
     return F.unhex(F.concat(digits, F.when(number < 0, "d").otherwise("c")))
+
+
+def zoned(number: Column, size: int) -> Column:
+    """A whole number as zoned decimal text of ``size`` digits, the sign over the last one."""
+    digits = F.lpad(F.abs(number).cast("string"), size, "0")
+    last = F.right(digits, F.lit(1))
+    return F.concat(F.left(digits, F.lit(size - 1)), F.when(number < 0, F.translate(last, "0123456789", "}JKLMNOPQR")).otherwise(F.translate(last, "0123456789", "{ABCDEFGHI")))
+
+
+def binary_number(number: Column, size: int) -> Column:
+    """A whole number as ``size`` bytes, the highest first, negative ones as two's complement."""
+    return F.unhex(F.right(F.lpad(F.hex(number.cast("long")), 16, "0"), F.lit(2 * size)))
