@@ -25,7 +25,7 @@ from weftline.sources import estate as E
 class Lineage(NamedTuple):
     """nodes: id, kind, name, language, path, columns; edges: source_id, target_id, edge_type;
     column_edges: source_id, target_id, program, transformation; dynamic: program, construct_type, snippet, context;
-    unparsed: program, statement_type, snippet."""
+    unparsed: program, statement_type, snippet, file, line (null where a gap is of a whole deck or dataset)."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -75,13 +75,13 @@ def bound_files(bindings: DataFrame, modes: DataFrame, dds: DataFrame) -> DataFr
 
 def tso_gaps(steps: DataFrame) -> DataFrame:
     """Monitor steps whose program or SQL can't be read: no inline deck, no RUN in it, or data statements run by the dynamic SQL sample programs."""
-    monitors = steps.where((F.col("op") == "EXEC") & F.col("program").isin(*L.MONITORS)).select("path", "job", "step")
+    monitors = steps.where((F.col("op") == "EXEC") & F.col("program").isin(*L.MONITORS)).select("path", "job", "step", "line")
     deck = steps.where("name = 'SYSTSIN'").select("path", "step", F.upper(F.array_join("data", " ")).alias("deck"))
     both = monitors.join(deck, ["path", "step"], "left").withColumn("run", F.regexp_extract("deck", r"PROGRAM\s*\(\s*(\w+)\s*\)", 1))
     sysin = steps.where("name = 'SYSIN'").select("path", "step", F.upper(F.array_join("data", " ")).alias("sql"))
     both = both.join(sysin, ["path", "step"], "left")
     kind = F.when(F.coalesce("deck", F.lit("")) == "", "JCL_TSO_SYSTSIN").when(F.col("run") == "", "JCL_TSO_RUN").when(F.col("run").isin("DSNTEP2", "DSNTEP4") & F.col("sql").rlike(r"\b(INSERT|UPDATE|DELETE|MERGE)\b"), "JCL_TSO_SQL")
-    return both.select(F.col("job").alias("program"), kind.alias("statement_type"), F.left(F.coalesce(F.when(F.col("run") != "", F.col("sql")).otherwise(F.col("deck")), "step"), F.lit(300)).alias("snippet")).where("statement_type is not null")
+    return both.select(F.col("job").alias("program"), kind.alias("statement_type"), F.left(F.coalesce(F.when(F.col("run") != "", F.col("sql")).otherwise(F.col("deck")), "step"), F.lit(300)).alias("snippet"), F.col("path").alias("file"), "line").where("statement_type is not null")
 
 
 def file_layouts(fields: DataFrame, files: DataFrame) -> DataFrame:
@@ -91,9 +91,17 @@ def file_layouts(fields: DataFrame, files: DataFrame) -> DataFrame:
     return fields.where("valid and field <> 'FILLER'").join(owner, ["program", "fd"]).select("dsn", "program", "field", "ord", "start", "length")
 
 
+def statement_places(files: DataFrame, lines: DataFrame, stmts: DataFrame, sql: DataFrame) -> DataFrame:
+    """path, program, seq, file, line: where every statement of programs (of ``lines``) and SQL files begins, through copybooks."""
+    key = ["path", "program", "seq", "offset"]
+    by_program = E.placed(stmts.select(*key), E.line_starts(lines))
+    return by_program.unionByName(E.placed(sql.select(*key), E.text_line_starts(files.where("language = 'SQL'")))).drop("offset")
+
+
 def build(files: DataFrame) -> Lineage:
     """The lineage of an estate; files: path, member, language, text as ``estate.files`` gives them."""
-    progs = settled(E.programs(E.cobol_lines(files)))
+    lines = E.cobol_lines(files)
+    progs = settled(E.programs(lines))
     stmts = settled(E.statements(progs))
     items = settled(L.data_items(progs))
     fields = settled(L.layouts(items))
@@ -200,9 +208,16 @@ def build(files: DataFrame) -> Lineage:
     origin = origin.groupBy("id").agg(F.min("language").alias("language"), F.min("path").alias("path"))
     nodes = columned.join(origin, "id", "left").select("id", G.node_kind(F.col("id")).alias("kind"), F.regexp_replace("id", "^[A-Z]+:", "").alias("name"), "language", "path", "columns")
 
-    no_place = sql.where(F.col("stmt").rlike(r"\bORGANIZATION EXTERNAL\b")).join(located.select("program", "seq").distinct(), ["program", "seq"], "left_anti").select("program", F.lit("SQL_DML_UNMAPPED").alias("statement_type"), S.clipped(F.col("stmt"), 300).alias("snippet"))
-    cols = ["program", "statement_type", "snippet"]
-    unparsed = no_place
-    for gaps in (L.cobol_gaps(stmts, taken), group_gaps, missing, L.job_gaps(steps), sql_gaps, alias_gaps, tso_gaps(steps), sort_gaps):
+    places = settled(statement_places(files, lines, stmts, sql))
+    # facts of programs carry no path; of two programs of one name the first place by path is told
+    by_name = places.groupBy("program", "seq").agg(F.min(F.struct("path", "file", "line")).alias("p")).select("program", "seq", "p.file", "p.line")
+    no_place = sql.where(F.col("stmt").rlike(r"\bORGANIZATION EXTERNAL\b")).join(located.select("program", "seq").distinct(), ["program", "seq"], "left_anti").select("path", "program", "seq", F.lit("SQL_DML_UNMAPPED").alias("statement_type"), S.clipped(F.col("stmt"), 300).alias("snippet"))
+    cols = ["program", "statement_type", "snippet", "file", "line"]
+    unparsed = no_place.unionByName(sql_gaps.select(*no_place.columns)).join(places, ["path", "program", "seq"], "left").select(*cols)
+    for gaps in (L.cobol_gaps(stmts, taken), group_gaps, missing):
+        unparsed = unparsed.unionByName(gaps.join(by_name, ["program", "seq"], "left").select(*cols))
+    for gaps in (L.job_gaps(steps), tso_gaps(steps), E.copy_gaps(lines)):
         unparsed = unparsed.unionByName(gaps.select(*cols))
+    for gaps in (alias_gaps, sort_gaps):
+        unparsed = unparsed.unionByName(gaps.select(*cols[:3], F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line")))
     return Lineage(nodes, edges, column_edges, L.dynamic_constructs(stmts, sql), unparsed)

@@ -282,12 +282,18 @@ def linked_files(bindings: DataFrame, modes: DataFrame, dds: DataFrame) -> DataF
 
 
 def sql_statements(files: DataFrame) -> DataFrame:
-    """path, program, seq, stmt: statements of SQL files, comments taken off, upper case; the program is the first procedure or the file."""
-    t = files.where("language = 'SQL'").select("path", "member", F.upper(F.regexp_replace(without_comments(F.col("text")), r"\s+", " ")).alias("text"))
-    proc = F.regexp_extract("text", r"CREATE (?:OR REPLACE )?PROCEDURE ([A-Z0-9_.]+)", 1)
+    """path, program, seq, offset (in the text), stmt: statements of SQL files, comments taken off, upper case; the program is the first procedure or the file."""
+    t = files.where("language = 'SQL'").select("path", "member", without_comments(F.col("text")).alias("text"))
+    proc = F.regexp_extract(F.upper("text"), r"CREATE\s+(?:OR\s+REPLACE\s+)?PROCEDURE\s+([A-Z0-9_.]+)", 1)
     each = t.select("path", F.when(proc == "", F.col("member")).otherwise(proc).alias("program"), F.posexplode(F.split("text", ";")).alias("seq", "raw"))
+    before = W.Window.partitionBy("path").orderBy("seq").rowsBetween(W.Window.unboundedPreceding, -1)
+    # what comes before the first data verb of a piece is no part of the statement
+    verb = F.regexp_instr("raw", F.lit(r"(?i)\b(?:" + DATA_VERBS.replace(" ", r"\s+") + r")\b")) - 1
+    skipped = F.when(verb >= 0, verb).otherwise(F.length(F.regexp_extract("raw", r"^(\s*)", 1)))
+    offset = F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)) + skipped
     start = rf"^.*?\b(?=(?:{DATA_VERBS})\b)"
-    return each.select("path", "program", "seq", F.trim(F.regexp_replace("raw", start, "")).alias("stmt")).where("stmt <> ''")
+    stmt = F.trim(F.regexp_replace(F.upper(F.regexp_replace("raw", r"\s+", " ")), start, ""))
+    return each.select("path", "program", "seq", offset.alias("offset"), stmt.alias("stmt")).where("stmt <> ''")
 
 
 #: Beginnings of statements that move or define data.
@@ -444,7 +450,7 @@ def job_gaps(steps: DataFrame) -> DataFrame:
         .when((F.col("op") == "DD") & o.rlike(r"DSN=[^,]*\([A-Z]\w*\)"), "JCL_PDS_MEMBER")
         .when((F.col("op") == "DD") & o.rlike(r"DSN=[^,]*&"), "JCL_SYMBOLIC")
     )
-    return steps.select(F.coalesce("job", F.lit("")).alias("program"), kind.alias("statement_type"), S.clipped(o, 300).alias("snippet")).where("statement_type is not null")
+    return steps.select(F.coalesce("job", F.lit("")).alias("program"), kind.alias("statement_type"), S.clipped(o, 300).alias("snippet"), F.col("path").alias("file"), "line").where("statement_type is not null")
 
 
 def sql_gaps(stmts: DataFrame) -> DataFrame:

@@ -284,4 +284,4 @@ def estate_dynamic(spark, sf_dir) -> DataFrame:
 ) t(program, statement_type, snippet), supplier"""
 )
 def estate_unparsed(spark, sf_dir) -> DataFrame:
-    return lineage(spark, sf_dir).unparsed
+    return lineage(spark, sf_dir).unparsed.select("program", "statement_type", "snippet")

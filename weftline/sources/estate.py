@@ -26,38 +26,81 @@ def _numbered(f: DataFrame) -> DataFrame:
     return f.select("path", "member", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw")).withColumn("line", F.col("line") + 1)
 
 
+#: One part of a REPLACING list, of pseudo-text or of words, and how a continued COPY goes on.
+PAIR = r"(==[^=]*==|[\w-]+) BY (==[^=]*==|[\w-]+)"
+GOES_ON = r"(?i)^\s*(?:REPLACING|BY|OF|IN|SUPPRESS|LEADING|TRAILING|==|[.]|[\w-]+\s+BY\b)"
+
+
 def _replaced(code: Column, pairs: Column) -> Column:
-    """A copied line under ``REPLACING ==a== BY ==b==`` pairs."""
-    return F.aggregate(pairs, code, lambda acc, p: F.replace(acc, F.regexp_extract(p, "^==([^=]*)==", 1), F.regexp_extract(p, "(?i)BY ==([^=]*)==$", 1)))
+    """A copied line under the pairs of a REPLACING list, in their order; text that begins or ends in a word's letter meets whole words only."""
+    bare = lambda x: F.trim(F.regexp_replace(x, "^==|==$", ""))
+    quoted = lambda x: F.regexp_replace(x, r"([^\w\s-])", r"\\$1")
+    edge = lambda x, at, guard: F.when(x.rlike(at), F.lit(guard)).otherwise(F.lit(""))
 
+    def put(acc, p):
+        old, new = bare(F.regexp_extract(p, PAIR, 1)), bare(F.regexp_extract(p, PAIR, 2))
+        pattern = F.concat(F.lit("(?i)"), edge(old, r"^[\w-]", r"(?<![\w-])"), F.regexp_replace(quoted(old), r"\s+", r"\\s+"), edge(old, r"[\w-]$", r"(?![\w-])"))
+        return F.when(old == "", acc).otherwise(F.regexp_replace(acc, pattern, F.regexp_replace(new, r"([\\$])", r"\\$1")))
 
-def cobol_lines(f: DataFrame, levels: int = 3) -> DataFrame:
-    """Columns 8 to 72 of the lines that are long enough and no comments, COPY members laid in: path, member, line, sub, code.
+    return F.aggregate(pairs, code, put)
 
-    Of copybooks with one name the nearest is taken: of the same folder, of one below it, of a
-    folder beside it, or else the first by path. One that isn't there stays as a line. Copybooks within
-    copybooks are laid in ``levels`` deep; ``REPLACING`` of a COPY on one line is followed.
+
+def _copies_joined(code: DataFrame) -> DataFrame:
+    """Lines of a file with each COPY statement on its first line: one that has not ended takes the lines that go on with it."""
+    order = W.Window.partitionBy("path").orderBy("line")
+    upto = W.Window.partitionBy("path", "copy_").orderBy("line")
+    before = upto.rowsBetween(W.Window.unboundedPreceding, -1)
+    marks = lambda c: F.regexp_count(c, F.lit("=="))
+    t = code.withColumn("copy_", F.sum(F.col("code").rlike(r"(?i)^\s*COPY\s+[\w-]").cast("int")).over(order))
+    t = t.withColumn("ends_", F.coalesce(F.sum(F.col("code").rlike(r"[.]\s*$").cast("int")).over(before), F.lit(0)) > 0)
+    t = t.withColumn("inside_", F.coalesce(F.sum(marks("code")).over(before), F.lit(0)) % 2 == 1)
+    t = t.withColumn("head_", F.min("line").over(upto))
+    t = t.withColumn("own_", (F.col("copy_") > 0) & ~F.col("ends_") & ((F.col("line") == F.col("head_")) | F.col("inside_") | F.col("code").rlike(GOES_ON)))
+    t = t.withColumn("own_", F.col("own_") & (F.coalesce(F.sum((~F.col("own_")).cast("int")).over(before), F.lit(0)) == 0))
+    head = F.when(F.col("own_"), F.col("head_")).otherwise(F.col("line"))
+    joined = t.groupBy("path", "member", head.alias("line")).agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("at"), "code"))).alias("parts_"))
+    return joined.select("path", "member", "line", F.array_join(F.transform("parts_", lambda x: x["code"]), " ").alias("code"))
+
+
+def cobol_lines(f: DataFrame) -> DataFrame:
+    """Columns 8 to 72 of the lines that are long enough and no comments, COPY members laid in, to any depth.
+
+    Returns path, member, line (of the program), sub (lines within copybooks), code, whence and at (the file that the
+    line stands in, and its number there), stuck. Of copybooks with one name the nearest is taken: of the same folder,
+    of one below it, of a folder beside it, or else the first by path. A COPY whose book isn't there, or that would
+    copy a book into itself, stays as a line that ``stuck`` tells apart (missing, cycle). A COPY may take several
+    lines; its REPLACING list holds for the lines of its own book. A round lays in the books of the last round's COPY
+    lines only; a line's books are distinct, so there are at most as many rounds as books.
     """
     def code_of(df: DataFrame) -> DataFrame:
-        return _numbered(df).where((F.length("raw") >= 7) & ~F.substring("raw", 7, 1).isin("*", "/")).select("path", "member", "line", F.substring("raw", 8, 65).alias("code"))
+        return _copies_joined(_numbered(df).where((F.length("raw") >= 7) & ~F.substring("raw", 7, 1).isin("*", "/")).select("path", "member", "line", F.substring("raw", 8, 65).alias("code")))
 
     folder = lambda c: F.regexp_extract(c, r"^(.*/)[^/]*$", 1)
     copied = F.upper(F.regexp_extract("code", r"(?i)^\s*COPY\s+([\w-]+)", 1))
-    replacing = F.regexp_extract_all(F.regexp_replace("code", r"\s+", " "), F.lit("(?i)(==[^=]*== BY ==[^=]*==)"), F.lit(1))
+    pairs = F.regexp_extract_all(F.regexp_replace(F.regexp_extract("code", r"(?is)\bREPLACING\s+(.*)$", 1), r"\s+", " "), F.lit(f"(?i)({PAIR})"), F.lit(1))
     books = settled(code_of(f.where("language = 'COPYBOOK'")).groupBy(F.col("member").alias("copied"), F.col("path").alias("book")).agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("body")))
-    out = code_of(f.where("language = 'COBOL'")).withColumns({"sub": F.array(F.lit(0)), "whence": F.col("path")})
-    for _ in range(levels):
-        with_copy = out.withColumns({"copied": F.nullif(copied, F.lit("")), "pairs": replacing})
-        wanted = with_copy.where("copied is not null").select("whence", "copied").distinct().join(books.select("copied", "book"), "copied")
+    level = code_of(f.where("language = 'COBOL'")).withColumns({"sub": F.array(F.lit(0)), "whence": F.col("path"), "at": F.col("line"), "books": F.array().cast("array<string>")})
+    out, cols = None, ["path", "member", "line", "sub", "code", "whence", "at", "stuck"]
+    while True:
+        level = settled(level.withColumns({"copied": F.nullif(copied, F.lit("")), "pairs": pairs}))
+        plain = level.where("copied is null").withColumn("stuck", F.lit(None).cast("string")).select(*cols)
+        out = plain if out is None else out.unionByName(plain)
+        if level.where("copied is not null").isEmpty():
+            return out
+        copies = level.where("copied is not null")
+        wanted = copies.select("whence", "copied").distinct().join(books.select("copied", "book"), "copied")
         own, theirs = folder(F.col("whence")), folder(F.col("book"))
         near = F.when(own == theirs, 0).when(F.startswith(theirs, own), 1).when(F.startswith(theirs, F.regexp_extract(own, "^(.*/)[^/]*/$", 1)), 2).otherwise(3)
         chosen = wanted.groupBy("whence", "copied").agg(F.min_by("book", F.struct(near.alias("near"), "book")).alias("book"))
-        bodies = chosen.join(books, ["copied", "book"])
-        parts = F.coalesce("body", F.array(F.struct(F.lit(0).alias("line"), F.col("code").alias("code"))))
-        laid = with_copy.join(bodies, ["whence", "copied"], "left").withColumn("part", F.explode(parts))
-        out = laid.select("path", "member", "line", F.concat("sub", F.array("part.line")).alias("sub"), F.when(F.col("body").isNull(), F.col("part.code")).otherwise(_replaced(F.col("part.code"), F.col("pairs"))).alias("code"), F.coalesce("book", "whence").alias("whence"))
-        out = settled(out)
-    return out.drop("whence")
+        met = copies.join(chosen, ["whence", "copied"], "left").withColumn("stuck", F.when(F.col("book").isNull(), "missing").when(F.array_contains("books", F.col("book")), "cycle"))
+        out = out.unionByName(met.where("stuck is not null").select(*cols))
+        laid = met.where("stuck is null").join(books, ["copied", "book"]).withColumn("part", F.explode("body"))
+        level = laid.select("path", "member", "line", F.concat("sub", F.array("part.line")).alias("sub"), _replaced(F.col("part.code"), F.col("pairs")).alias("code"), F.col("book").alias("whence"), F.col("part.line").alias("at"), F.concat("books", F.array("book")).alias("books"))
+
+
+def copy_gaps(lines: DataFrame) -> DataFrame:
+    """COPY lines that stayed, for the report: program (the member), statement_type, snippet, file, line."""
+    return lines.where("stuck is not null").select(F.col("member").alias("program"), F.lit("COBOL_COPY").alias("statement_type"), F.concat(F.left(F.trim(F.regexp_replace("code", r"\s+", " ")), F.lit(280)), F.lit(": "), "stuck").alias("snippet"), F.col("whence").alias("file"), F.col("at").alias("line"))
 
 
 def guarded(text: Column) -> Column:
@@ -67,14 +110,14 @@ def guarded(text: Column) -> Column:
 
 
 def without_comments(text: Column) -> Column:
-    """SQL text without comments, its literals guarded: comments and literals are found in one pass, so neither hides in the other."""
+    """SQL text with comments blanked, its literals guarded, every offset kept: both are found in one pass, so neither hides in the other."""
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|{S.LITERAL}|[^'\"/-]++|.)"), F.lit(1))
-    kept = lambda p: F.when(p.startswith("--") | p.startswith("/*"), " ").when(p.rlike("^['\"]"), F.translate(p, S.GUARD, S.GUARDED)).otherwise(p)
+    kept = lambda p: F.when(p.startswith("--") | p.startswith("/*"), F.regexp_replace(p, r"[^\n]", " ")).when(p.rlike("^['\"]"), F.translate(p, S.GUARD, S.GUARDED)).otherwise(p)
     return F.array_join(F.transform(pieces, kept), "")
 
 
 def programs(lines: DataFrame) -> DataFrame:
-    """One row for each program: path, program, data (its divisions before the procedures), procedures, parameters."""
+    """One row for each program: path, program, data (its divisions before the procedures), procedures, begins (their offset in the text), parameters."""
     whole = lines.groupBy("path", "member").agg(F.array_sort(F.collect_list(F.struct("line", "sub", "code"))).alias("ls"))
     text = F.array_join(F.transform("ls", lambda x: x["code"]), "\n")
     t = whole.select("path", "member", guarded(text).alias("text"))
@@ -85,6 +128,7 @@ def programs(lines: DataFrame) -> DataFrame:
         F.when(named == "", F.col("member")).otherwise(named).alias("program"),
         F.when(cut > 0, F.substring(F.col("text"), F.lit(1), cut - 1)).otherwise(F.col("text")).alias("data"),
         F.when(cut > 0, F.substring(F.col("text"), cut, F.length("text"))).otherwise(F.lit("")).alias("procedures"),
+        F.greatest(cut - 1, F.lit(0)).alias("begins"),
     ).withColumn("parameters", F.regexp_extract_all(F.upper(F.regexp_extract("procedures", r"(?i)^PROCEDURE\s+DIVISION\s+USING\s+([^.]*)\.", 1)), F.lit(r"([A-Z][A-Z0-9-]*)"), F.lit(1)))
 
 
@@ -93,7 +137,7 @@ VERBS = "MOVE COMPUTE STRING UNSTRING ADD SUBTRACT MULTIPLY DIVIDE READ WRITE RE
 
 
 def statements(progs: DataFrame) -> DataFrame:
-    """Statements of each program in order: path, program, seq, sentence, verb, stmt (upper case, one blank between words).
+    """Statements of each program in order: path, program, seq, sentence, offset (in the program's text), verb, stmt (upper case, one blank between words).
 
     Sentences, which end at a period, are numbered; words in literals are guarded already.
     """
@@ -101,14 +145,41 @@ def statements(progs: DataFrame) -> DataFrame:
     # embedded SQL is kept whole by hiding its words' boundaries behind a mark
     sql = F.regexp_extract_all("procedures", F.lit(r"(?is)(EXEC\s+(?:SQL|CICS).*?END-EXEC\.?|(?:(?!EXEC\s+(?:SQL|CICS)).)++)"), F.lit(1))
     pieces = F.flatten(F.transform(sql, lambda p: F.when(p.rlike(r"(?is)^EXEC\s"), F.array(p)).otherwise(F.split(F.regexp_replace(p, rf"(?i)(?<=[\s.])({verbs})(?=[\s.])", "\u0001$1"), "\u0001"))))
-    each = progs.select("path", "program", F.posexplode(pieces).alias("seq", "raw"))
+    each = progs.select("path", "program", "begins", F.posexplode(pieces).alias("seq", "raw"))
     stmt = F.upper(F.trim(F.regexp_replace(F.regexp_replace("raw", r"\s+", " "), r"\.(\s.*)?$", "")))
     ends = F.col("raw").rlike(r"\.(\s|$)").cast("int")
     before = W.Window.partitionBy("path", "program").orderBy("seq").rowsBetween(W.Window.unboundedPreceding, -1)
-    out = each.select("path", "program", "seq", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int").alias("sentence"), stmt.alias("stmt"))
+    out = each.select("path", "program", "seq", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int").alias("sentence"), (F.col("begins") + F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)) + F.length("raw") - F.length(F.ltrim(F.translate("raw", "\n\t", "  ")))).alias("offset"), stmt.alias("stmt"))
     return out.withColumn("verb", F.substring_index("stmt", " ", 1)).where("stmt <> ''")
 
 
+def placed(stmts: DataFrame, starts: DataFrame) -> DataFrame:
+    """Statements (path, offset, …) with the file and line they begin in: of the last line that starts at or before them.
+
+    starts: path, start, file, line (``line_starts`` of programs, ``text_line_starts`` of plain text). Both are laid in one
+    order by offset, so it takes one shuffle by path and no join of ranges.
+    """
+    at = F.struct("file", "line")
+    cols = stmts.columns
+    both = stmts.select(F.col("path"), F.col("offset").alias("at_"), F.lit(1).alias("kind_"), F.struct(*cols).alias("s_"), F.lit(None).cast(starts.select(at.alias("x")).schema["x"].dataType).alias("l_"))
+    both = both.unionByName(starts.select("path", F.col("start").alias("at_"), F.lit(0).alias("kind_"), F.lit(None).cast(both.schema["s_"].dataType).alias("s_"), at.alias("l_")))
+    last = F.last("l_", ignorenulls=True).over(W.Window.partitionBy("path").orderBy("at_", "kind_"))
+    return both.select("s_", last.alias("l_")).where("s_ is not null").select("s_.*", "l_.file", "l_.line")
+
+
+def line_starts(lines: DataFrame) -> DataFrame:
+    """path, start, file, line: where each line that ``programs`` puts together begins in the text, and where it comes from."""
+    before = W.Window.partitionBy("path").orderBy("line", "sub").rowsBetween(W.Window.unboundedPreceding, -1)
+    return lines.select("path", F.coalesce(F.sum(F.length("code") + 1).over(before), F.lit(0)).alias("start"), F.col("whence").alias("file"), F.col("at").alias("line"))
+
+
+def text_line_starts(f: DataFrame) -> DataFrame:
+    """path, start, file, line of every line of a text, at whose ends a carriage return counts as part of the line."""
+    each = f.select("path", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    before = W.Window.partitionBy("path").orderBy("n").rowsBetween(W.Window.unboundedPreceding, -1)
+    return each.select("path", F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)).alias("start"), F.col("path").alias("file"), (F.col("n") + 1).alias("line"))
+
+
 def job_statements(f: DataFrame) -> DataFrame:
     """Job statements with continuations joined and inline data attached: path, line, name, op, operands, data.
 
