@@ -59,3 +59,23 @@ def test_gaps_of_an_estate_have_places(spark):
     rows = met.collect()
     assert len(rows) == got.count() and {r.statement_type for r in rows} == set(begins)
     assert all(r.raw.startswith(begins[r.statement_type]) for r in rows), rows[:20]
+
+
+def conditions(spark, text):
+    rows = [("P", n, 0, x.split(" ")[0], x) for n, x in enumerate(text)]
+    stmts = spark.createDataFrame(rows, "program string, seq int, sentence int, verb string, stmt string")
+    return {(r.seq, r.target, r.source, r.logic) for r in L.conditional_sources(stmts, L.transforms(stmts)).collect()}
+
+
+def test_search_without_key_adds_nothing(spark):
+    assert conditions(spark, ["SEARCH TAB VARYING IX", "AT END", "MOVE 'N' TO R", "WHEN T-KEY (IX) = 'A'", "MOVE T-VAL (IX) TO R", "END-SEARCH"]) == set()
+
+
+def test_end_of_a_file_in_a_found_branch_is_no_default(spark):
+    got = conditions(spark, ["SEARCH TAB", "WHEN T-KEY (IX) = K", "READ F", "AT END", "MOVE 'N' TO R", "END-SEARCH"])
+    assert got == {(4, "R", "K", "SEARCH TAB: lookup keyed on K")}
+
+
+def test_search_in_a_search(spark):
+    got = conditions(spark, ["SEARCH A", "AT END", "SEARCH B", "WHEN B-K (J) = Q", "MOVE B-V (J) TO R", "END-SEARCH", "WHEN A-K (I) = P", "MOVE A-V (I) TO R", "END-SEARCH"])
+    assert got == {(4, "R", "Q", "SEARCH B: lookup keyed on Q"), (4, "R", "P", "SEARCH A: default keyed on P"), (7, "R", "P", "SEARCH A: lookup keyed on P")}

@@ -63,7 +63,12 @@ def reads_into(stmts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def conditional_sources(stmts: DataFrame, moves: DataFrame) -> DataFrame:
-    """EVALUATE and SEARCH blocks: every name of the subjects and conditions of all blocks around a statement is a source of what it sets.
+    """EVALUATE and SEARCH blocks around a statement as sources of what it sets.
+
+    Of an EVALUATE, these are all names of its subjects and conditions. Of a SEARCH, only the key arguments: the names
+    of its conditions that have no subscript. Before its first WHEN stands its default, whose values depend on the key
+    alone; after it, the looked-up field is a source as well, by the statement's own move. Without a key argument
+    (an index that counts) a SEARCH adds nothing.
 
     Within a sentence, blocks of one depth follow each other, so each opening statement is ended
     by the next closing one of its depth, or by the end of the sentence.
@@ -72,17 +77,26 @@ def conditional_sources(stmts: DataFrame, moves: DataFrame) -> DataFrame:
     opens, closes = F.col("verb").isin("EVALUATE", "SEARCH").cast("int"), F.col("verb").isin("END-EVALUATE", "END-SEARCH").cast("int")
     numbered = stmts.withColumn("after", F.sum(opens - closes).over(order)).withColumn("depth", F.col("after") + closes)
     level = W.Window.partitionBy("program", "sentence", "depth").orderBy("seq")
-    marks = numbered.where((opens + closes) > 0).select("program", "sentence", "seq", "depth", opens.alias("open"), F.lead("seq").over(level).alias("end"))
-    blocks = marks.where("open = 1").select("program", "sentence", F.col("seq").alias("block"), F.coalesce("end", F.lit(1 << 30)).alias("end"))
+    search = F.nullif(F.regexp_extract("stmt", r"^(SEARCH (?:ALL )?[A-Z0-9-]+)", 1), F.lit(""))
+    marks = numbered.where((opens + closes) > 0).select("program", "sentence", "seq", "depth", opens.alias("open"), search.alias("search"), F.lead("seq").over(level).alias("end"))
+    blocks = marks.where("open = 1").select("program", "sentence", F.col("seq").alias("block"), F.coalesce("end", F.lit(1 << 30)).alias("end"), "search")
     inside = stmts.join(blocks, ["program", "sentence"]).where("seq >= block and seq <= end")
     # a condition belongs to the innermost block, whose drivers reach all that is inside it
     own = inside.groupBy("program", "seq").agg(F.max("block").alias("block"))
-    said = stmts.where(F.col("verb").isin("EVALUATE", "WHEN", "SEARCH")).join(own, ["program", "seq"])
-    drivers = said.select("program", "block", F.explode(names_in(F.regexp_replace("stmt", r"^\S+ ", ""))).alias("source")).distinct()
+    said = stmts.where(F.col("verb").isin("EVALUATE", "WHEN")).join(own, ["program", "seq"]).join(blocks.select("program", "block", "search"), ["program", "block"])
+    condition = F.regexp_replace("stmt", r"^\S+ ", "")
+    keys = F.regexp_replace(S.without_literals(condition), r"[A-Z][A-Z0-9-]*(?: (?:OF|IN) [A-Z][A-Z0-9-]*)* ?\([^()]*+\)", " ")
+    drivers = said.select("program", "block", F.explode(names_in(F.when(F.col("search").isNull(), condition).otherwise(keys))).alias("source")).distinct()
+    # a SEARCH block's default ends at its own first WHEN
+    first = said.where("verb = 'WHEN' and search is not null").groupBy("program", "block").agg(F.min("seq").alias("first"))
+    keyed = drivers.groupBy("program", "block").agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("keyed"))
     literal = stmts.where(F.col("stmt").rlike("^MOVE .+ TO ")).select("program", "seq", F.explode(names_in(F.regexp_extract("stmt", r"^MOVE .+ TO (.+)$", 1))).alias("target"))
     targets = moves.select("program", "seq", "target").unionByName(literal).distinct().join(inside.select("program", "seq", "block"), ["program", "seq"])
-    found = targets.join(drivers, ["program", "block"]).select("program", "seq", "target", "source").distinct()
-    return found.select("program", "seq", "target", "source", F.lit("CONDITION").alias("kind"), F.lit("depends on the condition").alias("logic"))
+    region = F.when(F.col("first") < F.col("seq"), "lookup").otherwise("default")
+    logic = F.when(F.col("search").isNull(), "depends on the condition").otherwise(S.clipped(F.concat("search", F.lit(": "), region, F.lit(" keyed on "), "keyed"), 600))
+    told = blocks.select("program", "block", "search").join(keyed, ["program", "block"]).join(first, ["program", "block"], "left")
+    found = targets.join(told, ["program", "block"]).select("program", "block", "seq", "target", logic.alias("logic")).join(drivers, ["program", "block"])
+    return found.select("program", "seq", "target", "source", F.lit("CONDITION").alias("kind"), "logic").distinct()
 
 
 def data_items(progs: DataFrame) -> DataFrame:

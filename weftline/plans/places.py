@@ -81,3 +81,29 @@ def sql_statement_lines(spark, sf_dir):
     text = F.replace(F.concat(F.lit(head), F.repeat(F.lit("\n"), (F.col("p_partkey") % 4).cast("int")), F.lit(tail)), F.lit("@"), key)
     f = table(spark, sf_dir, "part").select(F.concat(F.lit("/q/"), key, F.lit(".sql")).alias("path"), F.concat(F.lit("Q"), key).alias("member"), F.lit("SQL").alias("language"), text.alias("text"))
     return E.placed(L.sql_statements(f), E.text_line_starts(f)).select("program", "seq", "line", F.substring_index("stmt", " ", 1).alias("verb"))
+
+
+@registered(
+    """WITH o AS (SELECT o_orderkey AS k, 'KEY-' || o_custkey || CASE WHEN o_orderkey % 2 = 1 THEN ', TYP' ELSE '' END AS keyed, 'SEARCH ALL TAB-' || o_custkey AS tab, o_custkey AS c FROM orders),
+s AS (SELECT k, tab, keyed, 'KEY-' || c AS source FROM o UNION ALL SELECT k, tab, keyed, 'TYP' FROM o WHERE k % 2 = 1)
+SELECT 'P' || k AS program, 2 AS seq, 'RATE' AS target, source, 'CONDITION' AS kind, tab || ': default keyed on ' || keyed AS logic FROM s
+UNION ALL SELECT 'P' || k, 4, 'RATE', source, 'CONDITION', tab || ': lookup keyed on ' || keyed FROM s
+UNION ALL SELECT 'P' || k, 7, 'TAX', source, 'CONDITION', tab || ': lookup keyed on ' || keyed FROM s
+UNION ALL SELECT 'P' || k, 7, 'TAX', 'FLAG', 'CONDITION', 'depends on the condition' FROM o WHERE k % 3 = 0
+UNION ALL SELECT 'P' || k, x.seq, x.target, x.source, x.kind, x.logic FROM o, (VALUES (4, 'RATE', 'T-VAL', 'MOVE', 'MOVE T-VAL (IX) TO RATE'), (7, 'TAX', 'RATE', 'COMPUTE', 'COMPUTE TAX = RATE * 2'), (10, 'LAST', 'Z', 'MOVE', 'MOVE Z TO LAST')) x(seq, target, source, kind, logic)"""
+)
+def search_regions(spark, sf_dir):
+    """A table look-up in each order's program: what its default, its found branch and an EVALUATE within it depend on."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    typed = F.when(k % 2 == 1, " AND TYP = T-TYP OF T-ROW (IX)").otherwise("")
+    nested = lambda text: F.when(k % 3 == 0, text).otherwise("CONTINUE")
+    texts = F.array(
+        say("SEARCH ALL TAB-", c), F.lit("AT END"), F.lit("MOVE 'N' TO RATE"), say("WHEN T-KEY (IX) = KEY-", c, typed), F.lit("MOVE T-VAL (IX) TO RATE"),
+        nested("EVALUATE FLAG"), nested("WHEN 'Y'"), F.lit("COMPUTE TAX = RATE * 2"), nested("END-EVALUATE"), F.lit("END-SEARCH"), F.lit("MOVE Z TO LAST"),
+    )
+    each = table(spark, sf_dir, "orders").select(say("P", k.cast("string")).alias("program"), F.posexplode(texts).alias("seq", "stmt"))
+    stmts = settled(each.withColumns({"sentence": F.lit(0), "verb": F.substring_index("stmt", " ", 1)}))
+    moves = settled(L.transforms(stmts))
+    cols = ["program", "seq", "target", "source", "kind", "logic"]
+    return moves.select(*cols).unionByName(L.conditional_sources(stmts, moves).select(*cols))
