@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.operators import decisions as D
 from weftline.operators import joins as J
 from weftline.operators import mart as M
 from weftline.plans.registry import registered
@@ -190,3 +191,36 @@ def credit_risk_model(spark, sf_dir):
         (F.col("customer_ead") * 100).cast("long").alias("customer_ead_pence"), "branch_rank",
         (F.col("branch_el") * 10000).cast("long").alias("branch_el_units"), (F.col("capital") * 100000).cast("long").alias("capital_units"),
     )
+
+
+RUN_DATE = "2001-06-30"
+
+
+@registered(
+    f"""WITH {LOSS_SQL},
+z AS (SELECT y.*, c_name, c_custkey * 37 % 600 + 300 AS cs, c_custkey % 10 = 0 AS vulnerable, (account_number % 5 * 5000000)::BIGINT AS limit_p, (ead_p::HUGEINT * pd_pct * lgd_bps) AS loss FROM y JOIN customer ON c_custkey = customer_key),
+tx AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (1 + l_linenumber % 2))::BIGINT AS v, count(*) AS n, max(l_returnflag) AS r FROM lineitem WHERE l_shipdate >= DATE '{RUN_DATE}' - 30 GROUP BY 1),
+rm AS (SELECT s_nationkey, max(s_suppkey) AS emp, sum(CAST(round(s_acctbal * 100) AS BIGINT))::BIGINT AS v FROM supplier GROUP BY 1),
+b AS (SELECT *, (sum(el_u) OVER (PARTITION BY branch))::HUGEINT AS t FROM z)
+SELECT customer_key, c_name AS customer_full_name, CASE WHEN cs >= 800 THEN 'A' WHEN cs >= 700 THEN 'B' WHEN cs >= 600 THEN 'C' WHEN cs >= 500 THEN 'D' ELSE 'E' END AS customer_risk_tier, branch, account_number,
+'P' || account_number % 4 AS product_code, (drawn_p::DECIMAL(20,0) / 100)::DECIMAL(18,2) AS account_balance, (limit_p::DECIMAL(20,0) / 100)::DECIMAL(18,2) AS credit_limit, ((drawn_p - accrued_p)::DECIMAL(20,0) / 100)::DECIMAL(18,2) AS net_exposure,
+CASE WHEN limit_p > 0 THEN drawn_p * 10000 // limit_p ELSE 0 END AS utilisation_bp, dpd AS arrears_days, (coalesce(tx.v, 0)::DECIMAL(20,0) / 100)::DECIMAL(25,2) AS txn_volume_30d, coalesce(tx.n, 0) AS txn_count_30d,
+emp AS rm_emp_id, (rm.v::DECIMAL(20,0) / 100)::DECIMAL(25,2) AS rm_portfolio_value, CASE WHEN vulnerable THEN 'Y' ELSE 'N' END AS vulnerable_flag, coalesce(tx.r, 'N') AS reportable_flag, CASE WHEN dpd > 90 THEN 'Y' ELSE 'N' END AS default_flag,
+(ead_p::DECIMAL(20,0) / 100)::DECIMAL(18,2) AS ead, lgd_bps AS final_lgd_bps, (pd_pct::DECIMAL(5,0) / 100)::DECIMAL(5,4) AS pd_rate, (((loss + 500000) // 1000000)::BIGINT::DECIMAL(20,0) / 100)::DECIMAL(18,2) AS expected_loss, segment AS risk_status,
+CASE WHEN pd_pct >= 100 THEN 'DEFAULTED' WHEN pd_pct >= 15 THEN 'SUBSTANDARD' WHEN pd_pct >= 5 THEN 'WATCH' ELSE 'PERFORMING' END AS band,
+((sum(ead_p) OVER (PARTITION BY customer_key))::BIGINT::DECIMAL(20,0) / 100)::DECIMAL(28,2) AS customer_total_ead, (((loss * 125 + 5000000) // 10000000)::BIGINT::DECIMAL(20,0) / 100)::DECIMAL(20,2) AS regulatory_capital,
+rank() OVER (PARTITION BY branch ORDER BY el_u DESC) AS branch_el_rank, CASE WHEN t <> 0 THEN ((el_u * 20000 + t) // (2 * t))::BIGINT END AS share_of_branch_bp, DATE '{RUN_DATE}' AS model_run_date
+FROM b LEFT JOIN tx ON l_orderkey = account_number LEFT JOIN rm ON s_nationkey = branch"""
+)
+def unified_mart(spark, sf_dir):
+    """The mart's 29 columns: customers, accounts, managers and transactions of 30 days."""
+    pence = lambda c: F.round(F.col(c) * 100).cast("long")
+    money = lambda x: (x.cast("decimal(18,0)") / F.lit(100)).cast("decimal(18,2)")
+    yes = lambda cond: F.when(cond, "Y").otherwise("N")
+    k = F.col("account_number")
+    a = M.expected_loss(accounts(spark, sf_dir)).withColumns({"product_code": F.concat(F.lit("P"), (k % 4).cast("string")), "credit_limit": money(k % 5 * 5000000), "default_flag": yes(F.col("dpd") > 90), "risk_status": F.col("segment")})
+    c = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer").select(c.alias("customer_key"), F.col("c_name").alias("customer_full_name"), D.customer_tier(c * 37 % 600 + 300).alias("customer_risk_tier"), yes(c % 10 == 0).alias("vulnerable_flag"))
+    managers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("branch"), F.col("s_suppkey").alias("emp_id"), money(pence("s_acctbal")).alias("value"))
+    txns = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("account_number"), F.col("l_shipdate").alias("posted"), money(pence("l_extendedprice")).alias("amount"), (1 + F.col("l_linenumber") % 2).alias("weight"), F.col("l_returnflag").alias("reportable"))
+    return M.unified(customers, a, managers, txns, RUN_DATE)
