@@ -181,7 +181,8 @@ def node_dedupe(spark, sf_dir):
             F.concat(F.lit("PART."), F.col("l_partkey")).alias("id"),
             F.when(F.col("l_linenumber") > 1, F.concat(F.lit("F"), F.col("l_suppkey"))).alias("path"),
             F.array(F.concat("l_returnflag", "l_linestatus")).alias("columns"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+            # rows of one number stand in the order of their files, as one reader meets them
+            F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"), "_metadata.file_path", "_metadata.row_index").alias("seq"),
         )
     )
 
