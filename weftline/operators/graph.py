@@ -38,12 +38,13 @@ def distances(edges: DataFrame, start: DataFrame, depth: int, directed: str = "b
     Breadth-first: each step joins only the last frontier and leaves out what was reached, so
     a node is expanded once; the frontier is written each step, and the search ends when it is empty.
     """
+    if depth > 1:  # read by every step
+        edges = settled(edges.select("source_id", "target_id"))
     down = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to"))
     up = edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("to"))
     steps = {"down": down, "up": up, "both": down.union(up)}[directed]
-    if depth > 1:  # read by every step
-        steps = settled(steps)
-    frontier = start.select("id").distinct().withColumn("dist", F.lit(0).cast("long"))
+    # written, as a frontier of unknown size would have all steps moved to it
+    frontier = settled(start.select("id").distinct().withColumn("dist", F.lit(0).cast("long")))
     reached = frontier
     for k in range(1, depth + 1):
         new = frontier.select("id").join(steps, "id").select(F.col("to").alias("id")).distinct()
@@ -78,15 +79,16 @@ def neighbourhood(edges: DataFrame, node: str, depth: int = 3) -> DataFrame:
     """Edges on a path of at most ``depth`` edges from a node: those with an end at most ``depth - 1`` away."""
     depth = min(max(depth, DEPTHS[0]), DEPTHS[1])
     start = edges.sparkSession.createDataFrame([(node,)], "id string")
-    relations = edges.where(F.col("edge_type").isin(*RELATIONS))
-    near = distances(relations, start, depth - 1).select("id")
+    # written once: each step reads them, and meets a small frontier without moving them
+    relations = settled(edges.where(F.col("edge_type").isin(*RELATIONS)))
+    near = settled(distances(relations, start, depth - 1).select("id"))
     ends = [relations.join(near.withColumnRenamed("id", c), c, "left_semi").select(*edges.columns) for c in ("source_id", "target_id")]
     return ends[0].union(ends[1]).distinct()
 
 
 def neighbourhood_columns(edges: DataFrame, column_edges: DataFrame, node: str, depth: int = 3) -> DataFrame:
     """Column edges whose owners both lie in the neighbourhood of a node."""
-    ids = nodes_of(neighbourhood(edges, node, depth))
+    ids = settled(nodes_of(neighbourhood(edges, node, depth)))
     own = column_edges.withColumns({"so_": owner(F.col("source_id")), "to_": owner(F.col("target_id"))})
     return own.join(ids.withColumnRenamed("id", "so_"), "so_", "left_semi").join(ids.withColumnRenamed("id", "to_"), "to_", "left_semi").drop("so_", "to_")
 

@@ -16,7 +16,8 @@ from weftline.session import shared_dir, table
 START = "JOB:CUST.1"
 
 
-def edges(spark: SparkSession, sf_dir: str, files: bool = True) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, files: bool = True, once: bool = True) -> DataFrame:
+    """Edges of orders and their lines; with ``once`` equal ones are told apart, which takes a shuffle of all."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     program = F.concat(F.lit("PROGRAM:ORD."), F.col("l_orderkey"))
     part = F.concat(F.lit("TABLE:PART."), F.col("l_partkey"))
@@ -25,14 +26,15 @@ def edges(spark: SparkSession, sf_dir: str, files: bool = True) -> DataFrame:
     out = out.union(edge(li.where("l_returnflag <> 'R'"), part, program, "READS_FROM")).union(edge(li.where("l_returnflag = 'R'"), program, part, "WRITES_TO"))
     if files:
         out = out.union(edge(li, program, F.concat(F.lit("FILE:SUPP."), F.col("l_suppkey")), "WRITES_TO"))
-    return out.distinct()
+    return out.distinct() if once else out
 
 
-def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def column_edges(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     p, part, file = F.concat(F.lit("PROGRAM:ORD."), F.col("l_orderkey")), F.concat(F.lit("TABLE:PART."), F.col("l_partkey")), F.concat(F.lit("FILE:SUPP."), F.col("l_suppkey"))
     column = lambda e, c: F.concat(e, F.lit("|"), F.lit(c))
-    return li.select(column(part, "QTY").alias("source_id"), column(p, "QTY").alias("target_id")).union(li.select(column(p, "QTY"), column(file, "QTY"))).distinct()
+    out = li.select(column(part, "QTY").alias("source_id"), column(p, "QTY").alias("target_id")).union(li.select(column(p, "QTY"), column(file, "QTY")))
+    return out.distinct() if once else out
 
 
 EDGES_SQL = """
@@ -84,17 +86,17 @@ def entity_catalogue(spark, sf_dir):
 
 @registered(_near_sql(1))
 def neighbourhood_d1(spark, sf_dir):
-    return G.neighbourhood(edges(spark, sf_dir), START, 1)
+    return G.neighbourhood(edges(spark, sf_dir, once=False), START, 1)
 
 
 @registered(_near_sql(2))
 def neighbourhood_d2(spark, sf_dir):
-    return G.neighbourhood(edges(spark, sf_dir), START, 2)
+    return G.neighbourhood(edges(spark, sf_dir, once=False), START, 2)
 
 
 @registered(_near_sql(3))
 def neighbourhood_d3(spark, sf_dir):
-    return G.neighbourhood(edges(spark, sf_dir), START, 3)
+    return G.neighbourhood(edges(spark, sf_dir, once=False), START, 3)
 
 
 @registered(
@@ -105,7 +107,7 @@ SELECT source_id, target_id FROM ce WHERE regexp_extract(source_id, '^(.*)\\|[^|
 AND regexp_extract(target_id, '^(.*)\\|[^|]*$', 1) IN (SELECT id FROM ids)"""
 )
 def neighbourhood_columns(spark, sf_dir):
-    return G.neighbourhood_columns(edges(spark, sf_dir), column_edges(spark, sf_dir), START, 2)
+    return G.neighbourhood_columns(edges(spark, sf_dir, once=False), column_edges(spark, sf_dir, once=False), START, 2).distinct()
 
 
 CHAIN_SQL = """
@@ -296,7 +298,7 @@ UNION ALL SELECT 'nodes', to_json({{id: id}})::VARCHAR FROM (SELECT source_id AS
 )
 def graph_export(spark, sf_dir):
     path = f"{shared_dir(spark)}/weftline-export-{uuid.uuid4().hex}"
-    e = edges(spark, sf_dir)
+    e = edges(spark, sf_dir, once=False)  # the export tells equal rows apart
     K.export_json(path, nodes=G.nodes_of(e), edges=e, dynamic_constructs=e.limit(0), unparsed=e.limit(0))
     lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("entry")).where("entry like '{%}'")
     return lines.select(F.when(F.get_json_object("entry", "$.edge_type").isNull(), "nodes").otherwise("edges").alias("kind"), "entry")
