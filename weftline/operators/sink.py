@@ -2,18 +2,19 @@
 
 A stored table is Parquet in folders by bucket, a hash of its key. An upsert reads and rewrites only the
 buckets that its rows fall in: old rows of these buckets less those of the new keys, and the new rows, are
-written aside first and then put in place bucket by bucket, so a run that is repeated gives the same table,
-and rows of one hot key are never more than one.
+written aside first and then moved in place bucket by bucket, so a run that is repeated gives the same table.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from weftline.operators.graph import owner
-from weftline.session import settled
+from weftline.session import settled, shared_dir
 
 #: Tables of a stored graph, and the columns that tell their rows apart.
 KEYS = {"nodes": ["id"], "columns": ["id"], "edges": ["edge_id"], "column_edges": ["source_id", "target_id", "program"]}
@@ -34,22 +35,43 @@ def upsert(rows: DataFrame, path: str, keys: list[str], order: list[str] | None
     """Put rows into a stored table, in the place of rows of the same keys; returns the whole table.
 
     Of several rows of one key the last by ``order`` stays, and without an order the greatest by all columns. Null
-    keys count as one key. ``buckets`` is fixed by a table's first upsert.
+    keys count as one key. ``buckets`` is fixed by a table's first upsert. The rows' keys are read once more than the
+rows, to know the buckets.
     """
     spark = rows.sparkSession
-    last = [F.col(c).desc_nulls_last() for c in (order or [])] + [F.to_json(F.struct(*rows.columns)).desc()]
-    new = rows.withColumn("rank_", F.row_number().over(W.Window.partitionBy(*keys).orderBy(*last))).where("rank_ = 1").drop("rank_")
-    new = settled(new.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
-    merged = new
-    if exists(spark, path):
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-        same = [old[k].eqNullSafe(new[k]) for k in ("bucket", *keys)]
-        merged = settled(old.join(new, same, "left_anti").unionByName(new, allowMissingColumns=True))
-    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    in_place = exists(spark, path)
+    both = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("new_", F.lit(1))
+    columns = [*rows.columns]
+    if in_place:
+        touched = [r["bucket"] for r in both.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).withColumn("new_", F.lit(0))
+        both = old.unionByName(both, allowMissingColumns=True)
+        columns = [c for c in both.columns if c not in ("bucket", "new_")]
+    # old and new rows meet in one shuffle by bucket, behind which a key's rows are told apart
+    last = [F.col("new_").desc(), *[F.col(c).desc_nulls_last() for c in (order or [])], F.to_json(F.struct(*rows.columns)).desc()]
+    ranked = both.repartition("bucket").withColumn("rank_", F.row_number().over(W.Window.partitionBy("bucket", *keys).orderBy(*last)))
+    merged = ranked.where("rank_ = 1").select(*columns, "bucket")
+    if not in_place:
+        merged.write.partitionBy("bucket").parquet(path)
+    else:
+        aside = f"{shared_dir(spark)}/weftline-aside-{uuid.uuid4().hex}"
+        merged.write.partitionBy("bucket").parquet(aside)
+        _put_in_place(spark, aside, path)
     return spark.read.schema(merged.schema).parquet(path).drop("bucket")
 
 
+def _put_in_place(spark: SparkSession, aside: str, path: str) -> None:
+    """Move the bucket folders of a table written aside to their places in the stored table; the files themselves are not read or copied."""
+    new, fs = _path(spark, aside)
+    for status in fs.listStatus(new):
+        if status.isDirectory():
+            target, _ = _path(spark, f"{path}/{status.getPath().getName()}")
+            fs.delete(target, True)
+            if not fs.rename(status.getPath(), target):
+                raise OSError(f"{status.getPath()} could not be moved to {target}")
+    fs.delete(new, True)
+
+
 def columns_of(nodes: DataFrame, column_edges: DataFrame) -> DataFrame:
     """id, name, owner_id of every column that a node states or a column edge touches."""
     stated = nodes.select(F.col("id").alias("owner_id"), F.explode(F.transform("columns", F.upper)).alias("name"))
@@ -88,12 +110,14 @@ def export_json(folder: str, **arrays: DataFrame) -> None:
     """
     lines, last = None, len(arrays) - 1
     for k, (name, rows) in enumerate(arrays.items()):
-        each = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json")).distinct()
-        each = settled(each)
-        first = each.agg(F.min("json").alias("first"))
-        body = each.join(F.broadcast(first), F.lit(True)).select(F.lit(1).alias("at"), "json", F.concat(F.when(F.col("json") == F.col("first"), "").otherwise(","), "json").alias("value"))
+        each = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+        body = each.select(F.lit(1).alias("at"), "json", F.lit("").alias("value"))
         frame = rows.sparkSession.createDataFrame([(0, "", ("{" if k == 0 else "") + f'"{name}": ['), (2, "", "]" + ("}" if k == last else ","))], "at int, json string, value string")
         part = body.unionByName(frame).withColumn("array", F.lit(k))
         lines = part if lines is None else lines.unionByName(part)
+    firsts = settled(lines.where("at = 1").groupBy("array").agg(F.min("json").alias("first")))
     order = ["array", "at", "json"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(folder)
+    # equal rows fall in one range, so they are told apart behind the one shuffle
+    ranged = lines.repartitionByRange(*order).dropDuplicates(order).join(F.broadcast(firsts), "array", "left")
+    own = F.concat(F.when(F.col("json") == F.col("first"), "").otherwise(","), "json")
+    ranged.sortWithinPartitions(*order).select(F.when(F.col("at") == 1, own).otherwise(F.col("value")).alias("value")).write.mode("overwrite").text(folder)
