@@ -79,6 +79,13 @@ def cobol_lines(f: DataFrame) -> DataFrame:
     copied = F.upper(F.regexp_extract("code", r"(?i)^\s*COPY\s+([\w-]+)", 1))
     pairs = F.regexp_extract_all(F.regexp_replace(F.regexp_extract("code", r"(?is)\bREPLACING\s+(.*)$", 1), r"\s+", " "), F.lit(f"(?i)({PAIR})"), F.lit(1))
     books = settled(code_of(f.where("language = 'COPYBOOK'")).groupBy(F.col("member").alias("copied"), F.col("path").alias("book")).agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("body")))
+    # the first book of a name in a folder, and in it or below it; "" stands for all folders
+    theirs = folder(F.col("book"))
+    parts = F.split(theirs, "/")
+    within = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
+    by_folder = books.select("copied", "book", theirs.alias("theirs"), F.explode(within).alias("folder")).groupBy("copied", "folder").agg(F.min(F.when(F.col("theirs") == F.col("folder"), F.col("book"))).alias("same"), F.min("book").alias("below"))
+    by_folder = settled(by_folder)
+    anywhere = by_folder.where("folder = ''").select("copied", F.col("below").alias("any"))
     level = code_of(f.where("language = 'COBOL'")).withColumns({"sub": F.array(F.lit(0)), "whence": F.col("path"), "at": F.col("line"), "books": F.array().cast("array<string>")})
     out, cols = None, ["path", "member", "line", "sub", "code", "whence", "at", "stuck"]
     while True:
@@ -88,10 +95,12 @@ def cobol_lines(f: DataFrame) -> DataFrame:
         if level.where("copied is not null").isEmpty():
             return out
         copies = level.where("copied is not null")
-        wanted = copies.select("whence", "copied").distinct().join(books.select("copied", "book"), "copied")
-        own, theirs = folder(F.col("whence")), folder(F.col("book"))
-        near = F.when(own == theirs, 0).when(F.startswith(theirs, own), 1).when(F.startswith(theirs, F.regexp_extract(own, "^(.*/)[^/]*/$", 1)), 2).otherwise(3)
-        chosen = wanted.groupBy("whence", "copied").agg(F.min_by("book", F.struct(near.alias("near"), "book")).alias("book"))
+        # by the folders to look in, nearest first, so that a name that many folders have is never met pair by pair
+        wanted = copies.select("whence", "copied").distinct().withColumn("own", folder(F.col("whence")))
+        looks = F.array(F.struct(F.lit(0).alias("near"), F.col("own").alias("folder")), F.struct(F.lit(2).alias("near"), F.regexp_extract("own", "^(.*/)[^/]*/$", 1).alias("folder")))
+        hits = wanted.select("whence", "copied", F.explode(looks).alias("l")).select("whence", "copied", "l.*").join(by_folder, ["copied", "folder"])
+        hits = hits.groupBy("whence", "copied").agg(F.min(F.when(F.col("near") == 0, F.col("same"))).alias("same"), F.min(F.when(F.col("near") == 0, F.col("below"))).alias("below"), F.min(F.when(F.col("near") == 2, F.col("below"))).alias("beside"))
+        chosen = wanted.join(hits, ["whence", "copied"], "left").join(anywhere, "copied").select("whence", "copied", F.coalesce("same", "below", "beside", "any").alias("book"))
         met = copies.join(chosen, ["whence", "copied"], "left").withColumn("stuck", F.when(F.col("book").isNull(), "missing").when(F.array_contains("books", F.col("book")), "cycle"))
         out = out.unionByName(met.where("stuck is not null").select(*cols))
         laid = met.where("stuck is null").join(books, ["copied", "book"]).withColumn("part", F.explode("body"))
