@@ -40,9 +40,15 @@ def split_top(text: Column, separator: str = ",") -> Column:
     return F.filter(F.transform(F.aggregate(tokens, zero, step)["parts"], lambda x: F.trim(x)), lambda x: x != "")
 
 
+def once(x: Column) -> Column:
+    """A costly value as a generated column of one row, which Spark takes over as it stands; a plain column is worked out again for each filter and use."""
+    return F.explode(F.array(x))
+
+
 def clauses(text: Column, words: str) -> Column:
     """The parts of a statement that begin with keywords (alternatives of a pattern) outside parentheses: key, text; what comes first has no key."""
-    tokens = F.regexp_extract_all(text, F.lit(rf"(\b(?:{words})\b|[()]|[^()\s]++|\s++)"), F.lit(1))
+    # what lies between two keywords or parentheses is one token, so a fold takes few steps
+    tokens = F.regexp_extract_all(text, F.lit(rf"(\b(?:{words})\b|[()]|(?:(?!\b(?:{words})\b)[^()\s]++|\s++)++)"), F.lit(1))
     part = lambda key, x: F.struct(key.alias("key"), x.alias("text"))
     zero = F.struct(F.lit(0).alias("depth"), F.array(part(F.lit(""), F.lit(""))).alias("parts"))
 

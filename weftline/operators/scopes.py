@@ -105,7 +105,7 @@ def query_items(scoped: DataFrame) -> tuple[DataFrame, DataFrame]:
     branches = F.filter(S.clauses(query, SETS), lambda p: p["text"] != "")
     each = scoped.where(moving).select(*KEY, "scope", F.when(F.col("scope") == 0, F.regexp_extract("text", TARGET, 1)).alias("target"), names.alias("names"), F.posexplode(branches).alias("branch", "q"))
     alone = F.regexp_extract("q.text", r"^(#Q\d+)$", 1)
-    each = each.withColumn("parts", S.clauses(F.when(alone != "", F.concat(F.lit("SELECT * FROM "), alone)).otherwise(F.col("q.text")), CLAUSES))
+    each = each.withColumn("parts", S.once(S.clauses(F.when(alone != "", F.concat(F.lit("SELECT * FROM "), alone)).otherwise(F.col("q.text")), CLAUSES)))
     each = each.withColumns({"select": F.regexp_replace(_clause("parts", "SELECT"), r"^(?:DISTINCT|ALL|UNIQUE) ", ""), "from": F.coalesce(_clause("parts", "FROM"), F.lit("")), "filter": _clause("parts", "WHERE")}).where("select is not null")
     own, expr = _own_name(F.col("item"))
     items = each.select(*KEY, "scope", "branch", "target", "names", "filter", F.posexplode(S.split_top(F.col("select"))).alias("pos", "item")).select(*KEY, "scope", "branch", "target", "names", "filter", "pos", own.alias("own"), expr.alias("expr"))
