@@ -95,3 +95,27 @@ def test_products_beyond_64_bits(spark):
     frequent = spark.createDataFrame([("en", "a b", 2, 4 * 10**12), ("en", "a", 1, 5 * 10**12), ("en", "b", 1, 6 * 10**12)], "lang string, phrase string, k int, a long")
     n = spark.createDataFrame([("en", 3 * 10**16)], "lang string, n long")
     assert C.cut_scores(frequent, n).first()["score"] == 1000 * 4 * 10**12 * 3 * 10**16 // (5 * 10**12 * 6 * 10**12)
+
+
+def test_levels_emit_only_phrases_that_may_be_frequent(spark, monkeypatch):
+    """All pairs of words are frequent, all but one of the phrases of three words are not."""
+    words = [f"w{i}" for i in range(12)]
+    rows = [("en", f"{a} {b} {c}.") for a in words for b in words for c in words] + [("en", "w0 w1 w2. " * 30)]
+    texts = spark.createDataFrame([(lang, t.encode(), 1) for lang, t in rows], "lang string, data binary, a long")
+    pairs = spark.createDataFrame([("en", f"{a} {b}") for a in words for b in words], "lang string, phrase string")
+    bitmap = C.bitmap_of(pairs, 2)
+    likely = C.likely_phrases(texts, 3, bitmap, 20)
+    folded = b"\xff".join(t.encode().translate(C._FOLD) for _, t in rows)
+    assert len(C.count_block(folded, "en", 3, bitmap)[0]) == 12**3
+    assert C.count_block(folded, "en", 3, bitmap, None, likely)[0] == [b"w0 w1 w2"]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(map(tuple, C.collocations(docs, least=20).collect())) == plain_form(rows, least=20)
+
+
+@pytest.mark.parametrize("least", [3, 300])
+def test_a_full_sketch_changes_no_result(spark, monkeypatch, least):
+    monkeypatch.setattr(C, "SKETCH_BITS", 6)
+    monkeypatch.setattr(C, "SKETCH_ROW_BITS", 4)
+    rows = made_rows(3) + [("en", "one two three four. " * 400)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(map(tuple, C.collocations(docs, least=least, block_bytes=64).collect())) == plain_form(rows, least=least)

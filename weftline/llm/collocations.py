@@ -6,7 +6,9 @@ frequent phrases' hashes. The bitmap has a fixed largest size (``MOST_BITS``); w
 outgrow it, more infrequent ones pass it, which costs rows and drops none, since the exact counts
 that follow decide. Words and pairs are counted over the whole texts. A longer phrase stands within a
 stretch of frequent pairs, so one more pass takes these stretches out of the texts, adds up equal
-ones, and the later levels count in them.
+ones, and the later levels count in them. Before such a level is counted, a pass adds up its phrases in
+counters picked by hash (a sketch of fixed size, as its bitmap is): a phrase whose counter stays below the
+least count can't be frequent and is not emitted. Counters that phrases share only let more of them pass.
 
 A task cuts and hashes a block of text in numpy and adds up its phrases before it emits any; Spark adds
 up the blocks, and the tables of the levels are kept in the shared folder. Within a block, words are
@@ -42,6 +44,8 @@ TOP, COVERED = 2000, 100
 BLOCK_BYTES, STRETCH_BYTES = 8 << 20, 1 << 20
 #: Bits of the bitmap for each frequent phrase, and at most (32 MB).
 BITS_EACH, MOST_BITS = 64, 1 << 28
+#: Bits of the number of a sketch's counters, and of those that make one row of it.
+SKETCH_BITS, SKETCH_ROW_BITS = 24, 14
 #: Parts that a language's candidates are ranked in before its best are ranked together.
 RANK_PARTS = 64
 
@@ -141,17 +145,23 @@ def grouped(keys: np.ndarray, checks: np.ndarray, weights: np.ndarray | None) ->
 Rows = tuple[list[bytes], np.ndarray]
 
 
-def count_block(folded: bytes, lang: str, k: int, bitmap: np.ndarray | None, weights: tuple[np.ndarray, np.ndarray] | None = None) -> Rows:
+def places_of(words: Words, lang: str, k: int, bitmap: np.ndarray | None) -> np.ndarray:
+    """Where k words of one piece begin whose phrases of k - 1 words are both in the bitmap."""
+    if k == 1 or len(words.start) < k:
+        return np.arange(len(words.start) if k == 1 else 0)
+    known = marked(bitmap, gram_hashes(words.hash, k - 1), lang)
+    return np.flatnonzero(known[:-1] & known[1:] & (words.piece[: len(words.piece) - k + 1] == words.piece[k - 1 :]))
+
+
+def count_block(folded: bytes, lang: str, k: int, bitmap: np.ndarray | None, weights: tuple[np.ndarray, np.ndarray] | None = None, likely: np.ndarray | None = None) -> Rows:
     """Phrases of k words with their counts, where both phrases of k - 1 words are in the bitmap; with words, also their number, as the empty phrase.
 
-    ``weights`` are the ends of the block's rows and what each counts, 1 if there are none.
+    ``weights`` are the ends of the block's rows and what each counts, 1 if there are none. With ``likely``, only the phrases in that bitmap.
     """
     words = words_of(folded)
-    if k == 1:
-        at = np.arange(len(words.start))
-    else:
-        known = marked(bitmap, gram_hashes(words.hash, k - 1), lang)
-        at = np.flatnonzero(known[:-1] & known[1:] & (words.piece[: len(words.piece) - k + 1] == words.piece[k - 1 :])) if len(words.start) >= k else np.zeros(0, np.int64)
+    at = places_of(words, lang, k, bitmap)
+    if likely is not None and len(at):
+        at = at[marked(likely, gram_hashes(words.hash, k)[at], lang)]
     if not len(at):
         return [], np.zeros(0, np.int64)
     each = None if weights is None else weights[1][np.searchsorted(weights[0], words.start[at], "right")]
@@ -207,6 +217,13 @@ class Blocks:
         if self.size >= self.block_bytes:
             yield from self.flush()
 
+    def all_of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights = batch.column(2) if self.weighted else [None] * batch.num_rows
+            for lang, data, weight in zip(batch.column(0), batch.column(1), weights, strict=True):
+                yield from self.add(lang.as_py(), data.as_py(), weight.as_py() if self.weighted else 1)
+        yield from self.flush()
+
     def emit(self, lang: str, folded: bytes, weights: tuple[np.ndarray, np.ndarray] | None, sign: int = 1) -> Iterator[pa.RecordBatch]:
         phrases, counts = self.count(folded, lang, weights)
         if phrases:
@@ -219,17 +236,53 @@ class Blocks:
             yield from self.emit(lang, BREAK.join(x for x, _ in rows), weights)
 
 
-def in_blocks(texts: DataFrame, count: Callable, bitmap: np.ndarray | None, shared: int, weighted: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """lang, phrase and its count a, added up over all blocks; ``texts`` has lang, data (bytes) and, if ``weighted``, a."""
+def add_to_sketch(sketch: np.ndarray, least: int, k: int, folded: bytes, lang: str, bitmap: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> Rows:
+    """Adds the phrases that ``count_block`` would emit to the sketch, each counter up to ``least``; emits none.
+
+    What cut texts share is not taken off here, so a counter is never below its phrases' true count.
+    """
+    words = words_of(folded)
+    at = places_of(words, lang, k, bitmap)
+    if len(at):
+        each = np.maximum(weights[1][np.searchsorted(weights[0], words.start[at], "right")], 0)
+        slot, own = np.unique(slots(gram_hashes(words.hash, k)[at], lang, len(sketch).bit_length() - 1), return_inverse=True)
+        sketch[slot] = np.minimum(sketch[slot] + np.bincount(own, each), least)
+    return [], np.zeros(0, np.int64)
+
+
+def likely_phrases(texts: DataFrame, k: int, bitmap: np.ndarray, least: int, block_bytes: int = BLOCK_BYTES) -> np.ndarray:
+    """A bitmap of 2^SKETCH_BITS bits that holds every phrase of k words which ``texts`` (lang, data, a) have ``least`` times or more."""
     sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+    row, kind = 1 << SKETCH_ROW_BITS, np.min_scalar_type(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(lambda folded, lang, weights: count(folded, lang, sent.value, weights), shared, weighted, block_bytes)
-        for batch in batches:
-            weights = batch.column(2) if weighted else [None] * batch.num_rows
-            for lang, data, weight in zip(batch.column(0), batch.column(1), weights, strict=True):
-                yield from blocks.add(lang.as_py(), data.as_py(), weight.as_py() if weighted else 1)
-        yield from blocks.flush()
+        sketch = np.zeros(1 << SKETCH_BITS, kind)
+        blocks = Blocks(lambda *block: add_to_sketch(sketch, least, k, block[0], block[1], sent.value, block[2]), k - 1, True, block_bytes)
+        yield from blocks.all_of(batches)
+        rows = sketch.reshape(-1, row)
+        for at in np.flatnonzero(rows.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([rows[at].tobytes()], pa.binary())], ["at", "counts"])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        total = np.zeros(row, np.int64)
+        for counts in rows.column("counts"):
+            total += np.frombuffer(counts.as_py(), kind)
+        return pa.table({"at": rows.column("at").slice(0, 1).cast(pa.int32()), "bits": pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())})
+
+    found = map_arrow(texts, run, "at int, counts binary").groupBy("at").applyInArrow(summed, "at int, bits binary").toArrow()
+    out = np.zeros((1 << (SKETCH_BITS - SKETCH_ROW_BITS), row >> 3), np.uint8)
+    for at, bits in zip(found.column("at").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[at] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def in_blocks(texts: DataFrame, count: Callable, bitmap: np.ndarray | None, shared: int, weighted: bool = False, block_bytes: int = BLOCK_BYTES, likely: np.ndarray | None = None) -> DataFrame:
+    """lang, phrase and its count a, added up over all blocks; ``texts`` has lang, data (bytes) and, if ``weighted``, a."""
+    sent = texts.sparkSession.sparkContext.broadcast((bitmap, likely))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(lambda folded, lang, weights: count(folded, lang, *sent.value, weights), shared, weighted, block_bytes)
+        yield from blocks.all_of(batches)
 
     return map_arrow(texts, run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
@@ -266,15 +319,16 @@ def levels(docs: DataFrame, longest: int, least: int, lang_col: str = "lang", te
         if bitmap is None:
             break
         if k == 3:
-            runs = in_blocks(texts, lambda data, lang, bitmap, w: stretches_of(data, lang, bitmap), bitmap, longest - 1, block_bytes=block_bytes)
+            runs = in_blocks(texts, lambda data, lang, bitmap, likely, w: stretches_of(data, lang, bitmap), bitmap, longest - 1, block_bytes=block_bytes)
             texts = materialise(runs.where("a != 0").select("lang", F.col("phrase").cast("binary").alias("data"), "a"), "stretches")
-        counted = in_blocks(texts, functools.partial(_count_level, k), bitmap, k - 1, weighted=k > 2, block_bytes=block_bytes)
+        likely = likely_phrases(texts, k, bitmap, least, block_bytes) if k > 2 else None
+        counted = in_blocks(texts, functools.partial(_count_level, k), bitmap, k - 1, weighted=k > 2, block_bytes=block_bytes, likely=likely)
         found.append(materialise(counted.where(F.col("a") >= least), f"phrases-{k}"))
     return functools.reduce(DataFrame.unionAll, (f.select("lang", "phrase", F.lit(k + 1).alias("k"), "a") for k, f in enumerate(found))), n
 
 
-def _count_level(k: int, data: bytes, lang: str, bitmap: np.ndarray, weights: tuple[np.ndarray, np.ndarray] | None) -> Rows:
-    return count_block(data, lang, k, bitmap, weights)
+def _count_level(k: int, data: bytes, lang: str, bitmap: np.ndarray, likely: np.ndarray | None, weights: tuple[np.ndarray, np.ndarray] | None) -> Rows:
+    return count_block(data, lang, k, bitmap, weights, likely)
 
 
 def cut_scores(frequent: DataFrame, n: DataFrame) -> DataFrame:
