@@ -27,7 +27,9 @@ def names_in(text, words=WORDS):
     bare = F.regexp_replace(bare, r"\b(?:OF|IN) [A-Z][A-Z0-9-]*", " ")
     bare = F.regexp_replace(bare, r"([A-Z][A-Z0-9-]*) ?\([^()]*+\)", "$1 ")
     found = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<![A-Z0-9-])([A-Z][A-Z0-9-]*)(?![A-Z0-9-])"), F.lit(1)))
-    return F.filter(found, lambda x: ~x.rlike(f"^(?:{'|'.join(words)})$"))
+    # most texts are one name, which needs no more than a look
+    one = F.when(text.isin(*words), F.array().cast("array<string>")).otherwise(F.array(text))
+    return F.when(text.rlike(r"^[A-Z][A-Z0-9-]*\z"), one).otherwise(F.filter(found, lambda x: ~x.isin(*words)))
 
 
 #: Statement shapes: kind, pattern, group of the sources, group of the targets.
@@ -44,13 +46,16 @@ def transforms(stmts: DataFrame) -> DataFrame:
     """program, seq, target, source, kind, logic: one row for each pair that a statement moves."""
     s = F.col("stmt")
     part = lambda pattern, k: F.regexp_extract(s, pattern, k)
-    out = None
+    shapes = []
     for kind, pattern, source, target in SHAPES:
         sources = F.regexp_replace(part(pattern, source), r"^(?:ADD|SUBTRACT|DIVIDE|MULTIPLY) ", "")
-        rows = stmts.where(s.rlike(pattern)).select("program", "seq", F.explode(names_in(part(pattern, target))).alias("target"), names_in(sources).alias("sources"), F.lit(kind).alias("kind"), S.clipped(s, 600).alias("logic"))
-        rows = rows.select("program", "seq", "target", F.explode("sources").alias("source"), "kind", "logic")
-        out = rows if out is None else out.unionByName(rows)
-    return out.where("not (kind = 'MOVE' and source = target)")
+        shapes.append(F.when(s.rlike(pattern), F.struct(F.lit(kind).alias("kind"), part(pattern, target).alias("target"), sources.alias("source"))))
+    # explode_outer, as Spark works an array out twice more before an inner explode to see whether it is empty
+    found = stmts.select("program", "seq", "stmt", F.explode_outer(F.array(*shapes)).alias("x")).where("x is not null")
+    names = found.select("program", "seq", names_in(F.col("x.target")).alias("targets"), names_in(F.col("x.source")).alias("sources"), "x.kind", S.clipped(s, 600).alias("logic"))
+    each = names.select("program", "seq", F.explode_outer("targets").alias("target"), "sources", "kind", "logic").where("target is not null")
+    out = each.select("program", "seq", "target", F.explode_outer("sources").alias("source"), "kind", "logic")
+    return out.where("source is not null and not (kind = 'MOVE' and source = target)")
 
 
 def reads_into(stmts: DataFrame, items: DataFrame) -> DataFrame:
@@ -75,28 +80,33 @@ def conditional_sources(stmts: DataFrame, moves: DataFrame) -> DataFrame:
     """
     order = W.Window.partitionBy("program", "sentence").orderBy("seq")
     opens, closes = F.col("verb").isin("EVALUATE", "SEARCH").cast("int"), F.col("verb").isin("END-EVALUATE", "END-SEARCH").cast("int")
-    numbered = stmts.withColumn("after", F.sum(opens - closes).over(order)).withColumn("depth", F.col("after") + closes)
+    ends = stmts.where((opens + closes) > 0)
+    numbered = ends.withColumn("after", F.sum(opens - closes).over(order)).withColumn("depth", F.col("after") + closes)
     level = W.Window.partitionBy("program", "sentence", "depth").orderBy("seq")
     search = F.nullif(F.regexp_extract("stmt", r"^(SEARCH (?:ALL )?[A-Z0-9-]+)", 1), F.lit(""))
-    marks = numbered.where((opens + closes) > 0).select("program", "sentence", "seq", "depth", opens.alias("open"), search.alias("search"), F.lead("seq").over(level).alias("end"))
-    blocks = marks.where("open = 1").select("program", "sentence", F.col("seq").alias("block"), F.coalesce("end", F.lit(1 << 30)).alias("end"), "search")
-    inside = stmts.join(blocks, ["program", "sentence"]).where("seq >= block and seq <= end")
+    marks = numbered.select("program", "sentence", "seq", opens.alias("open"), search.alias("search"), F.lead("seq").over(level).alias("end"))
+    blocks = settled(marks.where("open = 1").select("program", "sentence", F.col("seq").alias("block"), F.coalesce("end", F.lit(1 << 30)).alias("end"), "search"))
+    within = lambda some: some.join(blocks, ["program", "sentence"]).where("seq >= block and seq <= end")
     # a condition belongs to the innermost block, whose drivers reach all that is inside it
-    own = inside.groupBy("program", "seq").agg(F.max("block").alias("block"))
-    said = stmts.where(F.col("verb").isin("EVALUATE", "WHEN")).join(own, ["program", "seq"]).join(blocks.select("program", "block", "search"), ["program", "block"])
+    said = within(stmts.where(F.col("verb").isin("EVALUATE", "WHEN")).select("program", "sentence", "seq", "verb", "stmt"))
+    said = said.groupBy("program", "seq", "verb", "stmt").agg(F.max("block").alias("block")).join(blocks.select("program", "block", "search"), ["program", "block"])
     condition = F.regexp_replace("stmt", r"^\S+ ", "")
     keys = F.regexp_replace(S.without_literals(condition), r"[A-Z][A-Z0-9-]*(?: (?:OF|IN) [A-Z][A-Z0-9-]*)* ?\([^()]*+\)", " ")
-    drivers = said.select("program", "block", F.explode(names_in(F.when(F.col("search").isNull(), condition).otherwise(keys))).alias("source")).distinct()
+    drivers = said.withColumn("sources", names_in(F.when(F.col("search").isNull(), condition).otherwise(keys)))
     # a SEARCH block's default ends at its own first WHEN
-    first = said.where("verb = 'WHEN' and search is not null").groupBy("program", "block").agg(F.min("seq").alias("first"))
-    keyed = drivers.groupBy("program", "block").agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("keyed"))
-    literal = stmts.where(F.col("stmt").rlike("^MOVE .+ TO ")).select("program", "seq", F.explode(names_in(F.regexp_extract("stmt", r"^MOVE .+ TO (.+)$", 1))).alias("target"))
-    targets = moves.select("program", "seq", "target").unionByName(literal).distinct().join(inside.select("program", "seq", "block"), ["program", "seq"])
+    first = F.min(F.when((F.col("verb") == "WHEN") & F.col("search").isNotNull(), F.col("seq"))).alias("first")
+    told = drivers.groupBy("program", "block", "search").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), first)
     region = F.when(F.col("first") < F.col("seq"), "lookup").otherwise("default")
-    logic = F.when(F.col("search").isNull(), "depends on the condition").otherwise(S.clipped(F.concat("search", F.lit(": "), region, F.lit(" keyed on "), "keyed"), 600))
-    told = blocks.select("program", "block", "search").join(keyed, ["program", "block"]).join(first, ["program", "block"], "left")
-    found = targets.join(told, ["program", "block"]).select("program", "block", "seq", "target", logic.alias("logic")).join(drivers, ["program", "block"])
-    return found.select("program", "seq", "target", "source", F.lit("CONDITION").alias("kind"), "logic").distinct()
+    logic = F.when(F.col("search").isNull(), "depends on the condition").otherwise(S.clipped(F.concat("search", F.lit(": "), region, F.lit(" keyed on "), F.array_join("sources", ", ")), 600))
+    literal = stmts.where(F.col("stmt").rlike("^MOVE .+ TO ")).select("program", "seq", F.explode_outer(names_in(F.regexp_extract("stmt", r"^MOVE .+ TO (.+)$", 1))).alias("target")).where("target is not null")
+    targets = moves.select("program", "seq", "target").unionByName(literal).distinct()
+    inside = within(stmts.select("program", "sentence", "seq")).select("program", "seq", "block").distinct()
+    target = W.Window.partitionBy("program", "seq", "target")
+    met = targets.join(inside, ["program", "seq"]).withColumn("n", F.count("*").over(target)).join(told, ["program", "block"])
+    met = settled(met.select("program", "seq", "target", "n", "sources", logic.alias("logic")))
+    each = lambda some: some.select("program", "seq", "target", F.explode("sources").alias("source"), F.lit("CONDITION").alias("kind"), "logic")
+    # only where blocks are nested can a row be met twice
+    return each(met.where("n = 1")).unionByName(each(met.where("n > 1")).distinct())
 
 
 def data_items(progs: DataFrame) -> DataFrame:
