@@ -61,16 +61,18 @@ def unified(customers: DataFrame, accounts: DataFrame, managers: DataFrame, tran
     exact = lambda x, p, s: x.cast(f"decimal({p},{s})")
     bp = F.lit("0.0001").cast("decimal(4,4)")
     loss = exact(F.col("pd"), 5, 4) * F.col("ead") * exact(F.col("lgd_bps"), 5, 0) * bp
-    a = accounts.withColumns({"expected_loss": F.round(loss, 2).cast(MONEY), "capital": F.round(loss * F.lit("12.5").cast("decimal(3,1)"), 2).cast("decimal(20,2)")})
+    # worked out after the joins, which need not move them
+    expected, capital = F.round(loss, 2).cast(MONEY), F.round(loss * F.lit("12.5").cast("decimal(3,1)"), 2).cast("decimal(20,2)")
     since = F.date_sub(F.lit(run_date).cast("date"), 30).cast("timestamp_ntz")
     recent = transactions.where(F.col("posted") >= since).groupBy("account_number")
     recent = recent.agg(F.sum(F.col("amount") * F.col("weight")).cast("decimal(25,2)").alias("volume"), F.count("*").alias("n"), F.max("reportable").alias("reportable"))
-    rm = managers.groupBy("branch").agg(F.max("emp_id").alias("rm_emp_id"), F.sum("value").cast("decimal(25,2)").alias("rm_portfolio_value"))
-    x = settled(a.join(customers, "customer_key").join(recent, "account_number", "left").join(rm, "branch", "left"))
+    # tables of a row for each branch are settled, so that Spark knows that they are small and moves no account to meet them
+    rm = settled(managers.groupBy("branch").agg(F.max("emp_id").alias("rm_emp_id"), F.sum("value").cast("decimal(25,2)").alias("rm_portfolio_value")))
+    x = settled(accounts.join(customers, "customer_key").join(recent, "account_number", "left"))
     of_customer = x.groupBy("customer_key").agg(F.sum("ead").cast("decimal(28,2)").alias("customer_total_ead"))
-    of_branch = x.groupBy("branch").agg(F.sum("el").cast("decimal(28,4)").alias("branch_el"))
+    of_branch = settled(x.groupBy("branch").agg(F.sum("el").cast("decimal(28,4)").alias("branch_el")))
     ranks = group_ranks(x, "branch", "el", "account_number").select(F.col("branch").alias("b_"), F.col("el").alias("e_"), F.col("rank").alias("branch_el_rank"))
-    out = x.join(of_customer, "customer_key").join(of_branch.withColumnRenamed("branch", "t_"), F.col("branch").eqNullSafe(F.col("t_"))).join(ranks, F.col("branch").eqNullSafe(F.col("b_")) & F.col("el").eqNullSafe(F.col("e_")))
+    out = x.join(of_customer, "customer_key").join(of_branch.withColumnRenamed("branch", "t_"), F.col("branch").eqNullSafe(F.col("t_"))).join(ranks, F.col("branch").eqNullSafe(F.col("b_")) & F.col("el").eqNullSafe(F.col("e_"))).join(rm, "branch", "left")
     # whole numbers, rounded half up, so that the share is exact: of losses in hundredths of a penny
     part, total = (F.col("el") * 10000).cast("decimal(24,0)"), (F.col("branch_el") * 10000).cast("decimal(32,0)")
     share = F.when(total != 0, F.floor((part * 20000 + total).cast("decimal(38,0)") / (total * 2).cast("decimal(33,0)")).cast("long"))
@@ -79,6 +81,6 @@ def unified(customers: DataFrame, accounts: DataFrame, managers: DataFrame, tran
         "customer_key", "customer_full_name", "customer_risk_tier", "branch", "account_number", "product_code",
         F.col("drawn").alias("account_balance"), "credit_limit", (F.col("drawn") - F.col("accrued")).cast(MONEY).alias("net_exposure"), utilisation.alias("utilisation_bp"), F.col("dpd").alias("arrears_days"),
         F.coalesce("volume", F.lit(0).cast("decimal(25,2)")).alias("txn_volume_30d"), F.coalesce("n", F.lit(0)).alias("txn_count_30d"), "rm_emp_id", "rm_portfolio_value",
-        "vulnerable_flag", F.coalesce("reportable", F.lit("N")).alias("reportable_flag"), "default_flag", "ead", F.col("lgd_bps").alias("final_lgd_bps"), F.col("pd").alias("pd_rate"), "expected_loss", "risk_status",
-        D.exposure_band(F.col("pd")).alias("band"), "customer_total_ead", F.col("capital").alias("regulatory_capital"), "branch_el_rank", share.alias("share_of_branch_bp"), F.lit(run_date).cast("date").alias("model_run_date"),
+        "vulnerable_flag", F.coalesce("reportable", F.lit("N")).alias("reportable_flag"), "default_flag", "ead", F.col("lgd_bps").alias("final_lgd_bps"), F.col("pd").alias("pd_rate"), expected.alias("expected_loss"), "risk_status",
+        D.exposure_band(F.col("pd")).alias("band"), "customer_total_ead", capital.alias("regulatory_capital"), "branch_el_rank", share.alias("share_of_branch_bp"), F.lit(run_date).cast("date").alias("model_run_date"),
     )
