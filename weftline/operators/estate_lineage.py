@@ -220,4 +220,4 @@ def build(files: DataFrame) -> Lineage:
         unparsed = unparsed.unionByName(gaps.select(*cols))
     for gaps in (alias_gaps, sort_gaps):
         unparsed = unparsed.unionByName(gaps.select(*cols[:3], F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line")))
-    return Lineage(nodes, edges, column_edges, L.dynamic_constructs(stmts, sql), unparsed)
+    return Lineage(settled(nodes), edges, column_edges, settled(L.dynamic_constructs(stmts, sql)), settled(unparsed))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How many times their files' size settled tables are taken to hold: names and texts that repeat shrink to a thirtieth and less.
+PACKED = 100
+#: Measured size up to which a table is sent out to a join, where the session leaves this to Spark.
+SENT = "1m"
+
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; shuffle partitions are left to it and to the cluster."""
@@ -42,11 +49,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def unpacked_sizes(spark: SparkSession) -> Iterator[None]:
+    """What is planned meanwhile takes files to hold PACKED times their size, and sends out tables that a join has measured only up to SENT.
+
+    Otherwise tables that pack well go whole through the driver, for each of many joins, until their files reach Spark's threshold.
+    """
+    factor, sent = "spark.sql.sources.fileCompressionFactor", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {name: spark.conf.get(name, None) for name in (factor, sent)}
+    spark.conf.set(factor, str(max(PACKED, float(spark.conf.get(factor)))))
+    if before[sent] is None and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b":  # as Spark sets it
+        spark.conf.set(sent, SENT)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet in the shared folder and read them back: cuts the lineage, and later joins know the table's size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with unpacked_sizes(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
