@@ -94,3 +94,34 @@ def test_equal_codes_are_dealt_anew_in_every_order(spark, monkeypatch):
     nodes = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, vec binary")
     seen = [len(r.nbrs) for r in A._start(nodes, 256, 8, "<f4", [3.0]).collect()]
     assert np.mean(seen) > 24  # one cut in all orders would show each node 15 others, or few more
+
+
+def test_a_search_writes_a_row_for_blocks_and_parts_not_for_each_candidate(spark, monkeypatch):
+    rows = {}
+    write = A.materialise
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(A, "materialise", counted)
+    x = np.float32(np.random.default_rng(8).normal(size=(2000, 8)))
+    assert len(answer(spark, [(k, [float(f) for f in v]) for k, v in enumerate(x)])) == 100
+    assert max(n for name, n in rows.items() if name not in ("vectors", "nodes", "graph")) <= 100
+
+
+def test_equals_of_the_last_rank_are_ordered_by_id(spark):
+    x = np.zeros((31, 64), np.float32)
+    x[0, 0] = 1
+    x[np.arange(1, 31), 0] = 0.5
+    x[np.arange(1, 31), np.arange(1, 31)] = 1  # 30 different vectors as near to the first
+    assert [i for i, _ in answer(spark, [(k, [float(f) for f in v]) for k, v in enumerate(x)], every=100)[0]] == list(range(1, 21))
+
+
+def test_blocks_of_queries_do_not_depend_on_the_partitions(spark):
+    x = np.random.default_rng(9).normal(size=(640, 8)).astype(np.float32)
+    nodes = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, vec binary").repartition(37)
+    rows = A._dealt(nodes.select("node"), nodes, 640, 8, "<f4", 4, 128).where("tag = 0").collect()
+    sizes = [len(r.a) // 8 for r in rows]
+    assert sum(sizes) == 640 and len(rows) == len({r.block for r in rows}) == 10 and max(sizes) <= 2 * A.SHARE
