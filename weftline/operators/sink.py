@@ -102,9 +102,11 @@ def wipe(spark: SparkSession, folder: str) -> None:
         fs.delete(found, True)
 
 
-def export_json(folder: str, **arrays: DataFrame) -> None:
+def export_json(folder: str, codec: str = "none", **arrays: DataFrame) -> None:
     """Write one JSON document with an array for each table, as text files whose concatenation by name is the document.
 
+    With ``codec`` gzip the files are packed, and their concatenation is the packed document.
+
     Rows stand in the order of their JSON, equal rows once. They are ranged over the files by (array, row), so no task
     or driver holds a whole array; a row begins with the comma before it, unless it is its array's first.
     """
@@ -120,4 +122,4 @@ def export_json(folder: str, **arrays: DataFrame) -> None:
     # equal rows fall in one range, so they are told apart behind the one shuffle
     ranged = lines.repartitionByRange(*order).dropDuplicates(order).join(F.broadcast(firsts), "array", "left")
     own = F.concat(F.when(F.col("json") == F.col("first"), "").otherwise(","), "json")
-    ranged.sortWithinPartitions(*order).select(F.when(F.col("at") == 1, own).otherwise(F.col("value")).alias("value")).write.mode("overwrite").text(folder)
+    ranged.sortWithinPartitions(*order).select(F.when(F.col("at") == 1, own).otherwise(F.col("value")).alias("value")).write.mode("overwrite").option("compression", codec).text(folder)

@@ -11,7 +11,7 @@ from weftline.operators import graph as G
 from weftline.operators import lineage as L
 from weftline.operators import sink as K
 from weftline.plans.registry import registered
-from weftline.session import shared_dir, table
+from weftline.session import settled, shared_dir, table
 
 START = "JOB:CUST.1"
 
@@ -299,6 +299,7 @@ UNION ALL SELECT 'nodes', to_json({{id: id}})::VARCHAR FROM (SELECT source_id AS
 def graph_export(spark, sf_dir):
     path = f"{shared_dir(spark)}/weftline-export-{uuid.uuid4().hex}"
     e = edges(spark, sf_dir, once=False)  # the export tells equal rows apart
-    K.export_json(path, nodes=G.nodes_of(e), edges=e, dynamic_constructs=e.limit(0), unparsed=e.limit(0))
+    # nodes are written, as the export reads its tables more than once
+    K.export_json(path, "gzip", nodes=settled(G.nodes_of(e)), edges=e, dynamic_constructs=e.limit(0), unparsed=e.limit(0))
     lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("entry")).where("entry like '{%}'")
     return lines.select(F.when(F.get_json_object("entry", "$.edge_type").isNull(), "nodes").otherwise("edges").alias("kind"), "entry")
